@@ -22,8 +22,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share_percent=SHARE_PERCEN
     """(source, place, source_size, target): targets share share_percent of all words by weight and stop at most times
     a source's words; what is above is shared again by weight. One row per source; null is a source, the last.
 
-    With sources in order of limit / weight, those below the water level are full and the rest have level * weight:
-    the level comes from prefix sums, without iterating.
+    With sources in order of limit / weight, those below the water level are full and the rest have level * weight. The
+    level that holds if all before a source are full comes from prefix sums; it is right for the first source that isn't
+    full, and less for all after that one.
     """
     ordered = Window.orderBy(F.col("source").asc_nulls_last())
     place = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("place", F.row_number().over(ordered) - 1)
@@ -32,7 +33,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share_percent=SHARE_PERCEN
     below = Window.orderBy("fill", "place").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy("fill", "place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.sum("source_size").over(every) * share_percent / 100 - F.coalesce(F.sum("most").over(below), F.lit(0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(below), F.lit(0.0)))
-    leveled = weighed.withColumn("level", level).withColumn("level", F.min(F.when(F.col("fill") >= F.col("level"), F.col("level"))).over(every))
+    leveled = weighed.withColumn("level", level).withColumn("level", F.max(F.when(F.col("fill") >= F.col("level"), F.col("level"))).over(every))
     target = F.when(F.col("level").isNull(), F.col("most").cast("double")).otherwise(F.least(F.col("most").cast("double"), F.col("weight") * F.col("level")))
     return leveled.select("source", F.col("place").cast("long").alias("place"), "source_size", target.alias("target"))
 
@@ -122,7 +123,7 @@ leveled AS (
   FROM filled WINDOW below AS (ORDER BY fill, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
   SELECT source, place, source_size, coalesce(least(most::DOUBLE, weight * level), most::DOUBLE) AS target
-  FROM (SELECT *, min(CASE WHEN fill >= own_level THEN own_level END) OVER () AS level FROM leveled)),
+  FROM (SELECT *, max(CASE WHEN fill >= own_level THEN own_level END) OVER () AS level FROM leveled)),
 ranked AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, t.place,
     ceil(count(*) OVER (PARTITION BY t.place, s.size) / {GROUP_ROWS}.0)::BIGINT AS parts
