@@ -8,6 +8,10 @@ sets. Components need no more links than join them, so
 3. in large buckets that still hold several components, ids meet further few, of other components only;
 4. in the buckets that still do, every pair of ids of different components meets.
 
+In steps 3 and 4 a set's shape, the numbers of its grams by bin of their hashes, bounds the overlap of two sets from above
+by the sum of lesser numbers; pairs that can't reach the limit go no further, and sets themselves aren't sent to be
+compared with whole buckets.
+
 No link between different components is lost, and pairs inside a component that the others already connect are never
 made. The bits of meta above SALT_SHIFT say which part of its bucket a row was dealt to; a hot bucket's first ids are in
 every part.
@@ -154,6 +158,22 @@ class Buckets:
         return first | {"last": cut(everything, -1)}, out
 
 
+def shape(grams: np.ndarray, bins: int) -> bytes:
+    """How many grams are in each of bins ranges of hashes, in one byte each if they fit, else in four."""
+    n = np.bincount((grams >> U(64 - bins.bit_length() + 1)).astype(np.int64), minlength=bins)
+    return n.astype(np.uint8 if n.max(initial=0) < 256 else np.uint32).tobytes()
+
+
+def shapes_of(column, bins: int) -> np.ndarray:
+    rows = [np.frombuffer(x.as_buffer(), np.uint8 if len(x.as_buffer()) == bins else np.uint32) for x in column]
+    return np.stack(rows).astype(np.int32) if rows else np.zeros((0, bins), np.int32)
+
+
+def reaches(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these shapes, row by row, can have 100 * intersection >= percent * union."""
+    return (100 + percent) * np.minimum(a, b).sum(axis=-1) >= percent * (a.sum(axis=-1) + b.sum(axis=-1))
+
+
 BUCKET_SCHEMA = "kind tinyint, key long, a long, b long, ma long, mb long"
 
 
@@ -243,90 +263,99 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return leaves.unionByName(leaves.select(F.col("comp").alias("id"), "comp").distinct())
 
 
-def unresolved(large: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows (key, id, meta, comp) of the large buckets that hold several components."""
+def unresolved(large: DataFrame, comps: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Rows (key, id, meta, comp, rows, shape) of the large buckets that hold several components."""
     rows = large.join(comps, "id", "left").select("key", "id", "meta", F.coalesce("comp", "id").alias("comp"))
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo < hi").select("key", "rows")
-    return rows.join(mixed, "key")
-
+    return rows.join(mixed, "key").join(shapes, "id")
+
+
+def _cross(feasible, percent, bins):
+    names = ["key", "i", "j", "side", "id", "meta", "comp"]
+
+    def pairs(batch):
+        rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
+        forms = shapes_of(batch.column("shape"), bins)
+        starts = np.flatnonzero(np.concatenate([[True], (rows["key"][1:] != rows["key"][:-1]) | (rows["i"][1:] != rows["i"][:-1]) | (rows["j"][1:] != rows["j"][:-1])]))
+        out = [np.zeros((2, 0), np.int64)]
+        for s, e in zip(starts, np.append(starts[1:], len(rows["key"])), strict=True):
+            within = rows["i"][s] == rows["j"][s]
+            side = rows["side"][s:e]
+            x = s + np.flatnonzero(side == 0)
+            y = x if within else s + np.flatnonzero(side == 1)
+            for one in x:
+                other = y[y > one] if within else y
+                other = other[rows["comp"][other] != rows["comp"][one]]
+                other = other[feasible(np.broadcast_to(rows["meta"][one], other.shape), rows["meta"][other])]
+                other = other[reaches(forms[one], forms[other], percent)]
+                out.append(np.stack([np.full(len(other), one), other]))
+        p, q = np.concatenate(out, axis=1)
+        swap = rows["id"][p] > rows["id"][q]
+        p, q = np.where(swap, q, p), np.where(swap, p, q)
+        return pa.RecordBatch.from_arrays([pa.array(rows[k][v]) for k, v in (("id", p), ("id", q), ("meta", p), ("meta", q))], names=["a", "b", "ma", "mb"])
 
-def _cross(feasible):
     def cross(batches):
-        names = ["key", "i", "j", "side", "id", "meta", "comp"]
         rest = None
-
-        def pairs(rows):
-            starts = np.flatnonzero(np.concatenate([[True], (rows["key"][1:] != rows["key"][:-1]) | (rows["i"][1:] != rows["i"][:-1]) | (rows["j"][1:] != rows["j"][:-1])]))
-            out = []
-            for s, e in zip(starts, np.append(starts[1:], len(rows["key"])), strict=True):
-                side = rows["side"][s:e]
-                x = s + np.flatnonzero(side == 0)
-                y = x if rows["i"][s] == rows["j"][s] else s + np.flatnonzero(side == 1)
-                for at in range(0, len(x), 256):
-                    some = x[at : at + 256]
-                    ok = rows["comp"][some][:, None] != rows["comp"][y][None, :]
-                    if rows["i"][s] == rows["j"][s]:
-                        ok &= some[:, None] < y[None, :]
-                    p, q = np.nonzero(ok)
-                    p, q = some[p], y[q]
-                    good = (rows["id"][p] != rows["id"][q]) & feasible(rows["meta"][p], rows["meta"][q])
-                    out.append(np.stack([p[good], q[good]]))
-            p, q = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-            swap = rows["id"][p] > rows["id"][q]
-            p, q = np.where(swap, q, p), np.where(swap, p, q)
-            return pa.RecordBatch.from_arrays([pa.array(rows["id"][p]), pa.array(rows["id"][q]), pa.array(rows["meta"][p]), pa.array(rows["meta"][q])], names=["a", "b", "ma", "mb"])
-
         for batch in batches:
-            rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
-            if rest is not None:
-                rows = {k: np.concatenate([rest[k], v]) for k, v in rows.items()}
-            last = (rows["key"] != rows["key"][-1]) | (rows["i"] != rows["i"][-1]) | (rows["j"] != rows["j"][-1])
-            cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
-            if cut:
-                yield pairs({k: v[:cut] for k, v in rows.items()})
-            rest = {k: v[cut:] for k, v in rows.items()}
-        if rest is not None and len(rest["key"]):
+            batch = batch if rest is None else pa.concat_batches([rest, batch])
+            k = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "i", "j")]
+            other = np.flatnonzero((k[0] != k[0][-1]) | (k[1] != k[1][-1]) | (k[2] != k[2][-1])) if batch.num_rows else np.zeros(0, int)
+            end = int(other[-1]) + 1 if len(other) else 0
+            if end:
+                yield pairs(batch.slice(0, end))
+            rest = batch.slice(end)
+        if rest is not None and rest.num_rows:
             yield pairs(rest)
 
     return cross
 
 
-def next_candidates(rows: DataFrame, feasible, count: int, scratch: Scratch) -> DataFrame:
+def next_candidates(rows: DataFrame, feasible, percent: int, bins: int, count: int) -> DataFrame:
     """Pairs of each id of an unresolved bucket with `count` further ids of it that are in other components."""
     order = F.xxhash64("id")
-    few = rows.groupBy("key").agg(F.slice(F.sort_array(F.collect_set(F.when(F.pmod(order, F.greatest(F.lit(1), F.floor(F.col("rows") / (2 * count)))) == 0, F.struct(order.alias("o"), "id", "meta", "comp")))), 1, count).alias("few"))
+    some = F.pmod(order, F.greatest(F.lit(1), F.floor(F.col("rows") / (2 * count)))) == 0
+    few = rows.filter(some).groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct(order.alias("o"), "id", "meta", "comp", "shape"))), 1, count).alias("few"))
     met = rows.join(few, "key").withColumn("p", F.explode(F.filter("few", lambda p: p["comp"] != F.col("comp"))))
-    pairs = met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"), F.when(F.col("id") < F.col("p.id"), F.col("meta")).otherwise(F.col("p.meta")).alias("ma"), F.when(F.col("id") < F.col("p.id"), F.col("p.meta")).otherwise(F.col("meta")).alias("mb"))
-    return distinct_pairs(pairs.mapInArrow(_only(feasible), PAIR_SCHEMA))
+    pairs = met.select(F.col("id").alias("a"), F.col("p.id").alias("b"), F.col("meta").alias("ma"), F.col("p.meta").alias("mb"), F.col("shape").alias("sa"), F.col("p.shape").alias("sb"))
+    return distinct_pairs(pairs.mapInArrow(_near(feasible, percent, bins), PAIR_SCHEMA))
 
 
-def _only(feasible):
-    def only(batches):
+def _near(feasible, percent, bins):
+    def near(batches):
         for batch in batches:
-            yield batch.filter(pa.array(feasible(batch.column("ma").to_numpy(zero_copy_only=False), batch.column("mb").to_numpy(zero_copy_only=False))))
+            a, b, ma, mb = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("a", "b", "ma", "mb"))
+            ok = feasible(ma, mb) & reaches(shapes_of(batch.column("sa"), bins), shapes_of(batch.column("sb"), bins), percent)
+            swap = a > b
+            columns = np.where(swap, b, a)[ok], np.where(swap, a, b)[ok], np.where(swap, mb, ma)[ok], np.where(swap, ma, mb)[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "ma", "mb"])
 
-    return only
+    return near
 
 
-def last_candidates(rows: DataFrame, feasible) -> DataFrame:
+def last_candidates(rows: DataFrame, feasible, percent: int, bins: int) -> DataFrame:
     """All pairs of ids of different components in unresolved buckets, by blocks of rows."""
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
     dealt = rows.withColumn("n", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), (F.col("own") > F.col("other")).cast("long").alias("side"), "id", "meta", "comp")
-    return distinct_pairs(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross(feasible), PAIR_SCHEMA))
+    dealt = dealt.select("key", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), (F.col("own") > F.col("other")).cast("long").alias("side"), "id", "meta", "comp", "shape")
+    return distinct_pairs(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross(feasible, percent, bins), PAIR_SCHEMA))
 
 
-def linked_components(pairs: DataFrame, large: DataFrame, sets: DataFrame, feasible, percent: int, scratch: Scratch) -> DataFrame:
-    """(id, comp) of all ids with a link: steps 2 to 4."""
+def linked_components(pairs: DataFrame, large: DataFrame, sets: DataFrame, feasible, percent: int, bins: int, scratch: Scratch) -> DataFrame:
+    """(id, comp) of all ids with a link: steps 2 to 4. In sets, a row with frag -1 has the set's shape in bins bins."""
+    shapes = sets.filter("frag = -1").select("id", F.col("grams").alias("shape"))
+    sets = sets.filter("frag >= 0")
     links = scratch.save(verified(pairs, sets, percent), "links-1")
     comps = scratch.save(components(links, scratch, "comps-1"), "comps-1")
     for step in (2, 3):
-        rows = scratch.save(unresolved(large, comps), f"mixed-{step}")
+        rows = scratch.save(unresolved(large, comps, shapes), f"mixed-{step}")
         if rows.isEmpty():
             break
-        more = next_candidates(rows, feasible, NEXT, scratch) if step == 2 else last_candidates(rows, feasible)
+        more = next_candidates(rows, feasible, percent, bins, NEXT) if step == 2 else last_candidates(rows, feasible, percent, bins)
         more = scratch.save(verified(more, sets, percent), f"links-{step}")
+        scratch.drop(f"mixed-{step}")
+        if more.isEmpty():
+            continue
         links = links.unionByName(more)
         comps = scratch.save(components(links, scratch, f"comps-{step}"), f"comps-{step}")
     return comps

@@ -21,7 +21,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 LENGTH_SALT = U(0xD6E8FEB86659FD93)
 SHORT_SALT = U(0xA0761D6478BD642F)
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _powers = {"up": np.ones(1, U), "down": np.ones(1, U)}
 

@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._links import SALT_SHIFT, distinct_pairs, first_candidates, linked_components
+from ._links import SALT_SHIFT, distinct_pairs, first_candidates, linked_components, shape
 from ._scratch import Scratch
 from ._text import longs, mix, slices
 
 GRAM = 5
 PERCENT = 80
 FRAGMENTS = 4
+#: Bins of a set's shape, the fragments' sizes in a finer cut, which bound an overlap before it is counted.
+BINS = 256
 #: Counters that say how many documents have an n-gram (a sum over those that share a counter): 4 MB of classes to
 #: broadcast, whatever the corpus. More counters tell frequent n-grams apart in larger corpora; results don't depend on it.
 SKETCH_BITS = 22
@@ -177,8 +179,9 @@ def _set_rows(filled):
             for row, grams in gram_sets(batch):
                 if len(grams):
                     cid = set_id(grams)
-                    for frag, part in enumerate(np.split(grams, np.searchsorted(grams, cuts))):
-                        for column, v in zip(out, (ids[row], cid, frag, len(grams), part.tobytes()), strict=True):
+                    parts = [x.tobytes() for x in np.split(grams, np.searchsorted(grams, cuts))]
+                    for frag, part in enumerate([shape(grams, BINS), *parts], -1):
+                        for column, v in zip(out, (ids[row], cid, frag, len(grams), part), strict=True):
                             column.append(v)
                 if len(out[0]) >= 4_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "id", "frag", "n", "grams"])
@@ -212,7 +215,7 @@ def similar_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFr
     probe = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS)).alias("probe")
     sets = rows.filter("doc_id is not null").select("doc_id", "text", probe).mapInArrow(_set_rows(filled), "doc_id long, id long, frag int, n long, grams binary")
     sets = scratch.save(sets.join(wanted, ["doc_id", "id"], "left_semi").dropDuplicates(["id", "frag"]).select("id", "frag", "n", "grams"), "sets")
-    comps = linked_components(pairs, large, sets, feasible, PERCENT, scratch)
+    comps = linked_components(pairs, large, sets, feasible, PERCENT, BINS, scratch)
     nodes = own.filter("n_shingles > 0").join(comps, "id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "id").alias("comp"))
     least = nodes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     linked = nodes.join(least, "comp").select("doc_id", "n_shingles", "component_id")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._links import first_candidates, linked_components
+from ._links import first_candidates, linked_components, shape
 from ._scratch import Scratch
 from ._text import GRAM_SALTS, Texts, longs, mix, powers, slices
 
@@ -25,6 +25,7 @@ LEAST_WORDS, LEAST_RUN = 6, 14
 BANDS, ROWS = 4, 2
 FLUSH = 500_000
 DOC_BITS, ID_BITS = 22, 24
+BINS = 64
 U = np.uint64
 
 
@@ -141,7 +142,9 @@ def _set_rows(docs_in, ids_in):
                 some = np.flatnonzero(has_bit(id_filter, p.ids))
                 some = some[np.sort(np.unique(p.ids[some], return_index=True)[1])]
                 sets = [p.shingles(i) for i in some]
-                yield pa.RecordBatch.from_arrays([pa.array(p.ids[some]), pa.array(np.zeros(len(some), np.int32)), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "frag", "n", "grams"])
+                sizes = [len(x) for x in sets]
+                frag = np.repeat(np.array([-1, 0], np.int32), len(some))
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(p.ids[some], 2)), pa.array(frag), pa.array([*sizes, *sizes], pa.int64()), pa.array([*(shape(x, BINS) for x in sets), *(x.tobytes() for x in sets)], pa.binary())], names=["id", "frag", "n", "grams"])
 
     return set_rows
 
@@ -181,8 +184,8 @@ def repeated_passages(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     send = spark.sparkContext.broadcast
     filters = send(bits_of(wanted, "meta", DOC_BITS)), send(bits_of(wanted, "id", ID_BITS))
     sets = rows.mapInArrow(_set_rows(*filters), "id long, frag int, n long, grams binary")
-    sets = scratch.save(sets.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets")
-    comps = linked_components(pairs.select("a", "b").distinct(), large, sets, any_pair, PERCENT, scratch)
+    sets = scratch.save(sets.join(wanted, "id", "left_semi").dropDuplicates(["id", "frag"]), "sets")
+    comps = linked_components(pairs.select("a", "b").distinct(), large, sets, any_pair, PERCENT, BINS, scratch)
     twice = again.filter("ma <> mb").select("id").distinct()
     nodes = scratch.save(twice.join(comps, "id", "full").select("id", F.coalesce("comp", "id").alias("comp")), "nodes")
     scratch.drop("buckets", "wanted", "sets")
