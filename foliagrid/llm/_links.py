@@ -8,7 +8,7 @@ sets. Components need no more links than join them, so
 3. in large buckets that still hold several components, ids meet further few, of other components only;
 4. in the buckets that still do, every pair of ids of different components meets.
 
-In steps 3 and 4 a set's shape, the numbers of its grams by bin of their hashes, bounds the overlap of two sets from above
+A set's shape, the numbers of its grams by bin of their hashes, bounds the overlap of two sets from above
 by the sum of lesser numbers; pairs that can't reach the limit go no further, and sets themselves aren't sent to be
 compared with whole buckets.
 
@@ -332,6 +332,12 @@ def _near(feasible, percent, bins):
     return near
 
 
+def close(pairs: DataFrame, shapes: DataFrame, feasible, percent: int, bins: int) -> DataFrame:
+    """The pairs whose shapes allow a link."""
+    a, b = (shapes.select(F.col("id").alias(x), F.col("shape").alias(f"s{x}")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "ma", "mb", "sa", "sb").mapInArrow(_near(feasible, percent, bins), PAIR_SCHEMA)
+
+
 def last_candidates(rows: DataFrame, feasible, percent: int, bins: int) -> DataFrame:
     """All pairs of ids of different components in unresolved buckets, by blocks of rows."""
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
@@ -345,7 +351,7 @@ def linked_components(pairs: DataFrame, large: DataFrame, sets: DataFrame, feasi
     """(id, comp) of all ids with a link: steps 2 to 4. In sets, a row with frag -1 has the set's shape in bins bins."""
     shapes = sets.filter("frag = -1").select("id", F.col("grams").alias("shape"))
     sets = sets.filter("frag >= 0")
-    links = scratch.save(verified(pairs, sets, percent), "links-1")
+    links = scratch.save(verified(close(pairs, shapes, feasible, percent, bins), sets, percent), "links-1")
     comps = scratch.save(components(links, scratch, "comps-1"), "comps-1")
     for step in (2, 3):
         rows = scratch.save(unresolved(large, comps, shapes), f"mixed-{step}")

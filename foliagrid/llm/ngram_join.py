@@ -214,7 +214,7 @@ def similar_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFr
     filled = spark.sparkContext.broadcast(bitmap(wanted, "doc_id"))
     probe = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS)).alias("probe")
     sets = rows.filter("doc_id is not null").select("doc_id", "text", probe).mapInArrow(_set_rows(filled), "doc_id long, id long, frag int, n long, grams binary")
-    sets = scratch.save(sets.join(wanted, ["doc_id", "id"], "left_semi").dropDuplicates(["id", "frag"]).select("id", "frag", "n", "grams"), "sets")
+    sets = scratch.save(sets.join(wanted, ["doc_id", "id"], "left_semi").dropDuplicates(["doc_id", "id", "frag"]).select("id", "frag", "n", "grams"), "sets")
     comps = linked_components(pairs, large, sets, feasible, PERCENT, BINS, scratch)
     nodes = own.filter("n_shingles > 0").join(comps, "id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "id").alias("comp"))
     least = nodes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._links import first_candidates, linked_components, shape
+from ._links import distinct_pairs, first_candidates, linked_components, shape
 from ._scratch import Scratch
 from ._text import GRAM_SALTS, Texts, longs, mix, powers, slices
 
@@ -185,7 +185,7 @@ def repeated_passages(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     filters = send(bits_of(wanted, "meta", DOC_BITS)), send(bits_of(wanted, "id", ID_BITS))
     sets = rows.mapInArrow(_set_rows(*filters), "id long, frag int, n long, grams binary")
     sets = scratch.save(sets.join(wanted, "id", "left_semi").dropDuplicates(["id", "frag"]), "sets")
-    comps = linked_components(pairs.select("a", "b").distinct(), large, sets, any_pair, PERCENT, BINS, scratch)
+    comps = linked_components(distinct_pairs(pairs), large, sets, any_pair, PERCENT, BINS, scratch)
     twice = again.filter("ma <> mb").select("id").distinct()
     nodes = scratch.save(twice.join(comps, "id", "full").select("id", F.coalesce("comp", "id").alias("comp")), "nodes")
     scratch.drop("buckets", "wanted", "sets")
