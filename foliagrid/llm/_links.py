@@ -347,21 +347,27 @@ def last_candidates(rows: DataFrame, feasible, percent: int, bins: int) -> DataF
     return distinct_pairs(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross(feasible, percent, bins), PAIR_SCHEMA))
 
 
-def linked_components(pairs: DataFrame, large: DataFrame, sets: DataFrame, feasible, percent: int, bins: int, scratch: Scratch) -> DataFrame:
-    """(id, comp) of all ids with a link: steps 2 to 4. In sets, a row with frag -1 has the set's shape in bins bins."""
-    shapes = sets.filter("frag = -1").select("id", F.col("grams").alias("shape"))
-    sets = sets.filter("frag >= 0")
-    links = scratch.save(verified(close(pairs, shapes, feasible, percent, bins), sets, percent), "links-1")
-    comps = scratch.save(components(links, scratch, "comps-1"), "comps-1")
-    for step in (2, 3):
-        rows = scratch.save(unresolved(large, comps, shapes), f"mixed-{step}")
-        if rows.isEmpty():
-            break
-        more = next_candidates(rows, feasible, percent, bins, NEXT) if step == 2 else last_candidates(rows, feasible, percent, bins)
-        more = scratch.save(verified(more, sets, percent), f"links-{step}")
-        scratch.drop(f"mixed-{step}")
-        if more.isEmpty():
+def linked_components(pairs: DataFrame, large: DataFrame, shapes: DataFrame, fetch, feasible, percent: int, bins: int, scratch: Scratch) -> DataFrame:
+    """(id, comp) of all ids with a link: steps 2 to 4.
+
+    shapes has (id, shape) of every id in pairs and large. fetch(ids) reads the sets (id, frag, n, grams) of those ids
+    again from the texts: only sets of pairs that may be links are ever shuffled.
+    """
+    links = comps = None
+    for step in (1, 2, 3):
+        if step == 1:
+            near = close(pairs, shapes, feasible, percent, bins)
+        else:
+            rows = scratch.save(unresolved(large, comps, shapes), f"mixed-{step}")
+            if rows.isEmpty():
+                break
+            near = next_candidates(rows, feasible, percent, bins, NEXT) if step == 2 else last_candidates(rows, feasible, percent, bins)
+        near = scratch.save(near.select("a", "b"), f"near-{step}")
+        if step > 1 and near.isEmpty():
             continue
-        links = links.unionByName(more)
+        sets = scratch.save(fetch(near.select(F.col("a").alias("id")).union(near.select("b")).distinct()), f"sets-{step}")
+        more = scratch.save(verified(near, sets, percent), f"links-{step}")
+        scratch.drop(f"sets-{step}", f"near-{step}", f"mixed-{step}")
+        links = more if links is None else links.unionByName(more)
         comps = scratch.save(components(links, scratch, f"comps-{step}"), f"comps-{step}")
     return comps

@@ -169,24 +169,33 @@ def in_bitmap(filled, probe):
     return keep
 
 
+def _id_shapes(filled):
+    def id_shapes(batches):
+        for batch in in_bitmap(filled, "probe")(batches):
+            ids, _ = longs(batch, "doc_id")
+            out = [(ids[row], set_id(grams), shape(grams, BINS)) for row, grams in gram_sets(batch) if len(grams)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "id", "shape"])
+
+    return id_shapes
+
+
 def _set_rows(filled):
     def set_rows(batches):
-        keep = in_bitmap(filled, "probe")
+        types = pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()
+        names = ["doc_id", "id", "frag", "n", "grams"]
         cuts = np.array([(i << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], U)
-        for batch in keep(batches):
+        for batch in in_bitmap(filled, "probe")(batches):
             ids, _ = longs(batch, "doc_id")
-            out = [[], [], [], [], []]
+            out, held = [], 0
             for row, grams in gram_sets(batch):
                 if len(grams):
                     cid = set_id(grams)
-                    parts = [x.tobytes() for x in np.split(grams, np.searchsorted(grams, cuts))]
-                    for frag, part in enumerate([shape(grams, BINS), *parts], -1):
-                        for column, v in zip(out, (ids[row], cid, frag, len(grams), part), strict=True):
-                            column.append(v)
-                if len(out[0]) >= 4_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "id", "frag", "n", "grams"])
-                    out = [[], [], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "id", "frag", "n", "grams"])
+                    out += [(ids[row], cid, frag, len(grams), part.tobytes()) for frag, part in enumerate(np.split(grams, np.searchsorted(grams, cuts)))]
+                    held += len(grams)
+                if held >= 1 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=names)
+                    out, held = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=names)
 
     return set_rows
 
@@ -208,20 +217,26 @@ def similar_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFr
     prefixes = rows.select("doc_id", "text").mapInArrow(_prefixes(classes), "key long, id long, meta long")
     pairs, large, _ = first_candidates(prefixes, feasible, scratch)
     pairs = scratch.save(distinct_pairs(pairs), "pairs")
-    wanted = pairs.select("a").union(pairs.select("b")).union(large.select("id")).distinct().withColumnRenamed("a", "id")
-    first = own.filter("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    wanted = scratch.save(wanted.join(first, "id").select("id", "doc_id"), "wanted")
-    filled = spark.sparkContext.broadcast(bitmap(wanted, "doc_id"))
+    first = own.filter("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null")
     probe = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS)).alias("probe")
-    sets = rows.filter("doc_id is not null").select("doc_id", "text", probe).mapInArrow(_set_rows(filled), "doc_id long, id long, frag int, n long, grams binary")
-    sets = scratch.save(sets.join(wanted, ["doc_id", "id"], "left_semi").dropDuplicates(["doc_id", "id", "frag"]).select("id", "frag", "n", "grams"), "sets")
-    comps = linked_components(pairs, large, sets, feasible, PERCENT, BINS, scratch)
+    named = rows.filter("doc_id is not null").select("doc_id", "text", probe)
+
+    def again(ids: DataFrame, name: str, read, schema: str, key: list[str]) -> DataFrame:
+        """What read makes of the texts of the sets with these ids, one text for each set."""
+        wanted = scratch.save(ids.join(first, "id").select("id", "doc_id"), name)
+        found = named.mapInArrow(read(spark.sparkContext.broadcast(bitmap(wanted, "doc_id"))), schema)
+        return found.join(wanted, ["doc_id", "id"], "left_semi").dropDuplicates(["doc_id", *key]).drop("doc_id")
+
+    met = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")).distinct()
+    shapes = scratch.save(again(met, "met", _id_shapes, "doc_id long, id long, shape binary", ["id"]), "shapes")
+    fetch = lambda ids: again(ids, "wanted", _set_rows, "doc_id long, id long, frag int, n long, grams binary", ["id", "frag"])
+    comps = linked_components(pairs, large, shapes, fetch, feasible, PERCENT, BINS, scratch)
     nodes = own.filter("n_shingles > 0").join(comps, "id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "id").alias("comp"))
     least = nodes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     linked = nodes.join(least, "comp").select("doc_id", "n_shingles", "component_id")
     alone = own.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = scratch.save(linked.unionByName(alone), "out")
-    scratch.drop("stats", "buckets", "pairs", "wanted", "sets")
+    scratch.drop("stats", "buckets", "pairs", "met", "wanted", "shapes")
     return out
 
 

@@ -132,7 +132,7 @@ def has_bit(filled: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (filled[low >> 5] >> (low & 31).astype(np.uint32)) & 1 == 1
 
 
-def _set_rows(docs_in, ids_in):
+def _set_rows(docs_in, ids_in, shapes_only):
     def set_rows(batches):
         doc_filter, id_filter = docs_in.value, ids_in.value
         for batch in batches:
@@ -142,9 +142,10 @@ def _set_rows(docs_in, ids_in):
                 some = np.flatnonzero(has_bit(id_filter, p.ids))
                 some = some[np.sort(np.unique(p.ids[some], return_index=True)[1])]
                 sets = [p.shingles(i) for i in some]
-                sizes = [len(x) for x in sets]
-                frag = np.repeat(np.array([-1, 0], np.int32), len(some))
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(p.ids[some], 2)), pa.array(frag), pa.array([*sizes, *sizes], pa.int64()), pa.array([*(shape(x, BINS) for x in sets), *(x.tobytes() for x in sets)], pa.binary())], names=["id", "frag", "n", "grams"])
+                if shapes_only:
+                    yield pa.RecordBatch.from_arrays([pa.array(p.ids[some]), pa.array([shape(x, BINS) for x in sets], pa.binary())], names=["id", "shape"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(p.ids[some]), pa.array(np.zeros(len(some), np.int32)), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "frag", "n", "grams"])
 
     return set_rows
 
@@ -182,13 +183,19 @@ def repeated_passages(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     met = pairs.select(F.col("a").alias("id"), F.col("ma").alias("meta")).union(pairs.select("b", "mb")).union(large.select("id", "meta"))
     wanted = scratch.save(met.groupBy("id").agg(F.first("meta").alias("meta")), "wanted")
     send = spark.sparkContext.broadcast
-    filters = send(bits_of(wanted, "meta", DOC_BITS)), send(bits_of(wanted, "id", ID_BITS))
-    sets = rows.mapInArrow(_set_rows(*filters), "id long, frag int, n long, grams binary")
-    sets = scratch.save(sets.join(wanted, "id", "left_semi").dropDuplicates(["id", "frag"]), "sets")
-    comps = linked_components(distinct_pairs(pairs), large, sets, any_pair, PERCENT, BINS, scratch)
+
+    def read_again(ids: DataFrame, shapes_only: bool, schema: str) -> DataFrame:
+        """Shapes or sets of the paragraphs with these ids, from the texts of one document for each."""
+        own = ids.join(wanted, "id").select("id", "meta")
+        filters = send(bits_of(own, "meta", DOC_BITS)), send(bits_of(own, "id", ID_BITS))
+        return rows.mapInArrow(_set_rows(*filters, shapes_only), schema).join(own, "id", "left_semi").dropDuplicates(["id"])
+
+    pairs = distinct_pairs(pairs)
+    shapes = scratch.save(read_again(wanted.select("id"), True, "id long, shape binary"), "shapes")
+    comps = linked_components(pairs, large, shapes, lambda ids: read_again(ids, False, "id long, frag int, n long, grams binary"), any_pair, PERCENT, BINS, scratch)
     twice = again.filter("ma <> mb").select("id").distinct()
     nodes = scratch.save(twice.join(comps, "id", "full").select("id", F.coalesce("comp", "id").alias("comp")), "nodes")
-    scratch.drop("buckets", "wanted", "sets")
+    scratch.drop("buckets", "wanted", "shapes")
     found = rows.mapInArrow(_occurrences(send(bits_of(nodes, "id", ID_BITS))), "doc_id long, number long, start_word long, n_words long, id long")
     found = scratch.save(found.join(nodes, "id").drop("id"), "found")
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "number")
