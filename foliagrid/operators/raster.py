@@ -19,9 +19,9 @@ def mosaic(raster: DataFrame, grid: DataFrame, resolution: float, bands: list[st
 
     By aggregation: partial minima before the shuffle, and no sort of the sources.
     """
-    origin = grid.agg(F.min("x0").alias("X0"), F.max("y0").alias("Y0"))
+    origin = grid.agg(F.min("x0").alias("left_x"), F.max("y0").alias("top_y"))
     moved = raster.join(grid.select("group_id", "x0", "y0"), "group_id").join(F.broadcast(origin))
-    moved = moved.withColumns({"row": F.col("row") + F.round((F.col("Y0") - F.col("y0")) / resolution).cast("long"), "col": F.col("col") + F.round((F.col("x0") - F.col("X0")) / resolution).cast("long")})
+    moved = moved.withColumns({"row": F.col("row") + F.round((F.col("top_y") - F.col("y0")) / resolution).cast("long"), "col": F.col("col") + F.round((F.col("x0") - F.col("left_x")) / resolution).cast("long")})
     first = moved.filter(F.coalesce(F.col(bands[0]) != NODATA, F.lit(False))).groupBy("row", "col").agg(F.min(F.struct("group_id", *bands)).alias("f"))
     return first.select("row", "col", F.col("f.group_id").alias("group_id"), *[F.col(f"f.{b}").alias(b) for b in bands])
 

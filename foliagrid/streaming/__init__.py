@@ -1,0 +1 @@
+"""An addition: indicators of tiles as they arrive."""
