@@ -10,7 +10,7 @@ WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
 MOST_COPIES = 2
 #: Rows of one (source, size) group that are numbered in one task; larger groups are split into so many more parts.
-GROUP_ROWS = 100_000
+GROUP_ROWS = 1_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 

@@ -1,8 +1,10 @@
 """Token ids of whole texts in static-rANS segments, in ascending doc_id order, and back."""
 
+import gc
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +18,15 @@ from ._scratch import Scratch
 END_ID = 0
 #: Ids after which a segment is closed, at the end of a document.
 SEGMENT_IDS = 1 << 20
-#: Pieces of text whose ids a task remembers at a time.
-MEMO = 300_000
+#: Pieces of text whose ids a worker process remembers, about 150 bytes each.
+MEMO = 1_000_000
+#: Documents that are encoded together.
+DOCS = 1_024
 FILE_SCHEMA = "shard int, segment int, n_docs long, n_ids long, image binary"
 READ_SCHEMA = "shard int, doc_id long, start long, n_tokens long, ids_crc32 long"
-_joined_space = re.compile(r"\s | \s")
+_two_spaces = re.compile(r"\s\s")
+STOPS = tuple(".,!?;:")
+_stops = re.compile(r"(.*[^\W_])([.,!?;:]+)$", re.DOTALL)
 
 
 def default_tokenizer() -> str:
@@ -30,11 +36,12 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, which is called once for each distinct piece.
+    """Ids of texts by the tokenizers library, which is called once for each distinct part of a word.
 
-    The pre-tokenizer of this byte-level vocabulary lets a space stand only at the start of a token that a visible
-    character follows, so a text can be cut before every space that has visible characters on both sides. Texts with
-    other white space next to a space are encoded whole.
+    The pre-tokenizer of this byte-level vocabulary ends a token where a letter or digit is followed by punctuation or
+    white space, and lets a space stand only at the start of a token that a visible character follows. So a text may be
+    cut before each space, around each newline, and between a word and the stops behind it, if no two white-space
+    characters are neighbours. Texts that have such are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -42,30 +49,79 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.memo: dict[str, bytes] = {}
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.dtype, self.kind = (np.uint16, "H") if small else (np.uint32, "I")
+        #: Ids of pieces, as bytes: of those behind a space (kept without it), and of parts that aren't.
+        self.spaced: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def parts(piece: str) -> tuple[str, list[str]]:
+        """The part of a piece that its space stands before, and the others."""
+        out = []
+        for i, line in enumerate(piece.split("\n")):
+            if i:
+                out.append("\n")
+            tail = _stops.match(line)
+            stem = tail[1] if tail else line
+            if stem or not i:
+                out.append(stem)
+            if tail:
+                out.append(tail[2])
+        return out[0], out[1:]
+
+    def learn(self, pieces: set[str]) -> None:
+        """Put pieces that follow a space, and the parts that they are made of, in memory."""
+        spaced, plain = self.spaced, self.plain
+        if len(plain) + len(spaced) > MEMO:
+            plain.clear()
+            spaced.clear()
+        made = {p: self.parts(p) for p in pieces if "\n" in p or p[-1:] in STOPS}
+        new = list({x for p in pieces if (x := made[p][0] if p in made else p) not in spaced})
+        for i in range(0, len(new), 20_000):
+            some = new[i : i + 20_000]
+            spaced.update(zip(some, self.whole([" " + x for x in some]), strict=True))
+        new = list({x for _, rest in made.values() for x in rest if x not in plain})
+        if new:
+            plain.update(zip(new, self.whole(new), strict=True))
+        spaced.update((p, b"".join([spaced[first], *[plain[x] for x in rest]])) for p, (first, rest) in made.items())
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = []
-        for text in texts:
-            text = text or ""
-            cut.append([text] if _joined_space.search(text) else text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else [text])
-        memo = self.memo
-        new = list({p for pieces in cut if len(pieces) > 1 for p in pieces if p not in memo})
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list({p for pieces in cut if len(pieces) > 1 for p in pieces})
-        for i in range(0, len(new), 20_000):
-            memo.update(zip(new[i : i + 20_000], self.whole(new[i : i + 20_000]), strict=True))
-        return [np.frombuffer(b"".join([memo[p] for p in pieces]) if len(pieces) > 1 else self.whole(pieces)[0], self.dtype) for pieces in cut]
+        out: list[bytes] = [b""] * len(texts)
+        whole = [i for i, text in enumerate(texts) if text and _two_spaces.search(text)]
+        for i in whole:
+            out[i] = self.whole([texts[i]])[0]
+        rest = [i for i in set(range(len(texts))).difference(whole) if texts[i]]
+        pieces = {i: texts[i].split(" ") for i in rest}
+        first = dict(zip(rest, self.whole([x.pop(0) for x in pieces.values()]), strict=True))
+        missing: set[str] = set().union(*pieces.values()).difference(self.spaced)
+        if missing:
+            if len(self.plain) + len(self.spaced) > MEMO:
+                missing = set().union(*pieces.values())
+            self.learn(missing)
+        get = self.spaced.__getitem__
+        for i, some in pieces.items():
+            out[i] = first[i] + b"".join(map(get, some))
+        return [np.frombuffer(x, self.dtype) for x in out]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    """A worker process keeps its encoder, and what it remembers, from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _writer(path: str):
     def write(batches):
-        encoder = Encoder(path)
+        gc.disable()  # a worker makes millions of small objects and no cycles
+        encoder = encoder_for(path)
         shard = TaskContext.get().partitionId()
         segment, before = 0, 0
         ids, docs, valid, held = [], [], [], 0
@@ -80,8 +136,8 @@ def _writer(path: str):
             return row
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, DOCS):
+                part = batch.slice(at, DOCS)
                 for doc, some in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
                     ids.append(np.append(some, encoder.dtype(END_ID)))
                     docs.append(doc or 0)
