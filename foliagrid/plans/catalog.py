@@ -455,9 +455,9 @@ def resample_nearest(spark, sf_dir):
     return raster.coarser(line_mosaic(spark, sf_dir), 2, ["q95"]).select("row", "col", *r8("q95"))
 
 
-@query(f'WITH {M} SELECT "row" // 2 AS "row", col // 2 AS col, round(avg(round(q95, 6)), 8) AS q95 FROM mosaic GROUP BY ALL')
+@query(f'WITH {M} SELECT "row" // 2 AS "row", col // 2 AS col, round(avg(round(q95, 6)), 10) AS q95 FROM mosaic GROUP BY ALL')
 def resample_mean(spark, sf_dir):
-    return raster.coarser(line_mosaic(spark, sf_dir).withColumn("q95", F.round("q95", 6)), 2, ["q95"], "mean").select("row", "col", *r8("q95"))
+    return raster.coarser(line_mosaic(spark, sf_dir).withColumn("q95", F.round("q95", 6)), 2, ["q95"], "mean").select("row", "col", F.round("q95", 10).alias("q95"))
 
 
 def places(spark, sf_dir):
@@ -611,7 +611,7 @@ def raster_crop(spark, sf_dir):
     return points.crop(m, [AREA[:1]]).select("row", "col", *r8("q95"))
 
 
-@query("""WITH s AS (SELECT event_type AS group_id, value / 100 AS hag, epoch(ts) // 3600 AS h FROM events)
+@query("""WITH s AS (SELECT event_type AS group_id, value / 100 AS hag, floor(epoch(ts) / 3600) AS h FROM events)
 SELECT group_id, (h * 3600)::BIGINT AS at, count(*) AS n, round(avg(hag), 8) AS mean, max(hag) AS greatest FROM s GROUP BY ALL""")
 def heights_by_hour(spark, sf_dir):
     from ..streaming.tiles import heights_by_time
