@@ -30,9 +30,11 @@ def classified(raster: DataFrame, height: str, masked: bool = True) -> DataFrame
 
 
 def fit_clusters(cells: DataFrame, features: list[str], k: int, method: str = "gmm", seed: int = 42, max_iter: int = 200, tol: float = 1e-6) -> DataFrame:
-    """cells with raw_label, by k-means (parallel k-means++ start) or a mixture of full-covariance normals."""
+    """cells with raw_label, by k-means (parallel k-means++ start) or a mixture of full-covariance normals. No cells, no model."""
     if method not in ("kmeans", "gmm"):
         raise ValueError(f"no such method: {method}")
+    if cells.isEmpty():
+        return cells.withColumn("raw_label", F.lit(None).cast("long"))
     vectors = VectorAssembler(inputCols=features, outputCol="__features").transform(cells)
     kind = KMeans if method == "kmeans" else GaussianMixture
     model = kind(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="__features", predictionCol="raw_label").fit(vectors)

@@ -29,7 +29,7 @@ class Workflow:
                 if need not in self.steps:
                     raise ValueError(f"{s.name} needs {need}, which isn't there")
 
-    def list(self) -> list[tuple[str, bool, tuple[str, ...]]]:
+    def listing(self) -> list[tuple[str, bool, tuple[str, ...]]]:
         return [(s.name, s.enabled, s.needs) for s in self.steps.values()]
 
     def run(self, names: list[str] | None = None, done: set[str] = frozenset()) -> bool:
