@@ -91,9 +91,11 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, doc_valid: np.ndarray, lengths: n
 
     ids are the documents' ids, one after another; first is how many ids the shard has before this segment.
     """
-    symbols, counts = np.unique(ids, return_counts=True)
-    slots = np.searchsorted(symbols, ids)
-    freq = frequencies(counts)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    slot = np.zeros(len(counts), np.int32)
+    slot[symbols] = np.arange(len(symbols))
+    slots, freq = slot[ids], frequencies(counts[symbols])
     states, streams = encode_blocks(slots, freq) if len(ids) else (np.zeros((0, LANES), U), [])
     crcs = [zlib.crc32(ids[i : i + BLOCK].astype("<u4").tobytes()) for i in range(0, len(ids), BLOCK)]
     head = np.array([len(doc_ids), len(ids), len(symbols), len(streams), LANES, BLOCK, SCALE_BITS, first], "<i8")

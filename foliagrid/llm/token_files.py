@@ -20,6 +20,8 @@ END_ID = 0
 SEGMENT_IDS = 1 << 20
 #: Pieces of text whose ids a worker process remembers, about 150 bytes each.
 MEMO = 1_000_000
+#: Pieces in a call's text.
+LINES = 64
 #: Documents that are encoded together.
 DOCS = 1_024
 FILE_SCHEMA = "shard int, segment int, n_docs long, n_ids long, image binary"
@@ -51,6 +53,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.dtype, self.kind = (np.uint16, "H") if small else (np.uint32, "I")
+        self.tokenizer.model._resize_cache(0)  # what repeats is remembered here
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         #: Ids of pieces, as bytes: of those behind a space (kept without it), and of parts that aren't.
         self.spaced: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
@@ -58,6 +62,20 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def lines(self, pieces: list[str]) -> list[bytes]:
+        """The same of pieces behind a space that have no white space, many to a call: a newline between them is a token
+        of its own, and no other has it."""
+        if any(not x or x.isspace() for x in pieces):
+            return self.whole([" " + x for x in pieces])
+        texts = ["".join([f" {x}\n" for x in pieces[i : i + LINES]]) for i in range(0, len(pieces), LINES)]
+        ids = b"".join(self.whole(texts))
+        ends = np.flatnonzero(np.frombuffer(ids, self.dtype) == self.newline) * self.dtype().itemsize
+        out, at = [], 0
+        for end in ends.tolist():
+            out.append(ids[at:end])
+            at = end + self.dtype().itemsize
+        return out
+
     @staticmethod
     def parts(piece: str) -> tuple[str, list[str]]:
         """The part of a piece that its space stands before, and the others."""
@@ -83,7 +101,7 @@ class Encoder:
         new = list({x for p in pieces if (x := made[p][0] if p in made else p) not in spaced})
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
-            spaced.update(zip(some, self.whole([" " + x for x in some]), strict=True))
+            spaced.update(zip(some, self.lines(some), strict=True))
         new = list({x for _, rest in made.values() for x in rest if x not in plain})
         if new:
             plain.update(zip(new, self.whole(new), strict=True))
