@@ -13,8 +13,8 @@ by the sum of lesser numbers; pairs that can't reach the limit go no further, an
 compared with whole buckets.
 
 No link between different components is lost, and pairs inside a component that the others already connect are never
-made. The bits of meta above SALT_SHIFT say which part of its bucket a row was dealt to; a hot bucket's first ids are in
-every part.
+made. The bits of meta above SALT_SHIFT are 0, or DEALT and the part of its bucket that a row was dealt to; a hot bucket's
+first ids are in every part.
 """
 
 import numpy as np
@@ -28,7 +28,7 @@ from ._scratch import Scratch
 SMALL, FIRST, NEXT = 12, 4, 24
 #: Rows of one side of a block in the last comparison.
 BLOCK_ROWS = 2_000
-SALT_SHIFT, SALT_BITS = 56, 7
+SALT_SHIFT, SALT_BITS, DEALT = 56, 7, 64
 PAIR_SCHEMA = "a long, b long, ma long, mb long"
 U = np.uint64
 
@@ -123,7 +123,7 @@ class Buckets:
         left, right = np.concatenate(left), np.concatenate(right)
         good = (i[left] != i[right]) & self.feasible(m[left], m[right])
         left, right = left[good], right[good]
-        large = np.flatnonzero(size > SMALL)
+        large = np.flatnonzero((size > SMALL) | (self.salt(rows) > 0))  # a dealt bucket's parts haven't met each other
         return self.rows(rows, left, right, large, everything, again)
 
     def rows(self, rows, left, right, large, everything, again):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._links import SALT_SHIFT, distinct_pairs, first_candidates, linked_components, shape
+from ._links import DEALT, SALT_SHIFT, distinct_pairs, first_candidates, linked_components, shape
 from ._scratch import Scratch
 from ._text import longs, mix, slices
 
@@ -133,12 +133,12 @@ def _prefixes(classes):
                 ids.append(np.full(len(some), cid, np.int64))
                 parts = np.int64(1) << np.clip(hot, 0, 6)
                 share = (cid + (1 << 63)) >> 57  # the id's first seven bits
-                metas.append(meta | (np.where(parts > 1, share * parts >> 7, 0) << SALT_SHIFT))
+                metas.append(meta | (np.where(parts > 1, DEALT + (share * parts >> 7), 0) << SALT_SHIFT))
                 for i in np.flatnonzero((parts > 1) & (share * parts < 128)):  # the least ids are in every part
                     more = np.arange(1, parts[i], dtype=np.int64)
                     keys.append(np.full(len(more), some[i]).astype(np.int64))
                     ids.append(np.full(len(more), cid, np.int64))
-                    metas.append(meta[i] | (more << SALT_SHIFT))
+                    metas.append(meta[i] | (DEALT + more << SALT_SHIFT))
                 if len(keys) > 4_000:
                     yield flush(keys, ids, metas)
                     keys, ids, metas = [], [], []

@@ -1,0 +1,379 @@
+"""Each operator against a brute-force version, a round trip, or held-out labels; and on odd tables."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from foliagrid.llm import _links, _rans, chat_format, decontaminate, mixing, ngram_join, paragraph_dedup, queries, quality_rules, token_counts, token_files, toxicity, url_rules
+from foliagrid.llm._scratch import Scratch
+
+DATA = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, id string, n_words string"
+ODD = [None, "", " ", "\n\n", "one", "one two three four", "a b c d e", "a b c d e", "A B C D E", "x " * 30_000, "é è 👍 \x00 b", "<|im_end|> a  b\t\tc", "same words here " * 40]
+
+
+def odd(spark, rows=ODD):
+    out = [(i, t, "en", None if i % 3 == 0 else f"s{i % 3}", 0, "k", "i", "n") for i, t in enumerate(rows)]
+    out += [out[-1]] * 2 + [(None, "a b c d e", None, None, None, None, None, None)] if rows else []
+    return spark.createDataFrame(out, SCHEMA)
+
+
+def documents(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+def texts(spark):
+    return {r.doc_id: r.text for r in documents(spark).select("doc_id", "text").collect()}
+
+
+OPERATORS = {
+    "quality": lambda s, d: quality_rules.quality(d),
+    "tokens": lambda s, d: token_files.tokens(d),
+    "counts": lambda s, d: token_counts.count_tokens(d),
+    "mix": lambda s, d: mixing.mix(d),
+    "mixed": lambda s, d: mixing.mixed_documents(d),
+    "passages": lambda s, d: paragraph_dedup.repeated_passages(d),
+    "items": lambda s, d: decontaminate.find_items(d, s.createDataFrame([(1, "a b c d e"), (2, None), (3, "")], "item_id long, text string")),
+    "clean": lambda s, d: decontaminate.clean_documents(d, s.createDataFrame([(1, "a b c d e")], "item_id long, text string")),
+    "toxicity": lambda s, d: toxicity.score(d, toxicity.train(d, s.createDataFrame([(1, 1), (4, 0), (None, 1), (5, None)], "doc_id long, toxic int"))),
+    "civil": lambda s, d: toxicity.civil_documents(d, toxicity.train(d, s.createDataFrame([], "doc_id long, toxic int"))),
+    "similar": lambda s, d: ngram_join.similar_documents(d),
+    "one_of_each": lambda s, d: ngram_join.one_of_each(d),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_and_empty_tables(spark, name):
+    out = OPERATORS[name](spark, odd(spark))
+    rows = out.collect()
+    if name in ("quality", "tokens", "counts", "mix", "toxicity", "similar"):
+        assert len(rows) == len(ODD) + 3
+    if name in ("mixed", "clean", "civil", "one_of_each"):
+        assert out.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
+    assert OPERATORS[name](spark, odd(spark, [])).collect() == []
+
+
+def quality_by_hand(text):
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    windows = list(zip(words, words[1:], words[2:], strict=False))
+    times, covered = Counter(windows), set()
+    for i, w in enumerate(windows):
+        if times[w] > 1:
+            covered |= {i, i + 1, i + 2}
+    n = len(words)
+    return n, sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), n < 50 or 100 * len(covered) > 50 * n
+
+
+def test_quality_counts(spark):
+    want = {i: quality_by_hand(t) for i, t in texts(spark).items()}
+    got = queries.op1_quality_rules(spark, DATA).collect()
+    assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got} == want
+    rows = odd(spark).filter("doc_id is not null").dropDuplicates(["doc_id"])
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules.quality(rows).collect()}
+    assert got == {i: quality_by_hand(t) for i, t in enumerate(ODD)}
+
+
+def test_quality_verdicts_and_long_path(spark, monkeypatch):
+    got = queries.op1_quality_rules(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").toPandas()
+    assert (got.kept == ((got.quality == 1) & ~got.base_failed)).mean() > 0.98
+    monkeypatch.setattr(quality_rules, "POSITION_BITS", 3)  # every text is too long for packed keys
+    docs = documents(spark).limit(30)
+    want = {r.doc_id: quality_by_hand(r.text)[4] for r in docs.collect()}
+    assert {r.doc_id: r.n_repeat_words for r in quality_rules.text_counts(docs).collect()} == want
+
+
+def test_label_model_by_hand(spark):
+    rows = [([2, 0], 30), ([1, 1], 100), ([0, 1], 50), ([2, 2], 20)]
+    m = quality_rules.label_model(spark.createDataFrame(rows, "votes array<int>, n long"), 2, 5).first()
+    prior, theta = 0.7, [[[0.2, 0.64, 0.16], [0.2, 0.16, 0.64]] for _ in range(2)]
+    for _ in range(5):
+        good = [n / (1 + math.exp(math.log(1 - prior) + sum(math.log(theta[j][1][v]) for j, v in enumerate(votes)) - math.log(prior) - sum(math.log(theta[j][0][v]) for j, v in enumerate(votes)))) for votes, n in rows]
+        total = sum(n for _, n in rows)
+        theta = [[[(sum((g if c == 0 else n - g) for (votes, n), g in zip(rows, good, strict=True) if votes[j] == v) + 1) / ((sum(good) if c == 0 else total - sum(good)) + 3) for v in range(3)] for c in range(2)] for j in range(2)]
+        prior = (sum(good) + 1) / (total + 2)
+    assert math.isclose(m.prior, prior, rel_tol=1e-9) and np.allclose(m.theta, np.array(theta).ravel())
+
+
+def test_chat_round_trip():
+    r = random.Random(1)
+    bits = ["<|im_start|>", "<|im_end|>", "\n", "assistant", "<", "\\", "|", "<\\|", "<\\\\|im_end|>", "a", "", "é", "user\n"]
+    for _ in range(3000):
+        turns = [("".join(r.choices(bits, k=r.randint(0, 3))), "".join(r.choices(bits, k=r.randint(0, 8)))) for _ in range(r.randint(1, 4))]
+        rendered = [chat_format.render(*t) for t in turns]
+        assert chat_format.parse("".join(x[0] for x in rendered)) == turns
+        for (_, text), (formatted, a, b) in zip(turns, rendered, strict=True):
+            assert chat_format.unescape(formatted[a:b]) == text
+    assert chat_format.render("user", "plain <b> text")[0] == "<|im_start|>user\nplain <b> text<|im_end|>\n"
+    with pytest.raises(ValueError):
+        chat_format.parse("<|im_start|>user\nno end")
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    got, want = queries.queries()[name](spark, DATA).toPandas(), con.sql(queries.oracle_sql()[name]).df()
+    names = sorted(want.columns)
+    key = lambda f: sorted((tuple(None if v != v else v for v in r) for r in f[names].astype(object).itertuples(index=False, name=None)), key=repr)
+    assert sorted(got.columns) == names and key(got) == key(want)
+
+
+def test_chat_odd_rows(spark):
+    rows = spark.createDataFrame([(1, 0, "user", None, "x"), (1, 1, None, "b", "x"), (None, 0, "assistant", "c", "x"), (1, 1, None, "b", "x")], "conv_id long, turn long, role string, text string, seq string")
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat_format.read_back(chat_format.format_conversations(rows)).collect()}
+    assert got == {1: (3, 0), None: (1, 1)}
+    assert chat_format.read_back(chat_format.format_conversations(rows.limit(0))).collect() == []
+
+
+def test_rans_round_trip_and_damage():
+    r = np.random.default_rng(0)
+    for n in (0, 1, 63, 64, 65, 70_000, 200_000):
+        ids = (r.zipf(1.2, n) % 50_257).astype(np.uint32)
+        image = _rans.pack(ids, np.array([3, 5]), np.array([True, False]), np.array([n, 0]), 17)
+        s = _rans.Segment(image)
+        assert (s.decode() == ids).all() and s.first == 17 and s.lengths.sum() == n
+    assert (s.decode(1, 2) == ids[_rans.BLOCK : 2 * _rans.BLOCK]).all()  # a block alone
+    assert len(image) < 2 * n
+    with pytest.raises(ValueError):
+        _rans.Segment(image[:500] + bytes([image[500] ^ 1]) + image[501:])
+    one = np.full(1000, 7, np.uint32)
+    assert (_rans.Segment(_rans.pack(one, np.array([1]), np.array([True]), np.array([1000]), 0)).decode() == one).all()
+
+
+def test_tokens(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_files.default_tokenizer())
+    start, want = 0, []
+    for i, text in sorted(texts(spark).items()):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 0]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, queries.op3_token_files(spark, DATA).collect())) == want
+    odd_texts = ["", " ", "  ", " a", "a ", "a \n b", "a\n\nb c", "x \u3000y z", "it's he'll  ok\n", "a <|endoftext|>b c", "\r\n a b", "a\x1c b", "x², y½! ٣. ab_. a__,", "\nfoo\nbar.\n", "foo,' bar.'s 'll.", "ªº. º.", "Ⅷ. ㍿. ·.", "…", None]
+    got = token_files.Encoder(token_files.default_tokenizer()).encode(odd_texts)
+    assert [list(g) for g in got] == [t.encode(x or "", add_special_tokens=False).ids for x in odd_texts]
+
+
+def test_token_counts(spark):
+    scores = token_counts.read_vocabulary(token_counts.default_vocabulary())
+    some = dict(list(texts(spark).items())[:25]) | {-1: None, -2: "", -3: " \n x" + "y" * 300 + "z" * 9000, -4: "👍 é  a"}
+    df = spark.createDataFrame(list(some.items()), "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df).collect()} == {i: token_counts.brute_force(t, scores) for i, t in some.items()}
+
+
+def test_mix_targets_copies_and_parts(spark, monkeypatch):
+    p = mixing.mix(documents(spark)).toPandas()
+    by = p.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("source_size", "first"), most=("size", "max"))
+    assert math.isclose(by.target.sum(), 1.5 * p["size"].sum()) and (by.target <= 2 * by["size"] + 1e-6).all()
+    assert ((by.taken - by.target).abs() <= by.most + 1e-6).all() and p.copies.between(0, 2).all()
+    weights = [5, 2, 1]  # sharing what is above the limits again and again comes to the same targets
+    target, left = dict.fromkeys(by.index, 0.0), set(by.index)
+    rest = 1.5 * p["size"].sum()
+    w = {s: weights[i % 3] for i, s in enumerate(sorted(by.index))}
+    while left:
+        share = {s: rest * w[s] / sum(w[x] for x in left) for s in left}
+        full = [s for s in left if share[s] > 2 * by["size"][s]]
+        if not full:
+            target |= share
+            break
+        for s in full:
+            target[s] = 2.0 * by["size"][s]
+            rest -= target[s]
+            left.discard(s)
+    assert all(math.isclose(target[s], by.target[s], rel_tol=1e-9) for s in by.index)
+    same = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"), F.when(F.col("id") % 2 == 0, "a").alias("source"))
+    monkeypatch.setattr(mixing, "GROUP_ROWS", 100)
+    q = mixing.mix(same).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
+    assert all(abs(r.t - r.g) <= 2 for r in q)
+    assert mixing.mixed_documents(same).count() == sum(r.t for r in q) / 2
+
+
+def groups_by_hand(rows):
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b]:
+                o = len(sets[a] & sets[b])
+                if 100 * o >= 80 * (len(sets[a]) + len(sets[b]) - o):
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def near_copies(n, words=60, seed=2):
+    """A chain-like group: many texts near a centre, most pairs on either side of the limit."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(10_000)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        t = list(base)
+        for _ in range(r.randint(0, 3)):
+            t[r.randrange(words)] = f"v{r.randrange(10**6)}"
+        out.append(" ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("classes", ["usual", "hot"])
+def test_ngram_join_large_groups(spark, monkeypatch, classes):
+    if classes == "hot":
+        monkeypatch.setattr(ngram_join, "HOT_CLASS", 3)
+    monkeypatch.setattr(_links.Buckets, "HOLD", 40)
+    monkeypatch.setattr(_links, "BLOCK_ROWS", 50)
+    r = random.Random(9)
+    shared = " ".join(f"s{k}" for k in range(30))
+    rows = near_copies(250) + near_copies(120, 25, 3) + [shared + " " + " ".join(f"u{r.randrange(10**6)}" for _ in range(r.randint(5, 12))) for _ in range(150)]
+    rows += ["tiny", "tiny", "two words", "", None] + [rows[0]] * 40
+    r.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == groups_by_hand(rows)
+
+
+def test_components_of_a_path(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long").repartition(7)
+    got = {r.id: r.comp for r in _links.components(links, Scratch(spark, "t"), "c").collect()}
+    assert got == dict.fromkeys(range(301), 0) | {1000: 1000, 1001: 1000}
+
+
+def test_passages(spark):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(5000)] + ["the", "of", "and"] * 600
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows, planted = [], set()
+    for _ in range(60):
+        passage = text(r.choice([51, 55, 70]))
+        for _ in range(2):
+            planted.add(len(rows))
+            rows.append((len(rows), f"{text(r.randint(5, 200))} {passage} {text(r.randint(5, 200))}"))
+    rows += [(len(rows) + i, text(r.randint(20, 500))) for i in range(200)]
+    line = text(40)
+    near = line.split()
+    near[39] = "changed"
+    rows += [(5000, f"{text(30)}\n{line}\n{text(20)}"), (5001, f"{text(30)}\n{' '.join(near)}\n{text(20)}")]
+    got = paragraph_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id for x in got} == planted | {5000, 5001}
+    assert {x.removed for x in got if x.doc_id in planted and x.doc_id % 2 == 0} == {False}
+    assert {x.removed for x in got if x.doc_id in planted and x.doc_id % 2} == {True}
+
+
+def test_decontamination(spark):
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(r.choices(words, k=r.randint(9, 60)))) for i in range(40)] + [(40, "one two three")]
+    rows, want = [], set()
+    for i, (item, text) in enumerate(items):
+        rows.append((i, " ".join(r.choices(words, k=r.randint(0, 300))) + "\n" + text.upper() + " " + " ".join(r.choices(words, k=50))))
+        want.add((i, item))
+        part = text.split()[: max(2, len(text.split()) // 2)]  # half of an item is no match
+        rows.append((1000 + i, " ".join(part) + " " + " ".join(r.choices(words, k=100))))
+    got = decontaminate.find_items(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == want
+    prints = np.random.default_rng(0).integers(0, 1 << 63, 500).astype(np.uint64)
+    prints[1] = prints[0] ^ np.uint64(0b1011)
+    index = decontaminate.HammingIndex(prints)
+    for x in prints[:20]:
+        far = np.bitwise_count(prints ^ x)
+        near, bits = index.within(x)
+        assert list(near) == list(np.flatnonzero(far <= decontaminate.RADIUS)) and list(bits) == list(far[near])
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"a{i} b c d e f{i}") for i in range(7)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"x y a{i} b c d e f{i} z") for i in range(7)], "doc_id long, text string")
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 3)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_items(docs, items).collect()} == {(i, i) for i in range(7)}
+    assert decontaminate.clean_documents(docs, items).count() == 0
+
+
+def test_toxicity_held_out(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.train(docs, labels.filter("doc_id % 2 = 0"))
+    assert (np.diff(model.thresholds) > 0).all()
+    got = toxicity.score(docs, model).join(labels.filter("doc_id % 2 = 1"), "doc_id").toPandas()
+    assert got.kept[got.toxic == 0].mean() > 0.995 and (~got.kept[got.toxic == 1]).mean() > 0.85
+    assert got.severity.between(0, toxicity.GRADES - 1).all()
+
+
+def test_ordinal_gradient():
+    r = np.random.default_rng(1)
+    x = [np.flatnonzero(r.random(6) < 0.4) for _ in range(400)]
+    truth = np.array([2.0, 1.0, 0.0, -1.0, 0.5, 0.0])
+    score = np.array([truth[f].sum() for f in x]) + r.logistic(size=400)
+    grades = np.digitize(score, [0.5, 2.0])
+    w, t = toxicity.fit_ordinal(x, grades, 6, 3, penalty=0.01, rounds=1500)
+    assert t[0] < t[1] and np.corrcoef(w, truth)[0, 1] > 0.95
+
+
+def url_by_hand(url, rules, default):
+    if url is None or "://" not in url:
+        return "", "", None, default
+    rest = url.split("://", 1)[1]
+    host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+    path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+    host = host.translate(LOWER)
+    fits = [(len(h) + len(p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p) and host]
+    return host, path, *(max(fits)[1:] if fits else (None, default))
+
+
+def test_url_rules(spark, monkeypatch):
+    r = random.Random(3)
+    names = ["org", "com", "example.org", "m.example.org", "xexample.org", "a.b.c.example.com", "example.com", "example.org.", "", "org.example", "EXAMPLE.org"]
+    urls = [f"http{r.choice(['', 's'])}://{r.choice(names)}{r.choice(['', '/', '/es/1', '/en/1', '/en/12?x=/es/', '/de/#a', '?q=1', '#f', '/fr/'])}" for _ in range(800)] + [None, "", "no scheme", "a://b://c/d", "http://h\n.org/es/"]
+    rules = [*url_rules.RULES, ("m.example.org", "/en/", "allow"), ("b.c.example.com", "", "block"), ("example.com", "/de/", "allow")]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for at_once in (100_000, 2):
+        monkeypatch.setattr(url_rules, "RULES_AT_ONCE", at_once)
+        got = url_rules.judge_urls(rows, rules).collect()
+        assert {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in got} == {i: url_by_hand(u, rules, url_rules.DEFAULT) for i, u in enumerate(urls)}
+
+
+def test_sweep_from_the_middle():
+    sweep = url_rules.Sweep(url_rules.RULES)
+    assert sweep.judge("org.example.zzz.", "/es/1")[1] == "example.org/es/"
+    assert url_rules.Sweep([]).judge("org.", "/") is None
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    names, kept = docs.columns, docs
+    scratch = Scratch(spark, "test")
+    sizes = [docs.count()]
+    for name, stage in c.STAGES[:-1]:
+        kept = scratch.save(stage(spark, kept, DATA), name)
+        assert kept.columns == names
+        sizes.append(kept.count())
+    assert sizes[0] > sizes[1] > sizes[2] > sizes[3] > 0
+    by_hand = groups_by_hand([(r.doc_id, r.text) for r in scratch.read("toxicity", docs.schema).collect()])
+    assert {r.doc_id for r in scratch.read("ngram_join", docs.schema).collect()} == {i for i, (_, comp) in by_hand.items() if i == comp}
+    out = c.run(spark, DATA)
+    assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() == sizes[4]
+    assert out.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] == out.agg(F.sum("n_tokens")).first()[0]
+
+
