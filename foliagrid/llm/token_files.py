@@ -18,8 +18,8 @@ from ._scratch import Scratch
 END_ID = 0
 #: Ids after which a segment is closed, at the end of a document.
 SEGMENT_IDS = 1 << 20
-#: Pieces of text whose ids a worker process remembers, about 150 bytes each.
-MEMO = 1_000_000
+#: Pieces of text whose ids a task remembers, about 200 bytes each.
+MEMO = 500_000
 #: Pieces in a call's text.
 LINES = 64
 #: Documents that are encoded together.
@@ -126,20 +126,9 @@ class Encoder:
         return [np.frombuffer(x, self.dtype) for x in out]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder_for(path: str) -> Encoder:
-    """A worker process keeps its encoder, and what it remembers, from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def _writer(path: str):
     def write(batches):
-        gc.disable()  # a worker makes millions of small objects and no cycles
-        encoder = encoder_for(path)
+        encoder = Encoder(path)
         shard = TaskContext.get().partitionId()
         segment, before = 0, 0
         ids, docs, valid, held = [], [], [], 0
@@ -153,18 +142,24 @@ def _writer(path: str):
             ids, docs, valid, held = [], [], [], 0
             return row
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, DOCS):
-                part = batch.slice(at, DOCS)
-                for doc, some in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
-                    ids.append(np.append(some, encoder.dtype(END_ID)))
-                    docs.append(doc or 0)
-                    valid.append(doc is not None)
-                    held += len(some) + 1
-                    if held >= SEGMENT_IDS:
-                        yield closed()
-        if docs:
-            yield closed()
+        gc.disable()  # millions of small objects and no cycles
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, DOCS):
+                    part = batch.slice(at, DOCS)
+                    for doc, some in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
+                        ids.append(np.append(some, encoder.dtype(END_ID)))
+                        docs.append(doc or 0)
+                        valid.append(doc is not None)
+                        held += len(some) + 1
+                        if held >= SEGMENT_IDS:
+                            yield closed()
+            if docs:
+                yield closed()
+        finally:
+            encoder.spaced.clear()  # the worker process lives on, and others need its memory
+            encoder.plain.clear()
+            gc.enable()
 
     return write
 
