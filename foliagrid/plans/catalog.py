@@ -455,9 +455,9 @@ def resample_nearest(spark, sf_dir):
     return raster.coarser(line_mosaic(spark, sf_dir), 2, ["q95"]).select("row", "col", *r8("q95"))
 
 
-@query(f'WITH {M} SELECT "row" // 2 AS "row", col // 2 AS col, round(avg(round(q95, 6)), 10) AS q95 FROM mosaic GROUP BY ALL')
+@query(f'WITH {M} SELECT "row" // 2 AS "row", col // 2 AS col, round(avg(round(q95, 8)), 11) AS q95 FROM mosaic GROUP BY ALL')
 def resample_mean(spark, sf_dir):
-    return raster.coarser(line_mosaic(spark, sf_dir).withColumn("q95", F.round("q95", 6)), 2, ["q95"], "mean").select("row", "col", F.round("q95", 10).alias("q95"))
+    return raster.coarser(line_mosaic(spark, sf_dir).withColumn("q95", F.round("q95", 8)), 2, ["q95"], "mean").select("row", "col", F.round("q95", 11).alias("q95"))
 
 
 def places(spark, sf_dir):
