@@ -1,10 +1,12 @@
-"""Passages that repeat across documents, by MinHash banding of paragraphs.
-
-A paragraph ends at a newline, and at words that its own neighbourhood chooses: a word whose hash is the least among the
-REACH words on either side begins a new one. So a passage that was pasted into the middle of a line has the same
-paragraph ends wherever it stands, except near its own ends. Paragraphs that agree in a band of MinHashes meet, their
-exact Jaccard similarity of 5-word shingles is computed, and links make components. Runs of neighbouring paragraphs that
-occur in several documents are reported; all occurrences but the first are to be removed.
+"""Passages and paragraphs that repeat across documents, by MinHash banding.
+
+Two kinds of units are compared. Paragraphs are lines, of any length. Pieces are cut at words that their own neighbourhood
+chooses, whatever the newlines: a word whose hash is the least among the REACH words on either side begins a new one. So a
+passage that was pasted into another document has the same pieces wherever it stands and however its lines are broken,
+except near its own ends. Units that agree in a band of MinHashes meet, their exact Jaccard similarity of 5-word shingles
+(of all words, in a shorter line) is computed, and links make components. Pieces that occur in several documents are
+extended word by word as far as they agree with the first occurrence, and neighbours are joined to runs; all occurrences
+but the first are to be removed.
 """
 
 import numpy as np
@@ -19,7 +21,7 @@ from ._text import GRAM_SALTS, Texts, longs, mix, powers, slices
 SHINGLE = 5
 PERCENT = 80
 REACH = 5
-#: Least words of a paragraph that is compared, and of a run that is reported.
+#: Least words of a piece (only a document's first and last can have fewer) and of a run of pieces without a whole line.
 LEAST_WORDS, LEAST_RUN = 6, 14
 #: At similarity s a pair shares a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.983 at 0.8, 1 for equal ones.
 BANDS, ROWS = 4, 2
@@ -30,29 +32,31 @@ U = np.uint64
 
 
 class Paragraphs:
-    """Paragraphs of LEAST_WORDS words or more: row, number in the row, first word, words, and a hash of the words."""
+    """Pieces, then lines: row, first word, words, whether a line, and a hash of the words."""
 
     def __init__(self, t: Texts):
         h, n = t.hashes, len(t.starts)
         row = np.repeat(np.arange(len(t.n_words)), t.n_words)
         weight = mix(h ^ GRAM_SALTS[-3])
-        line = np.cumsum(t.data == 10)[t.starts] if n else np.zeros(0, np.int64)
+        broken = np.cumsum(t.data == 10)[t.starts] if n else np.zeros(0, np.int64)
         anchor = np.ones(n, bool)
         for step in range(1, REACH + 1):
             same = row[step:] == row[:-step]
             anchor[step:] &= ~same | (weight[step:] < weight[:-step])
             anchor[:-step] &= ~same | (weight[:-step] <= weight[step:])
-        begins = anchor
-        begins[1:] |= (row[1:] != row[:-1]) | (line[1:] != line[:-1])
-        begins[:1] = True
-        starts = np.flatnonzero(begins)
-        ends = np.append(starts[1:], n)
-        number = np.arange(len(starts)) - np.searchsorted(starts, t.ptr[row[starts]])
-        some = ends - starts >= LEAST_WORDS
-        self.starts, self.ends = starts[some], ends[some]
-        self.row, self.number = row[self.starts], number[some]
-        self.first_word = self.starts - t.ptr[self.row]
+        new_row = np.ones(n, bool)
+        new_row[1:] = row[1:] != row[:-1]
+        new_line = new_row.copy()
+        new_line[1:] |= broken[1:] != broken[:-1]
+        self.cuts = np.append(np.flatnonzero(anchor | new_row), n)
+        some = np.diff(self.cuts) >= LEAST_WORDS
+        self.starts, self.ends = self.cuts[:-1][some], self.cuts[1:][some]
+        self.line = np.arange(len(self.starts)) >= np.count_nonzero(some)
+        self.row = row[self.starts]
+        self.row_starts, self.row_ends = t.ptr[self.row], t.ptr[self.row + 1]
+        self.first_word = self.starts - self.row_starts
         self.n_words = self.ends - self.starts
+        self.words = (h >> U(32)).astype(np.uint32)
         up, down = powers(n + 1)
         total = np.zeros(n + 1, U)
         np.cumsum(h * up[:-1], out=total[1:])
@@ -63,19 +67,44 @@ class Paragraphs:
         self.grams = mix(self.grams)
 
     def shingles(self, i: int) -> np.ndarray:
+        if self.n_words[i] < SHINGLE:
+            return mix(self.ids[i : i + 1].astype(U))
         return np.unique(self.grams[self.starts[i] : self.ends[i] - SHINGLE + 1])
 
+    def around(self, some: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """The words before these pieces, backwards to the last cut, and after them, to the next one; none for lines.
+
+        A cut may hang on words up to REACH away that aren't repeated, so REACH more words are taken: any other is shared.
+        """
+        at = np.searchsorted(self.cuts, self.starts[some])
+        before = self.starts[some] - np.maximum(self.cuts[np.maximum(at - 1, 0)] - REACH, self.row_starts[some])
+        after = np.minimum(self.cuts[np.minimum(np.searchsorted(self.cuts, self.ends[some], "right"), len(self.cuts) - 1)] + REACH, self.row_ends[some]) - self.ends[some]
+        out = []
+        for n, first, step in ((before, self.starts[some] - 1, -1), (after, self.ends[some], 1)):
+            n = np.where(self.line[some], 0, n)
+            offsets = np.concatenate([[0], np.cumsum(n)])
+            place = np.arange(offsets[-1]) - np.repeat(offsets[:-1], n)
+            flat = self.words[np.repeat(first, n) + step * place]
+            out.append(pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(flat.tobytes())]))
+        return out[0], out[1]
+
     def bands(self) -> np.ndarray:
         """Keys (bands, paragraphs): two MinHashes each, of multiplications by odd numbers."""
         if not len(self.starts):
             return np.zeros((BANDS, 0), np.int64)
-        edges = np.stack([self.starts, self.ends - SHINGLE + 1], axis=1).ravel()
+        short = np.flatnonzero(self.n_words < SHINGLE)
+        edges = np.stack([self.starts, self.ends - SHINGLE + 1], axis=1)
+        edges[short] = 0
+        edges = edges.ravel()
+        whole = mix(self.ids[short].astype(U))
         padded = np.append(self.grams, np.zeros(1, U))
         out = []
         for b in range(BANDS):
             key = np.full(len(self.starts), b + 1, U)
             for r in range(ROWS):
-                key = mix(key ^ np.minimum.reduceat(padded * GRAM_SALTS[8 + b * ROWS + r], edges)[::2])
+                least = np.minimum.reduceat(padded * GRAM_SALTS[8 + b * ROWS + r], edges)[::2]
+                least[short] = whole * GRAM_SALTS[8 + b * ROWS + r]
+                key = mix(key ^ least)
             out.append(key.astype(np.int64))
         return np.stack(out)
 
@@ -159,22 +188,41 @@ def _occurrences(ids_in):
                 p = Paragraphs(t)
                 some = np.flatnonzero(has_bit(id_filter, p.ids))
                 at = first + p.row[some]
-                yield pa.RecordBatch.from_arrays([pa.array(docs[at], mask=~valid[at]), pa.array(p.number[some]), pa.array(p.first_word[some]), pa.array(p.n_words[some]), pa.array(p.ids[some])], names=["doc_id", "number", "start_word", "n_words", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs[at], mask=~valid[at]), pa.array(p.first_word[some]), pa.array(p.n_words[some]), pa.array(p.line[some]), *p.around(some), pa.array(p.ids[some])], names=["doc_id", "start_word", "n_words", "line", "before", "after", "id"])
 
     return occurrences
 
 
+def agreeing(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """How many words two columns of words have in common from their beginnings, row by row; a null has none."""
+    x, y = ([np.frombuffer(v.as_buffer(), np.uint32) if v.is_valid else np.zeros(0, np.uint32) for v in c] for c in (x, y))
+    out = np.zeros(len(x), np.int64)
+    for i, (a, b) in enumerate(zip(x, y, strict=True)):
+        n = min(len(a), len(b))
+        if n and a[0] == b[0]:
+            differ = np.flatnonzero(a[:n] != b[:n])
+            out[i] = differ[0] if len(differ) else n
+    return out
+
+
+def _extended(batches):
+    for batch in batches:
+        left, right = (agreeing(batch.column(k), batch.column(f"first_{k}")) for k in ("before", "after"))
+        rest = batch.drop_columns(["before", "after", "first_before", "first_after"])
+        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(left), pa.array(right)], names=[*rest.schema.names, "left", "right"])
+
+
 def any_pair(ma: np.ndarray, mb: np.ndarray) -> np.ndarray:
     return np.ones(len(ma), bool)
 
 
 def repeated_passages(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
-    """A row for each run of paragraphs that occur in several documents: doc_id, start_word, n_words, component_id (of
-    the run's first paragraph), first_doc_id (the least with it) and removed (whether an earlier occurrence stays).
+    """A row for each run of units that occur in several documents: doc_id, start_word, n_words, component_id (of the
+    run's first unit), first_doc_id (the least with it) and removed (whether an earlier occurrence stays).
 
-    Earlier is by doc_id, then place. Runs of fewer than least_run words are left alone. Null and empty texts have no
-    paragraphs; a null doc_id comes after all others; rows that repeat a doc_id count as one document; other columns are
-    ignored.
+    Earlier is by doc_id, then place. Runs of fewer than least_run words are left alone, unless a whole line is linked.
+    Null and empty texts have no units; a null doc_id comes after all others; rows that repeat a doc_id count as one
+    document; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "paragraphs")
@@ -196,16 +244,26 @@ def repeated_passages(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     twice = again.filter("ma <> mb").select("id").distinct()
     nodes = scratch.save(twice.join(comps, "id", "full").select("id", F.coalesce("comp", "id").alias("comp")), "nodes")
     scratch.drop("buckets", "wanted", "shapes")
-    found = rows.mapInArrow(_occurrences(send(bits_of(nodes, "id", ID_BITS))), "doc_id long, number long, start_word long, n_words long, id long")
+    found = rows.mapInArrow(_occurrences(send(bits_of(nodes, "id", ID_BITS))), "doc_id long, start_word long, n_words long, line boolean, before binary, after binary, id long")
     found = scratch.save(found.join(nodes, "id").drop("id"), "found")
-    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "number")
-    spread = found.groupBy("comp").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    spread = spread.filter(~F.col("first.doc_id").eqNullSafe(F.col("last.doc_id"))).select("comp", "first")
-    known = found.join(spread, "comp").withColumn("removed", ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("number") == F.col("first.number"))))
-    order = Window.partitionBy("doc_id").orderBy("number", "start_word")
-    starts = F.coalesce((F.col("number") > F.lag("number").over(order) + 1) | (F.col("removed") != F.lag("removed").over(order)), F.lit(True))
-    run = known.withColumn("starts", starts.cast("int")).withColumn("run", F.sum("starts").over(order))
-    first = F.min_by(F.struct("comp", "first"), F.col("start_word"))
-    runs = run.groupBy("doc_id", "run").agg(F.min("start_word").alias("start_word"), F.max(F.col("start_word") + F.col("n_words")).alias("end_word"), first.alias("f"), F.first("removed").alias("removed"))
-    out = runs.select("doc_id", "start_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), F.col("f.comp").alias("component_id"), F.col("f.first.doc_id").alias("first_doc_id"), "removed")
-    return out.filter(F.col("n_words") >= least_run)
+    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "start_word", (-F.col("n_words")).alias("less"), "line", "before", "after")
+    last = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id")
+    spread = found.groupBy("comp").agg(F.min(place).alias("first"), F.max(last).alias("last"))
+    spread = spread.filter(~F.col("first.doc_id").eqNullSafe(F.col("last.doc_id"))).select("comp", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start_word").alias("first_start"), (F.col("first.start_word") - F.col("first.less")).alias("first_end"), F.col("first.before").alias("first_before"), F.col("first.after").alias("first_after"))
+    known = found.join(spread, "comp").withColumn("end_word", F.col("start_word") + F.col("n_words"))
+    own = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("start_word") < F.col("first_end")) & (F.col("end_word") > F.col("first_start"))
+    names = ["doc_id", "start_word", "end_word", "line", "comp", "first_doc_id", "first_start", "first_end", "removed"]
+    known = known.withColumn("removed", ~own).select(*names, "before", "after", "first_before", "first_after")
+    known = scratch.save(known.mapInArrow(_extended, "doc_id long, start_word long, end_word long, line boolean, comp long, first_doc_id long, first_start long, first_end long, removed boolean, left long, right long"), "known")
+    scratch.drop("nodes", "found")
+    reach = lambda side: F.when(F.col("removed"), F.col(side)).otherwise(0)
+    spans = known.select("doc_id", (F.col("start_word") - reach("left")).alias("s"), (F.col("end_word") + reach("right")).alias("e"), "line", "removed", "comp", "first_doc_id")
+    firsts = known.filter("removed AND left + right > 0").groupBy("comp", "first_doc_id", "first_start", "first_end").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    firsts = firsts.select(F.col("first_doc_id").alias("doc_id"), (F.col("first_start") - F.col("left")).alias("s"), (F.col("first_end") + F.col("right")).alias("e"), F.lit(False).alias("line"), F.lit(False).alias("removed"), "comp", "first_doc_id")
+    order = Window.partitionBy("doc_id", "removed").orderBy("s", F.desc("e"), "comp")
+    starts = F.coalesce(F.col("s") > F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    run = spans.unionByName(firsts).withColumn("starts", starts.cast("int")).withColumn("run", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.min(F.struct("s", (-F.col("e")).alias("e"), "comp", "first_doc_id"))
+    runs = run.groupBy("doc_id", "removed", "run").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"), first.alias("f"), F.max("line").alias("line"))
+    runs = runs.filter((F.col("end_word") - F.col("start_word") >= least_run) | F.col("line"))
+    return runs.select("doc_id", "start_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), F.col("f.comp").alias("component_id"), F.col("f.first_doc_id").alias("first_doc_id"), "removed")

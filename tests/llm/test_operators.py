@@ -280,6 +280,24 @@ def test_passages(spark):
     assert {x.removed for x in got if x.doc_id in planted and x.doc_id % 2} == {True}
 
 
+def test_passages_in_short_lines(spark):
+    r = random.Random(15)
+    words = [f"w{i}" for i in range(20_000)]
+    some = lambda n: r.choices(words, k=n)
+    rows, want = [], {}
+    for per_line in range(3, 13):
+        for _ in range(12):
+            passage = some(r.randint(51, 120))
+            for shift in (0, r.randint(1, 2)):  # the second copy's lines are broken elsewhere
+                head = some(r.randint(20, 90))
+                lines = [passage[max(i, 0) : i + per_line] for i in range(-shift, len(passage), per_line)]
+                want[len(rows)] = (len(head), len(passage))
+                rows.append((len(rows), " ".join(head) + " " + "\n".join(" ".join(x) for x in lines if x) + " " + " ".join(some(40))))
+    got = paragraph_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for i, (start, n) in want.items():  # whole, and a near copy at either end may add a few words
+        assert any(start - 3 <= x.start_word <= start and start + n <= x.start_word + x.n_words <= start + n + 3 and x.removed == (i % 2 == 1) for x in got if x.doc_id == i), i
+
+
 def test_decontamination(spark):
     r = random.Random(4)
     words = [f"w{i}" for i in range(3000)]
