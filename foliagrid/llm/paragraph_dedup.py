@@ -49,8 +49,9 @@ class Paragraphs:
         new_line = new_row.copy()
         new_line[1:] |= broken[1:] != broken[:-1]
         self.cuts = np.append(np.flatnonzero(anchor | new_row), n)
+        lines = np.append(np.flatnonzero(new_line), n)
         some = np.diff(self.cuts) >= LEAST_WORDS
-        self.starts, self.ends = self.cuts[:-1][some], self.cuts[1:][some]
+        self.starts, self.ends = np.concatenate([self.cuts[:-1][some], lines[:-1]]), np.concatenate([self.cuts[1:][some], lines[1:]])
         self.line = np.arange(len(self.starts)) >= np.count_nonzero(some)
         self.row = row[self.starts]
         self.row_starts, self.row_ends = t.ptr[self.row], t.ptr[self.row + 1]

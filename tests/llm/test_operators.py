@@ -298,6 +298,30 @@ def test_passages_in_short_lines(spark):
         assert any(start - 3 <= x.start_word <= start and start + n <= x.start_word + x.n_words <= start + n + 3 and x.removed == (i % 2 == 1) for x in got if x.doc_id == i), i
 
 
+def test_paragraphs_by_hand(spark):
+    r = random.Random(16)
+    words = [f"w{i}" for i in range(20_000)]
+    texts, n = [], 0
+    for size in [1, 3, 4, 5, 6, 8, 13, 14, 20, 25, 40, 50, 80] * 6:
+        line = r.choices(words, k=size)
+        near = list(line)
+        if n % 2:
+            near[r.choice([0, -1, r.randrange(size)])] = f"v{n}"
+        n += 1
+        texts += [[r.choices(words, k=30), x, r.choices(words, k=30)] for x in (line, near)]
+    docs = [(i, "\n".join(" ".join(x) for x in t)) for i, t in enumerate(texts)]
+    shingles = lambda x: {tuple(x[k : k + 5]) for k in range(max(1, len(x) - 4))}
+    jaccard = lambda x, y: len(shingles(x) & shingles(y)) / len(shingles(x) | shingles(y))
+    sure, never = set(), set()
+    for i in range(0, len(texts), 2):
+        s = jaccard(texts[i][1], texts[i + 1][1])
+        (sure if s > 0.9 else never if s < 0.8 and len(texts[i][1]) < 14 else set()).update({i, i + 1})
+    got = paragraph_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    whole = {x.doc_id for x in got if x.start_word <= 30 and x.start_word + x.n_words >= 30 + len(texts[x.doc_id][1])}
+    assert sure <= whole and not never & {x.doc_id for x in got}
+    assert {x.doc_id for x in got if x.removed} & sure == {i for i in sure if i % 2}
+
+
 def test_decontamination(spark):
     r = random.Random(4)
     words = [f"w{i}" for i in range(3000)]
