@@ -70,6 +70,8 @@ class Benchmark:
             order = np.argsort(flat, kind="stable")
             values, starts = np.unique(flat[order], return_index=True)
             self.tables[int(k)] = values, np.append(starts, len(flat)), item[order], at[order]
+        self.all_sizes = np.unique(self.sizes)
+        self.total = np.array([self.weights(g).sum() for g in self.grams])
         ptr = np.concatenate([[0], np.cumsum([len(g) for g in self.grams])]).astype(np.int64)
         flat = np.concatenate([np.zeros(0, U), *self.grams])
         self.index = HammingIndex(fingerprints(flat, self.weights(flat), ptr) if len(some) else np.zeros(0, U))
@@ -89,31 +91,57 @@ class Benchmark:
         w = self.weights(values)
         return float((w * np.minimum(a, b)).sum() / (w * np.maximum(a, b)).sum())
 
-    def windows(self, t: Texts, k: int):
-        """Windows that hold a shingle of an item where the item has it: (row, size, first word), distinct.
+    def windows(self, t: Texts, k: int, threshold: float):
+        """Windows that can reach the threshold with an item: (row, size, first word), distinct, of all items' sizes.
 
-        A window without any of an item's shingles has similarity 0, so no other window can pass.
+        Similarity is M / (A + B - M) for weights A and B of item and window and M of what they share. M is at most the
+        weight of the window's shingles that the item has, so a window where that is too little can't pass.
         """
-        values, starts, item, at = self.tables[k]
+        values, starts, item, _ = self.tables[k]
         grams, ptr = t.grams(k)
+        none = grams, ptr, np.zeros((0, 3), np.int64)
         place = np.minimum(np.searchsorted(values, grams), len(values) - 1)
         hits = np.flatnonzero(values[place] == grams)
         hits = hits[t.n_words[np.searchsorted(ptr, hits, "right") - 1] >= k]
         if not len(hits):
-            return grams, ptr, np.zeros((0, 3), np.int64)
+            return none
         times = np.diff(starts)[place[hits]]
         post = np.repeat(starts[place[hits]] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
         hit = np.repeat(hits, times)
         row = np.searchsorted(ptr, hit, "right") - 1
-        first = np.maximum(hit - ptr[row] - at[post], 0)
-        size = np.minimum(self.sizes[item[post]], t.n_words[row] - first)
-        return grams, ptr, np.unique(np.stack([row, size, first], axis=1), axis=0)
+        pairs = np.unique(np.stack([row, item[post], hit], axis=1), axis=0)  # a shingle that an item repeats counts once at a place
+        heads = np.flatnonzero(np.append(True, (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)))
+        ends = np.append(heads[1:], len(pairs))
+        shared = np.add.reduceat(self.weights(grams[pairs[:, 2]]), heads)
+        near = np.flatnonzero(shared >= threshold * self.total[pairs[heads, 1]] - 1e-6)
+        if not len(near):
+            return none
+        weight = self.weights(grams)
+        whole = np.concatenate([[0.0], np.cumsum(weight)])
+        out = []
+        for p in near:
+            row, own = pairs[heads[p], :2]
+            at = pairs[heads[p] : ends[p], 2]
+            low, high = ptr[row], ptr[row + 1]
+            has = np.zeros(high - low + 1)
+            has[at - low + 1] = weight[at]
+            has = np.cumsum(has)
+            for size in self.all_sizes[np.minimum(self.all_sizes, SHINGLE) == k]:
+                n = int(size) - k + 1
+                if threshold * n > self.total[own] + 1e-6:  # every shingle weighs 1 at least
+                    break
+                first = np.arange(max(0, at[0] - low - n + 1), at[-1] - low + 1)
+                last = np.minimum(first + n, high - low)
+                m = has[last] - has[first]
+                first = first[m >= threshold * (self.total[own] + whole[low + last] - whole[low + first] - m) - 1e-6]
+                out.append(np.stack([np.full(len(first), row), np.minimum(size, t.n_words[row] - first), first], axis=1))
+        return grams, ptr, np.unique(np.concatenate([np.zeros((0, 3), np.int64), *out]), axis=0)
 
     def matches(self, t: Texts, threshold: float):
         """(row, item, similarity, hamming, first word, words) of windows that pass, the best for each row and item."""
         best: dict[tuple[int, int], tuple] = {}
         for k in self.tables:
-            grams, ptr, windows = self.windows(t, k)
+            grams, ptr, windows = self.windows(t, k, threshold)
             for i in range(0, len(windows), WINDOWS_AT_ONCE):
                 some = windows[i : i + WINDOWS_AT_ONCE]
                 parts = [grams[a : a + n - k + 1] for a, n in zip((ptr[some[:, 0]] + some[:, 2]).tolist(), some[:, 1].tolist(), strict=True)]

@@ -343,6 +343,31 @@ def test_decontamination(spark):
         assert list(near) == list(np.flatnonzero(far <= decontaminate.RADIUS)) and list(bits) == list(far[near])
 
 
+def test_decontamination_by_all_windows(spark):
+    r = random.Random(21)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(r.choices(words, k=r.choice([30, 50, 60, 100])))) for i in range(12)]
+    docs = []
+    for i, x in items:
+        w = x.split()
+        cut = r.randint(len(w) // 4, 3 * len(w) // 4)
+        docs.append((i, " ".join([*r.choices(words, k=20), *w[cut:], *w[:cut], *r.choices(words, k=20)])))
+    bench = decontaminate.Benchmark(items)
+    want = set()
+    for i, text in docs:
+        t = decontaminate.of_strings([text], lower=True)
+        grams = t.grams(5)[0]
+        for size in set(bench.sizes.tolist()):
+            for first in range(len(grams)):
+                part = grams[first : first + size - 4]
+                x = decontaminate.fingerprints(part, bench.weights(part), np.array([0, len(part)]))[0]
+                want |= {(i, j) for j in bench.index.within(x)[0].tolist() if bench.similarity(part, j) >= 0.8}
+    assert len(want) >= 6
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.find_items(*frames).collect()} == want
+    assert {x.doc_id for x in decontaminate.clean_documents(*frames).collect()} == {i for i, _ in docs} - {i for i, _ in want}
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     items = spark.createDataFrame([(i, f"a{i} b c d e f{i}") for i in range(7)], "item_id long, text string")
     docs = spark.createDataFrame([(i, f"x y a{i} b c d e f{i} z") for i in range(7)], "doc_id long, text string")
