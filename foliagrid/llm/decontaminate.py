@@ -12,7 +12,7 @@ THRESHOLD = 0.8
 #: Bits that fingerprints may differ in. Similarity 0.8 differs in 10 of 64 on average, so 16 is over two deviations more.
 RADIUS = 16
 BITS = 64
-#: Items (and bytes of their texts) that are broadcast at once; a larger benchmark is searched in so many blocks.
+#: Items (and bytes of their texts) that are broadcast at once; a larger benchmark is searched in so many blocks. Weights are of all.
 ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 8 << 20
 WINDOWS_AT_ONCE = 512
 SCHEMA = "doc_id long, item_id long, similarity double, hamming int, start_word long, n_words long"
@@ -46,9 +46,12 @@ class HammingIndex:
 
 
 class Benchmark:
-    """One block of items: postings of their shingles, fingerprints and weights."""
+    """One block of items: postings of their shingles, fingerprints and weights.
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    totals is (items with words, shingles, items with each, sizes of items) of the whole benchmark; without it, of this block.
+    """
+
+    def __init__(self, items: list[tuple[int, str | None]], totals: tuple | None = None):
         t = of_strings([x for _, x in items], lower=True)
         n = t.n_words
         some = np.flatnonzero(n > 0)
@@ -57,10 +60,12 @@ class Benchmark:
         self.k = np.minimum(self.sizes, SHINGLE)
         grams = {int(k): t.grams(int(k)) for k in np.unique(self.k)}
         self.grams = [grams[int(k)][0][grams[int(k)][1][i] : grams[int(k)][1][i + 1]] for i, k in zip(some, self.k, strict=True)]
-        every = [np.unique(g) for g in self.grams]
-        self.known, df = np.unique(np.concatenate([np.zeros(0, U), *every]), return_counts=True)
-        self.rarest = 1.0 + np.log(1.0 + len(some))
-        self.weight = 1.0 + np.log((1.0 + len(some)) / (1.0 + df))
+        if totals is None:
+            every = [np.unique(g) for g in self.grams]
+            totals = (len(some), *np.unique(np.concatenate([np.zeros(0, U), *every]), return_counts=True), np.unique(self.sizes))
+        n_items, self.known, df, self.all_sizes = totals
+        self.rarest = 1.0 + np.log(1.0 + n_items)
+        self.weight = 1.0 + np.log((1.0 + n_items) / (1.0 + df))
         self.tables = {}
         for k in np.unique(self.k):
             own = np.flatnonzero(self.k == k)
@@ -70,7 +75,6 @@ class Benchmark:
             order = np.argsort(flat, kind="stable")
             values, starts = np.unique(flat[order], return_index=True)
             self.tables[int(k)] = values, np.append(starts, len(flat)), item[order], at[order]
-        self.all_sizes = np.unique(self.sizes)
         self.total = np.array([self.weights(g).sum() for g in self.grams])
         ptr = np.concatenate([[0], np.cumsum([len(g) for g in self.grams])]).astype(np.int64)
         flat = np.concatenate([np.zeros(0, U), *self.grams])
@@ -156,9 +160,9 @@ class Benchmark:
         return [(row, item, -x[0], x[2], x[1], x[3]) for (row, item), x in sorted(best.items())]
 
 
-def _searcher(block, threshold):
+def _searcher(block, totals, threshold):
     def search(batches):
-        bench = Benchmark(block.value)
+        bench = Benchmark(block.value, totals.value)
         for batch in batches:
             ids, valid = longs(batch, "doc_id")
             out = [(ids[first + row].item() if valid[first + row] else None, bench.ids[item].item(), s, far, at, n) for first, _, t in slices(batch, lower=True) for row, item, s, far, at, n in bench.matches(t, threshold)]
@@ -168,6 +172,28 @@ def _searcher(block, threshold):
     return search
 
 
+def _item_grams(batches):
+    """A row for each item's distinct shingle, and one for the item itself: (size, or 0; shingle)."""
+    for batch in batches:
+        for _, _, t in slices(batch, lower=True):
+            sizes, out = t.n_words[t.n_words > 0], []
+            for k in np.unique(np.minimum(sizes, SHINGLE)):
+                grams, ptr = t.grams(int(k))
+                out += [np.unique(grams[ptr[i] : ptr[i + 1]]) for i in np.flatnonzero((np.minimum(t.n_words, SHINGLE) == k) & (t.n_words > 0))]
+            flat = np.concatenate([np.zeros(0, U), *out]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([sizes, np.zeros(len(flat), np.int64)]).astype(np.int64)), pa.array(np.concatenate([np.zeros(len(sizes), np.int64), flat]))], names=["size", "gram"])
+
+
+def benchmark_totals(benchmark: DataFrame) -> tuple:
+    """Benchmark's totals of all items: 16 bytes for each distinct shingle, as any may stand in any window."""
+    got = benchmark.select(F.col("text").cast("string").alias("text")).mapInArrow(_item_grams, "size long, gram long").groupBy("size", "gram").count().toArrow()
+    size, gram, n = (got.column(k).to_numpy() for k in ("size", "gram", "count"))
+    item = size > 0
+    known = gram[~item].view(U)
+    order = np.argsort(known)
+    return int(n[item].sum()), known[order], n[~item][order], np.sort(size[item])
+
+
 def benchmark_blocks(benchmark: DataFrame):
     """The items in blocks that are small enough to broadcast, read one after another."""
     block, held = [], 0
@@ -192,15 +218,16 @@ def find_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = spark.createDataFrame([], SCHEMA)
+    totals = spark.sparkContext.broadcast(benchmark_totals(benchmark))
     for i, block in enumerate(benchmark_blocks(benchmark)):
-        part = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(block), threshold), SCHEMA)
+        part = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(block), totals, threshold), SCHEMA)
         found = part if i == 0 else found.unionByName(part)
     return found
 
 
-def _marker(blocks, threshold, schema):
+def _marker(blocks, totals, threshold):
     def mark(batches):
-        benches = [Benchmark(b.value) for b in blocks]
+        benches = [Benchmark(b.value, totals.value) for b in blocks]
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             for first, _, t in slices(batch, lower=True):
@@ -214,6 +241,8 @@ def _marker(blocks, threshold, schema):
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without any item, with the columns of docs, in one pass for each block of items and no shuffle."""
+    send = docs.sparkSession.sparkContext.broadcast
+    totals = send(benchmark_totals(benchmark))
     for block in benchmark_blocks(benchmark):
-        docs = docs.mapInArrow(_marker([docs.sparkSession.sparkContext.broadcast(block)], threshold, docs.schema), docs.schema)
+        docs = docs.mapInArrow(_marker([send(block)], totals, threshold), docs.schema)
     return docs

@@ -376,6 +376,25 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert decontaminate.clean_documents(docs, items).count() == 0
 
 
+def test_decontamination_same_in_any_blocks(spark, monkeypatch):
+    r = random.Random(22)
+    words = [f"w{i}" for i in range(3000)]
+    common = r.choices(words, k=12)  # in several items, so that weights differ
+    items = [(i, " ".join([*r.choices(words, k=48), *common[: i % 3 * 6]])) for i in range(23)] + [(23, "a b"), (24, None), (25, "")]
+    docs = []
+    for i, x in items[:24]:
+        for cut in range(1, 9):
+            w = x.split()
+            docs.append((len(docs), " ".join([*r.choices(words, k=10), *w[:-cut], *common, *r.choices(words, k=9)])))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for at_once in (20_000, 7, 3):
+        monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", at_once)
+        got = decontaminate.find_items(*frames).collect()
+        found.append(sorted((x.doc_id, x.item_id, round(x.similarity, 9), x.hamming, x.start_word, x.n_words) for x in got))
+    assert found[0] and found[0] == found[1] == found[2]
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
