@@ -15,7 +15,8 @@ SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 ABSTAIN, GOOD, BAD = 0, 1, 2
-#: A packed window key holds a position in so many low bits; longer texts take the path that sorts pairs.
+#: A packed window key holds a position in so many low bits; longer texts, and those with
+#: different windows that agree in the other bits, take the path that sorts pairs.
 POSITION_BITS = 24
 
 
@@ -39,7 +40,12 @@ def repeated_words(words: Column) -> Column:
         pairs = F.transform(index(n - 1), lambda i: F.struct(F.get(h, i).alias("h"), i.cast("long").alias("i")))
         at_packed = let(F.sort_array(packed), lambda s: F.transform(s, lambda x: x.bitwiseAND(F.lit(low))))
         at_pairs = let(F.sort_array(pairs), lambda s: F.transform(s, lambda x: x["i"]))
-        return let(F.when(n <= low, at_packed).otherwise(at_pairs), lambda p: of_positions(h, p))
+        return let(F.when(n > low, at_pairs).otherwise(let(at_packed, lambda p: F.when(mixed(h, p), at_pairs).otherwise(p))), lambda p: of_positions(h, p))
+
+    def mixed(h: Column, p: Column) -> Column:
+        """Whether different hashes agree in their high bits, so that packed keys may part equal ones."""
+        at = lambda i: F.get(h, F.get(p, i).cast("int"))
+        return F.exists(index(F.size(p) - 2), lambda i: (at(i) != at(i + 1)) & (at(i).bitwiseAND(F.lit(~low)) == at(i + 1).bitwiseAND(F.lit(~low))))
 
     def of_positions(h: Column, p: Column) -> Column:
         same = lambda i, j: F.get(h, F.get(p, i).cast("int")) == F.get(h, F.get(p, j).cast("int"))

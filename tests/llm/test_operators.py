@@ -93,6 +93,13 @@ def test_quality_verdicts_and_long_path(spark, monkeypatch):
     assert {r.doc_id: r.n_repeat_words for r in quality_rules.text_counts(docs).collect()} == want
 
 
+def test_quality_counts_with_mixed_keys(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "POSITION_BITS", 61)  # keys of different windows mix in every text
+    docs = documents(spark).limit(60)
+    want = {r.doc_id: quality_by_hand(r.text)[4] for r in docs.collect()}
+    assert {r.doc_id: r.n_repeat_words for r in quality_rules.text_counts(docs).collect()} == want
+
+
 def test_label_model_by_hand(spark):
     rows = [([2, 0], 30), ([1, 1], 100), ([0, 1], 50), ([2, 2], 20)]
     m = quality_rules.label_model(spark.createDataFrame(rows, "votes array<int>, n long"), 2, 5).first()
