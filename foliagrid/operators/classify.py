@@ -61,9 +61,13 @@ def relabel(labelled: DataFrame, ranks: DataFrame) -> DataFrame:
 
 
 def land_cover(raster: DataFrame, height: str, features: list[str], k: int, masked: bool = True, **options) -> tuple[DataFrame, DataFrame]:
-    """All cells with class_id, and the names of the clusters."""
+    """All cells with class_id, and the names of the clusters. Cells to be clustered that lack a feature are no data."""
     ruled = classified(raster, height, masked)
-    rest = ruled.filter("class_id is null").dropna(subset=features)
+    lacks = F.lit(False)
+    for f in features:
+        lacks = lacks | F.col(f).isNull() | F.isnan(F.col(f).cast("double"))
+    ruled = ruled.withColumn("class_id", F.when(F.col("class_id").isNull() & lacks, F.lit(NODATA_CLASS).cast("long")).otherwise(F.col("class_id")))
+    rest = ruled.filter("class_id is null")
     labelled = fit_clusters(rest, features, k, **options)
     ranks = rank_clusters(labelled, height, features[-1])
     return ruled.filter("class_id is not null").withColumn("raw_label", F.lit(None).cast("long")).unionByName(relabel(labelled, ranks)), ranks

@@ -212,3 +212,13 @@ def test_streaming(spark, tmp_path):
     q = streaming.write_indicators(streaming.arriving(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "check"), 100.0)
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("n")).first()[0] == 200
+
+
+def test_land_cover_keeps_cells_without_features(spark):
+    from foliagrid.operators import classify
+
+    rows = [(0, 1.0, 0.5), (1, 0.2, 0.1), (2, -1.0, None), (3, -2.0, float("nan")), (4, 9.0, None), (5, None, None), (6, 1.1, 0.6)]
+    cells = spark.createDataFrame(rows, "cell long, h double, fhd double")
+    got = {r.cell: r.class_id for r in classify.land_cover(cells, "h", ["h", "fhd"], 2, masked=False, method="kmeans")[0].collect()}
+    assert sorted(got) == list(range(7))
+    assert got[2] == got[3] == got[5] == classify.NODATA_CLASS and got[4] == classify.TALL_CLASS and got[0] == got[6] != got[1]
