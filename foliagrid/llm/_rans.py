@@ -13,7 +13,7 @@ U = np.uint64
 SCALE_BITS = 18
 LOW = 1 << 31
 LANES = 64
-BLOCK = 1 << 16
+BLOCK = 1 << 14
 MAGIC = b"FGRANS1\0"
 
 
@@ -22,6 +22,8 @@ def frequencies(counts: np.ndarray, bits: int = SCALE_BITS) -> np.ndarray:
     total = int(counts.sum())
     if not total:
         return np.zeros(len(counts), np.int64)
+    if np.count_nonzero(counts) > 1 << bits:
+        raise ValueError(f"more than 2**{bits} distinct ids in a segment")
     freq = np.where(counts > 0, np.maximum(1, counts.astype(np.int64) * (1 << bits) // total), 0)
     order = np.argsort(-freq, kind="stable")
     rest = (1 << bits) - int(freq.sum())
@@ -38,52 +40,51 @@ def frequencies(counts: np.ndarray, bits: int = SCALE_BITS) -> np.ndarray:
 
 def encode_blocks(slots: np.ndarray, freq: np.ndarray, block: int = BLOCK, lanes: int = LANES, bits: int = SCALE_BITS):
     """First states (blocks, lanes) and 32-bit streams by block of symbol numbers; the last block is filled with symbol 0."""
-    cum = np.concatenate([[0], np.cumsum(freq)]).astype(U)
+    cum = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(U)
     f = freq.astype(U)
-    most = (U(LOW >> bits) << U(32)) * f
     n_blocks = -(-len(slots) // block)
     steps = block // lanes
     if n_blocks == 1:
         steps = -(-len(slots) // lanes)
-    grid = np.zeros((n_blocks, steps * lanes), np.int64)
-    grid.reshape(-1)[: len(slots)] = slots
-    grid = grid.reshape(n_blocks, steps, lanes)
+    grid = np.zeros(n_blocks * steps * lanes, np.int64)
+    grid[: len(slots)] = slots
+    grid = np.ascontiguousarray(grid.reshape(n_blocks, steps, lanes).transpose(1, 0, 2))
     x = np.full((n_blocks, lanes), LOW, U)
-    words = np.empty((n_blocks, steps, lanes), np.uint32)
-    gave = np.empty((n_blocks, steps, lanes), bool)
+    words = np.empty((steps, n_blocks, lanes), np.uint32)
+    gave = np.empty((steps, n_blocks, lanes), bool)
     for t in range(steps - 1, -1, -1):
-        s = grid[:, t, :]
-        fs = f[s]
-        full = x >= most[s]
-        words[:, t, :] = x.astype(np.uint32)
-        gave[:, t, :] = full
-        x = np.where(full, x >> U(32), x)
+        fs = f[grid[t]]
+        full = x >= fs << U(32 + 31 - bits)
+        words[t] = x
+        gave[t] = full
+        x >>= full.astype(U) << U(5)
         q = x // fs
-        x = (q << U(bits)) + (x - q * fs) + cum[s]
-    return x, [words[b][gave[b]] for b in range(n_blocks)]
+        x += q * ((U(1) << U(bits)) - fs) + cum[grid[t]]
+    return x, [words[:, b][gave[:, b]] for b in range(n_blocks)]
 
 
 def decode_blocks(states: np.ndarray, streams: list[np.ndarray], steps: int, freq: np.ndarray, bits: int = SCALE_BITS) -> np.ndarray:
     """Symbol numbers (blocks, steps * lanes)."""
-    cum = np.concatenate([[0], np.cumsum(freq)]).astype(U)
-    f = freq.astype(U)
-    lookup = np.repeat(np.arange(len(freq)), freq)
-    stream = np.concatenate([*streams, np.zeros(1, np.uint32)]).astype(U)
+    cum = np.concatenate([[0], np.cumsum(freq)[:-1]])
+    symbol = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
+    # a slot's symbol, frequency - 1 and place among the symbol's slots, in fields of bits each
+    slot = (symbol.astype(U) << U(2 * bits)) | ((freq - 1).astype(U)[symbol] << U(bits)) | (np.arange(len(symbol)) - cum[symbol]).astype(U)
+    stream = np.concatenate([*streams, np.zeros(1, np.uint32)]).astype(np.uint32)
     at = np.concatenate([[0], np.cumsum([len(x) for x in streams])[:-1]]).astype(np.int64)
-    x = states.astype(U)
-    out = np.empty((len(states), steps, states.shape[1]), np.int64)
+    x = states.astype(U).ravel()
+    out = np.empty((steps, *states.shape), np.int32)
     mask = U((1 << bits) - 1)
     for t in range(steps):
-        low = x & mask
-        s = lookup[low.astype(np.int64)]
-        out[:, t, :] = s
-        x = f[s] * (x >> U(bits)) + low - cum[s]
+        found = slot[(x & mask).astype(np.int64)]
+        out[t] = (found >> U(2 * bits)).reshape(states.shape)
+        x = ((found >> U(bits) & mask) + U(1)) * (x >> U(bits)) + (found & mask)
         need = x < U(LOW)
-        where = np.cumsum(need, axis=1)
-        word = stream[np.minimum(at[:, None] + where - 1, len(stream) - 1)]
-        x = np.where(need, (x << U(32)) | word, x)
-        at = at + where[:, -1]
-    return out.reshape(len(states), -1)
+        some = np.flatnonzero(need)
+        n = np.count_nonzero(need.reshape(states.shape), axis=1)
+        word = stream[np.repeat(at - np.cumsum(n) + n, n) + np.arange(len(some))]
+        x[some] = (x[some] << U(32)) | word
+        at += n
+    return out.transpose(1, 0, 2).reshape(len(states), -1)
 
 
 def pack(ids: np.ndarray, doc_ids: np.ndarray, doc_valid: np.ndarray, lengths: np.ndarray, first: int) -> bytes:
