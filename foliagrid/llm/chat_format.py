@@ -1,10 +1,10 @@
 """Conversations as one control-marked text, with a loss mask, reversibly.
 
-A turn is rendered as <|im_start|>ROLE\\nTEXT<|im_end|>\\n. The parser is deterministic: a turn starts with
-<|im_start|>, its role ends at the first newline, its text at the first <|im_end|>, and in role and text
-``<`` + backslashes + ``|`` loses one backslash. Rendering starts unescaped and is reparsed; what comes back different
-from its source is escaped (one backslash more) until the round trip is the identity. Texts without such content are
-never touched.
+A turn is rendered as <|im_start|>ROLE\\nTEXT<|im_end|>\\n. The grammar is deterministic and strict: a turn starts with
+<|im_start|>, its role ends at the first newline, its text at the first <|im_end|>, no other ``<|`` may stand in it, and in
+role and text ``<`` + backslashes + ``|`` loses one backslash. Rendering starts unescaped and is reparsed; what doesn't
+parse, or comes back different from its source, is escaped (one backslash more) until the round trip is the identity. So
+no control string of a text is left as it was, and texts without such content are never touched.
 """
 
 import hashlib
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: What every control string begins with.
+MARK = "<|"
 LOSS_ROLE = "assistant"
 SEGMENT_SCHEMA = "conv_id long, seq long, role string, formatted string, loss_start long, loss_end long"
 DIGEST_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -37,7 +39,10 @@ def escape_role(role: str) -> str:
 
 
 def unescape_role(role: str) -> str:
-    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
+    plain = unescape(role)
+    if "\\" in re.sub(r"\\[\\n]", "", plain):
+        raise ValueError("a backslash in a role that escapes nothing")
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], plain)
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -48,6 +53,8 @@ def parse(formatted: str) -> list[tuple[str, str]]:
         end = formatted.find(END, line + 1)
         if not formatted.startswith(START, at) or line < 0 or end < 0 or not formatted.startswith("\n", end + len(END)):
             raise ValueError(f"no turn at {at}")
+        if formatted.find(MARK, at + len(START), end) >= 0:
+            raise ValueError(f"a mark inside the turn at {at}")
         turns.append((unescape_role(formatted[at + len(START) : line]), unescape(formatted[line + 1 : end])))
         at = end + len(END) + 1
     return turns
@@ -87,8 +94,9 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
 
     A conversation's text is its turns' formatted texts in order. Rows come sorted within partitions, a conversation
     whole in one of them, and stream through a turn at a time, so that memory is that of a turn however long the
-    conversation is. Order is by turn, then role, then text, nulls first; a null text or role is empty; rows with a
-    null conv_id are one conversation; other columns are ignored.
+    conversation is. A conversation is one sequence, so its turns are read by one task, which streams them. Order is by
+    turn, then role, then text, nulls first; a null text or role is empty; rows that repeat are turns each; rows with a
+    null conv_id are one conversation; an empty table has no rows; other columns are ignored.
     """
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(_segments, SEGMENT_SCHEMA)
@@ -144,5 +152,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 24)::BIGINT AS formatted_chars
+  sum(length(CASE WHEN regexp_matches(role, '\n|\\|<\|') THEN regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g') ELSE role END) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 24)::BIGINT AS formatted_chars
 FROM rows GROUP BY conv_id"""
