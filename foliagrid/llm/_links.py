@@ -6,7 +6,7 @@ sets. Components need no more links than join them, so
 1. every id of a small bucket meets every other, and every id of a large one meets the bucket's first few;
 2. verified links are contracted to components;
 3. in large buckets that still hold several components, ids meet further few, of other components only;
-4. in the buckets that still do, every pair of ids of different components meets.
+4. in the buckets that still do, every pair of ids of different components and like sizes meets.
 
 A set's shape, the numbers of its grams by bin of their hashes, bounds the overlap of two sets from above
 by the sum of lesser numbers; pairs that can't reach the limit go no further, and sets themselves aren't sent to be
@@ -17,6 +17,8 @@ made. The bits of meta above SALT_SHIFT are 0, or DEALT and the part of its buck
 first ids are in every part.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +31,11 @@ SMALL, FIRST, NEXT = 12, 4, 24
 #: Rows of one side of a block in the last comparison.
 BLOCK_ROWS = 2_000
 SALT_SHIFT, SALT_BITS, DEALT = 56, 7, 64
+#: A key is hot that has more than HOT_ROWS rows and 1 / HOT_SHARE of all: fewer than HOT_SHARE keys, whatever the input.
+#: Joins deal its rows to PARTS tasks.
+HOT_ROWS, HOT_SHARE, PARTS = 1_000, 4_096, 64
+#: Bits of a filter that are sent in one row.
+FILTER_BLOCK = 1 << 16
 PAIR_SCHEMA = "a long, b long, ma long, mb long"
 U = np.uint64
 
@@ -37,6 +44,59 @@ def meta_salt(column: str = "meta"):
     return F.shiftright(F.col(column), SALT_SHIFT).bitwiseAND(F.lit((1 << SALT_BITS) - 1))
 
 
+def hot_keys(counts: DataFrame, key: list[str], rows: str = "rows") -> DataFrame:
+    """The hot keys of a table with a row for each key, to broadcast."""
+    total = counts.agg(F.sum(rows)).first()[0] or 0
+    return F.broadcast(counts.filter((F.col(rows) > HOT_ROWS) & (F.col(rows) * HOT_SHARE > total)).select(*key, F.lit(True).alias("__hot")))
+
+
+def dealt_join(many: DataFrame, one: DataFrame, key: list[str], by: str, hot: DataFrame) -> DataFrame:
+    """many joined with one, which has a row for each key: rows of hot keys go to parts by hash of a column, and one's row
+    to each part."""
+    part = F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(PARTS).cast("long"))).otherwise(F.lit(0).cast("long"))
+    parts = F.when(F.col("__hot"), F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    left = many.join(hot, key, "left").withColumn("__part", part).drop("__hot")
+    right = one.join(hot, key, "left").withColumn("__part", F.explode(parts)).drop("__hot")
+    return left.join(right, [*key, "__part"]).drop("__part")
+
+
+def _bits(bits):
+    def blocks(batches):
+        filled = np.zeros(1 << bits, bool)
+        for batch in batches:
+            filled[batch.column(0).to_numpy(zero_copy_only=False) & ((1 << bits) - 1)] = True
+        packed = np.packbits(filled, bitorder="little").reshape(-1, FILTER_BLOCK // 8)
+        some = np.flatnonzero(packed.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([pa.compress(packed[b].tobytes(), "zstd", asbytes=True) for b in some], pa.binary())], names=["block", "bits"])
+
+    return blocks
+
+
+def _any_bits(batches):
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, blob in zip(batch.column("block").to_pylist(), batch.column("bits"), strict=True):
+            part = np.frombuffer(pa.decompress(blob.as_buffer(), FILTER_BLOCK // 8, "zstd"), np.uint8)
+            sums[block] = sums[block] | part if block in sums else part
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([pa.compress(v.tobytes(), "zstd", asbytes=True) for v in sums.values()], pa.binary())], names=["block", "bits"])
+
+
+def bit_filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Which values of the one column occur, by their low bits, in 2**bits bits: a filter of fixed size, built in tasks."""
+    schema = "block long, bits binary"
+    rows = hashes.mapInArrow(_bits(bits), schema).repartition("block").mapInArrow(_any_bits, schema).collect()
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for block, blob in rows:
+        out[block * FILTER_BLOCK // 8 : (block + 1) * FILTER_BLOCK // 8] = np.frombuffer(pa.decompress(blob, FILTER_BLOCK // 8, "zstd"), np.uint8)
+    return out.view(np.uint32)
+
+
+def has_bit(filled: np.ndarray, values: np.ndarray) -> np.ndarray:
+    low = values & (len(filled) * 32 - 1)
+    return (filled[low >> 5] >> (low & 31).astype(np.uint32)) & 1 == 1
+
+
 def cut(rows: dict, start: int, end: int | None = None) -> dict:
     return {k: v[start:end] for k, v in rows.items()}
 
@@ -206,8 +266,8 @@ def _overlaps(batches):
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union.
 
-    sets has (id, frag, n, grams): the part of a set that is in one fragment of the order of grams, sorted. Overlaps are
-    counted by fragment and summed by pair.
+    sets has (id, frag, n, grams): the part of a set that is in one fragment of the order of grams, sorted by hash. The
+    partial overlaps of a pair are counted in each fragment, and summed.
     """
     a = sets.select(F.col("id").alias("a"), "frag", F.col("n").alias("na"), F.col("grams").alias("ga"))
     b = sets.select(F.col("id").alias("b"), "frag", F.col("n").alias("nb"), F.col("grams").alias("gb"))
@@ -263,15 +323,19 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return leaves.unionByName(leaves.select(F.col("comp").alias("id"), "comp").distinct())
 
 
-def unresolved(large: DataFrame, comps: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Rows (key, id, meta, comp, rows, shape) of the large buckets that hold several components."""
+def spread(large: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, id, meta, comp) of the large buckets, and for each bucket its rows and its least and greatest component."""
     rows = large.join(comps, "id", "left").select("key", "id", "meta", F.coalesce("comp", "id").alias("comp"))
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo < hi").select("key", "rows")
-    return rows.join(mixed, "key").join(shapes, "id")
+    return rows, rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows"))
+
+
+def unresolved(rows: DataFrame, buckets: DataFrame, shapes: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows (key, id, meta, comp, rows, n, shape) of the large buckets that hold several components."""
+    return dealt_join(rows, buckets.filter("lo < hi").select("key", "rows"), ["key"], "id", hot).join(shapes, "id")
 
 
 def _cross(feasible, percent, bins):
-    names = ["key", "i", "j", "side", "id", "meta", "comp"]
+    names = ["key", "i", "j", "side", "id", "meta", "comp", "own"]
 
     def pairs(batch):
         rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
@@ -285,7 +349,7 @@ def _cross(feasible, percent, bins):
             y = x if within else s + np.flatnonzero(side == 1)
             for one in x:
                 other = y[y > one] if within else y
-                other = other[rows["comp"][other] != rows["comp"][one]]
+                other = other[(rows["comp"][other] != rows["comp"][one]) & (rows["own"][other] | rows["own"][one] > 0)]
                 other = other[feasible(np.broadcast_to(rows["meta"][one], other.shape), rows["meta"][other])]
                 other = other[reaches(forms[one], forms[other], percent)]
                 out.append(np.stack([np.full(len(other), one), other]))
@@ -310,12 +374,12 @@ def _cross(feasible, percent, bins):
     return cross
 
 
-def next_candidates(rows: DataFrame, feasible, percent: int, bins: int, count: int) -> DataFrame:
+def next_candidates(rows: DataFrame, feasible, percent: int, bins: int, count: int, hot: DataFrame) -> DataFrame:
     """Pairs of each id of an unresolved bucket with `count` further ids of it that are in other components."""
     order = F.xxhash64("id")
     some = F.pmod(order, F.greatest(F.lit(1), F.floor(F.col("rows") / (2 * count)))) == 0
     few = rows.filter(some).groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct(order.alias("o"), "id", "meta", "comp", "shape"))), 1, count).alias("few"))
-    met = rows.join(few, "key").withColumn("p", F.explode(F.filter("few", lambda p: p["comp"] != F.col("comp"))))
+    met = dealt_join(rows, few, ["key"], "id", hot).withColumn("p", F.explode(F.filter("few", lambda p: p["comp"] != F.col("comp"))))
     pairs = met.select(F.col("id").alias("a"), F.col("p.id").alias("b"), F.col("meta").alias("ma"), F.col("p.meta").alias("mb"), F.col("shape").alias("sa"), F.col("p.shape").alias("sb"))
     return distinct_pairs(pairs.mapInArrow(_near(feasible, percent, bins), PAIR_SCHEMA))
 
@@ -338,19 +402,27 @@ def close(pairs: DataFrame, shapes: DataFrame, feasible, percent: int, bins: int
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ma", "mb", "sa", "sb").mapInArrow(_near(feasible, percent, bins), PAIR_SCHEMA)
 
 
-def last_candidates(rows: DataFrame, feasible, percent: int, bins: int) -> DataFrame:
-    """All pairs of ids of different components in unresolved buckets, by blocks of rows."""
-    blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
-    dealt = rows.withColumn("n", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), (F.col("own") > F.col("other")).cast("long").alias("side"), "id", "meta", "comp", "shape")
+def last_candidates(rows: DataFrame, feasible, percent: int, bins: int, scratch: Scratch) -> DataFrame:
+    """All pairs of ids of different components in unresolved buckets whose sizes allow a link, by blocks of rows.
+
+    Sizes are cut in bands, so wide that linked sets are in one or in neighbours: a bucket falls apart in groups of a band
+    and the one below it, in which rows of the upper one (own) meet all.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.0001 * math.log(100 / percent)))
+    banded = rows.withColumn("own", F.explode(F.array(F.lit(1).cast("long"), F.lit(0).cast("long")))).withColumn("band", band + 1 - F.col("own"))
+    counts = scratch.save(banded.groupBy("key", "band").agg(F.count(F.lit(1)).alias("group_rows"), F.max("own").alias("any")), "bands")
+    banded = dealt_join(banded, counts.filter("any = 1 AND group_rows > 1").drop("any"), ["key", "band"], "id", hot_keys(counts, ["key", "band"], "group_rows"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    dealt = banded.withColumn("blocks", F.ceil(F.col("group_rows") / BLOCK_ROWS)).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    group = F.xxhash64("key", "band").alias("key")
+    dealt = dealt.select(group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("long").alias("side"), "id", "meta", "comp", "own", "shape")
     return distinct_pairs(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross(feasible, percent, bins), PAIR_SCHEMA))
 
 
 def linked_components(pairs: DataFrame, large: DataFrame, shapes: DataFrame, fetch, feasible, percent: int, bins: int, scratch: Scratch) -> DataFrame:
     """(id, comp) of all ids with a link: steps 2 to 4.
 
-    shapes has (id, shape) of every id in pairs and large. fetch(ids) reads the sets (id, frag, n, grams) of those ids
+    shapes has (id, n, shape) of every id in pairs and large, n the size of its set. fetch(ids) reads the sets (id, frag, n, grams) of those ids
     again from the texts: only sets of pairs that may be links are ever shuffled.
     """
     links = comps = None
@@ -358,10 +430,13 @@ def linked_components(pairs: DataFrame, large: DataFrame, shapes: DataFrame, fet
         if step == 1:
             near = close(pairs, shapes, feasible, percent, bins)
         else:
-            rows = scratch.save(unresolved(large, comps, shapes), f"mixed-{step}")
-            if rows.isEmpty():
+            rows, buckets = spread(large, comps)
+            buckets = scratch.save(buckets, f"spread-{step}")
+            if buckets.filter("lo < hi").isEmpty():
                 break
-            near = next_candidates(rows, feasible, percent, bins, NEXT) if step == 2 else last_candidates(rows, feasible, percent, bins)
+            hot = hot_keys(buckets, ["key"])
+            rows = scratch.save(unresolved(rows, buckets, shapes, hot), f"mixed-{step}")
+            near = next_candidates(rows, feasible, percent, bins, NEXT, hot) if step == 2 else last_candidates(rows, feasible, percent, bins, scratch)
         near = scratch.save(near.select("a", "b"), f"near-{step}")
         if step > 1 and near.isEmpty():
             continue

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._links import distinct_pairs, first_candidates, linked_components, shape
+from ._links import bit_filter, dealt_join, distinct_pairs, first_candidates, has_bit, hot_keys, linked_components, shape
 from ._scratch import Scratch
 from ._text import GRAM_SALTS, Texts, longs, mix, powers, slices
 
@@ -147,21 +147,6 @@ def _band_rows(batches):
         yield from flush(ids, docs, keys)
 
 
-def bits_of(rows: DataFrame, column: str, bits: int) -> np.ndarray:
-    """Which values of a column of hashes occur, by their low bits, in 2**bits bits: a filter of fixed size."""
-    low = F.expr(f"{column} & {(1 << bits) - 1}L")
-    words = rows.select(low.alias("h")).select(F.expr("shiftright(h, 5) AS w"), F.expr("shiftleft(1L, CAST(h & 31 AS INT)) AS v")).groupBy("w").agg(F.bit_or("v").alias("v"))
-    out = np.zeros(1 << (bits - 5), np.uint32)
-    got = words.toArrow()
-    out[got.column("w").to_numpy()] = got.column("v").to_numpy().astype(np.uint32)
-    return out
-
-
-def has_bit(filled: np.ndarray, values: np.ndarray) -> np.ndarray:
-    low = values & (len(filled) * 32 - 1)
-    return (filled[low >> 5] >> (low & 31).astype(np.uint32)) & 1 == 1
-
-
 def _set_rows(docs_in, ids_in, shapes_only):
     def set_rows(batches):
         doc_filter, id_filter = docs_in.value, ids_in.value
@@ -173,7 +158,7 @@ def _set_rows(docs_in, ids_in, shapes_only):
                 some = some[np.sort(np.unique(p.ids[some], return_index=True)[1])]
                 sets = [p.shingles(i) for i in some]
                 if shapes_only:
-                    yield pa.RecordBatch.from_arrays([pa.array(p.ids[some]), pa.array([shape(x, BINS) for x in sets], pa.binary())], names=["id", "shape"])
+                    yield pa.RecordBatch.from_arrays([pa.array(p.ids[some]), pa.array([len(x) for x in sets], pa.int64()), pa.array([shape(x, BINS) for x in sets], pa.binary())], names=["id", "n", "shape"])
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array(p.ids[some]), pa.array(np.zeros(len(some), np.int32)), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "frag", "n", "grams"])
 
@@ -189,7 +174,7 @@ def _occurrences(ids_in):
                 p = Paragraphs(t)
                 some = np.flatnonzero(has_bit(id_filter, p.ids))
                 at = first + p.row[some]
-                yield pa.RecordBatch.from_arrays([pa.array(docs[at], mask=~valid[at]), pa.array(p.first_word[some]), pa.array(p.n_words[some]), pa.array(p.line[some]), *p.around(some), pa.array(p.ids[some])], names=["doc_id", "start_word", "n_words", "line", "before", "after", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs[at], mask=~valid[at]), batch.column("row_key").take(pa.array(at)), pa.array(p.first_word[some]), pa.array(p.n_words[some]), pa.array(p.line[some]), *p.around(some), pa.array(p.ids[some])], names=["doc_id", "row_key", "start_word", "n_words", "line", "before", "after", "id"])
 
     return occurrences
 
@@ -221,9 +206,11 @@ def repeated_passages(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     """A row for each run of units that occur in several documents: doc_id, start_word, n_words, component_id (of the
     run's first unit), first_doc_id (the least with it) and removed (whether an earlier occurrence stays).
 
-    Earlier is by doc_id, then place. Runs of fewer than least_run words are left alone, unless a whole line is linked.
-    Null and empty texts have no units; a null doc_id comes after all others; rows that repeat a doc_id count as one
-    document; other columns are ignored.
+    Earlier is by doc_id, then text (a hash of it), then place. Pieces have LEAST_WORDS words or more, but for a text's
+    first and last; lines have one or more and are compared whole, however long. Null and empty texts have no units; a
+    null doc_id comes after all others; rows that repeat a doc_id count as one document when repeats are sought, and runs
+    are found in each text apart; rows that repeat both count once; an empty table gives no
+    rows; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "paragraphs")
@@ -236,35 +223,40 @@ def repeated_passages(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     def read_again(ids: DataFrame, shapes_only: bool, schema: str) -> DataFrame:
         """Shapes or sets of the paragraphs with these ids, from the texts of one document for each."""
         own = ids.join(wanted, "id").select("id", "meta")
-        filters = send(bits_of(own, "meta", DOC_BITS)), send(bits_of(own, "id", ID_BITS))
+        filters = send(bit_filter(own.select("meta"), DOC_BITS)), send(bit_filter(own.select("id"), ID_BITS))
         return rows.mapInArrow(_set_rows(*filters, shapes_only), schema).join(own, "id", "left_semi").dropDuplicates(["id"])
 
     pairs = distinct_pairs(pairs)
-    shapes = scratch.save(read_again(wanted.select("id"), True, "id long, shape binary"), "shapes")
+    shapes = scratch.save(read_again(wanted.select("id"), True, "id long, n long, shape binary"), "shapes")
     comps = linked_components(pairs, large, shapes, lambda ids: read_again(ids, False, "id long, frag int, n long, grams binary"), any_pair, PERCENT, BINS, scratch)
     twice = again.filter("ma <> mb").select("id").distinct()
     nodes = scratch.save(twice.join(comps, "id", "full").select("id", F.coalesce("comp", "id").alias("comp")), "nodes")
     scratch.drop("buckets", "wanted", "shapes")
-    found = rows.mapInArrow(_occurrences(send(bits_of(nodes, "id", ID_BITS))), "doc_id long, start_word long, n_words long, line boolean, before binary, after binary, id long")
-    found = scratch.save(found.join(nodes, "id").drop("id"), "found")
-    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "start_word", (-F.col("n_words")).alias("less"), "line", "before", "after")
-    last = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id")
-    spread = found.groupBy("comp").agg(F.min(place).alias("first"), F.max(last).alias("last"))
-    spread = spread.filter(~F.col("first.doc_id").eqNullSafe(F.col("last.doc_id"))).select("comp", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start_word").alias("first_start"), (F.col("first.start_word") - F.col("first.less")).alias("first_end"), F.col("first.before").alias("first_before"), F.col("first.after").alias("first_after"))
-    known = found.join(spread, "comp").withColumn("end_word", F.col("start_word") + F.col("n_words"))
-    own = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("start_word") < F.col("first_end")) & (F.col("end_word") > F.col("first_start"))
-    names = ["doc_id", "start_word", "end_word", "line", "comp", "first_doc_id", "first_start", "first_end", "removed"]
+    keyed = rows.withColumn("row_key", F.xxhash64("text"))
+    seen = scratch.save(keyed.mapInArrow(_occurrences(send(bit_filter(nodes.select("id"), ID_BITS))), "doc_id long, row_key long, start_word long, n_words long, line boolean, before binary, after binary, id long"), "seen")
+    times = scratch.save(seen.groupBy("id").agg(F.count(F.lit(1)).alias("rows")), "times")
+    found = scratch.save(dealt_join(seen, nodes, ["id"], "row_key", hot_keys(times, ["id"])).drop("id"), "found")
+    scratch.drop("seen", "times")
+    row = [F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("row_key")]
+    place = F.struct(*row, "start_word", (-F.col("n_words")).alias("less"), "line", "before", "after")
+    ends = found.groupBy("comp").agg(F.min(place).alias("first"), F.max(F.struct(*row[:2])).alias("last"), F.count(F.lit(1)).alias("rows"))
+    ends = scratch.save(ends, "ends")
+    first = F.col("first")
+    spread = ends.filter(~first["doc_id"].eqNullSafe(F.col("last.doc_id"))).select("comp", first["doc_id"].alias("first_doc_id"), first["row_key"].alias("first_row"), first["start_word"].alias("first_start"), (first["start_word"] - first["less"]).alias("first_end"), first["before"].alias("first_before"), first["after"].alias("first_after"))
+    known = dealt_join(found, spread, ["comp"], "row_key", hot_keys(ends, ["comp"])).withColumn("end_word", F.col("start_word") + F.col("n_words"))
+    own = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("row_key") == F.col("first_row")) & (F.col("start_word") < F.col("first_end")) & (F.col("end_word") > F.col("first_start"))
+    names = ["doc_id", "row_key", "start_word", "end_word", "line", "comp", "first_doc_id", "first_row", "first_start", "first_end", "removed"]
     known = known.withColumn("removed", ~own).select(*names, "before", "after", "first_before", "first_after")
-    known = scratch.save(known.mapInArrow(_extended, "doc_id long, start_word long, end_word long, line boolean, comp long, first_doc_id long, first_start long, first_end long, removed boolean, left long, right long"), "known")
-    scratch.drop("nodes", "found")
+    known = scratch.save(known.mapInArrow(_extended, "doc_id long, row_key long, start_word long, end_word long, line boolean, comp long, first_doc_id long, first_row long, first_start long, first_end long, removed boolean, left long, right long"), "known")
+    scratch.drop("nodes", "found", "ends")
     reach = lambda side: F.when(F.col("removed"), F.col(side)).otherwise(0)
-    spans = known.select("doc_id", (F.col("start_word") - reach("left")).alias("s"), (F.col("end_word") + reach("right")).alias("e"), "line", "removed", "comp", "first_doc_id")
-    firsts = known.filter("removed AND left + right > 0").groupBy("comp", "first_doc_id", "first_start", "first_end").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    firsts = firsts.select(F.col("first_doc_id").alias("doc_id"), (F.col("first_start") - F.col("left")).alias("s"), (F.col("first_end") + F.col("right")).alias("e"), F.lit(False).alias("line"), F.lit(False).alias("removed"), "comp", "first_doc_id")
-    order = Window.partitionBy("doc_id", "removed").orderBy("s", F.desc("e"), "comp")
+    spans = known.select("doc_id", "row_key", (F.col("start_word") - reach("left")).alias("s"), (F.col("end_word") + reach("right")).alias("e"), "line", "removed", "comp", "first_doc_id")
+    firsts = known.filter("removed AND left + right > 0").groupBy("comp", "first_doc_id", "first_row", "first_start", "first_end").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    firsts = firsts.select(F.col("first_doc_id").alias("doc_id"), F.col("first_row").alias("row_key"), (F.col("first_start") - F.col("left")).alias("s"), (F.col("first_end") + F.col("right")).alias("e"), F.lit(False).alias("line"), F.lit(False).alias("removed"), "comp", "first_doc_id")
+    order = Window.partitionBy("doc_id", "row_key", "removed").orderBy("s", F.desc("e"), "comp")
     starts = F.coalesce(F.col("s") > F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     run = spans.unionByName(firsts).withColumn("starts", starts.cast("int")).withColumn("run", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     first = F.min(F.struct("s", (-F.col("e")).alias("e"), "comp", "first_doc_id"))
-    runs = run.groupBy("doc_id", "removed", "run").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"), first.alias("f"), F.max("line").alias("line"))
+    runs = run.groupBy("doc_id", "row_key", "removed", "run").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"), first.alias("f"), F.max("line").alias("line"))
     runs = runs.filter((F.col("end_word") - F.col("start_word") >= least_run) | F.col("line"))
     return runs.select("doc_id", "start_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), F.col("f.comp").alias("component_id"), F.col("f.first_doc_id").alias("first_doc_id"), "removed")
