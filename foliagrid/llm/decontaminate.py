@@ -1,91 +1,160 @@
-"""Benchmark items in documents: windows of an item's size, compared by SimHash and verified by weighted shingles."""
+"""Benchmark items in documents: windows of the items' sizes, found by SimHash and verified by weighted shingles.
+
+Every window of a document is fingerprinted: the 64 signed sums of its shingles' weights roll along the text, so that a
+window costs a difference of two rows of running sums. Items of like size share one window size (a class), so there are as
+many windows at a word as classes, however many sizes the items have. A multi-index finds the items of the class whose
+fingerprints are within RADIUS of the window's, all of them by pigeonhole. Around each window that it finds, the item-sized
+windows are compared by exact weighted similarity.
+"""
+
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._scratch import Scratch
 from ._text import GRAM_SALTS, Texts, longs, mix, of_strings, slices
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Bits that fingerprints may differ in. Similarity 0.8 differs in 10 of 64 on average, so 16 is over two deviations more.
+#: Bits that fingerprints may differ in. Similarity 0.8 differs in 10 of 64 on average, 11 by the class's window, so 16 is
+#: almost two deviations more.
 RADIUS = 16
-BITS = 64
-#: Items (and bytes of their texts) that are broadcast at once; a larger benchmark is searched in so many blocks. Weights are of all.
-ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 8 << 20
-WINDOWS_AT_ONCE = 512
+BITS, BLOCK_BITS = 64, 16
+#: Sizes of items in a class differ by this factor at most.
+CLASS_RATIO = 1.15
+#: Whole numbers that a weight of 1 has in a fingerprint.
+WEIGHT_STEPS = 4
+#: Items (and bytes of their texts) that are broadcast and indexed at once, some 20 kB each in a worker; a larger benchmark
+#: is searched in so many blocks. Weights are of all.
+ITEMS_AT_ONCE, BYTES_AT_ONCE = 4_096, 8 << 20
+#: Windows of a class that are fingerprinted together.
+CHUNK = 8_192
 SCHEMA = "doc_id long, item_id long, similarity double, hamming int, start_word long, n_words long"
 U = np.uint64
 
 
+def signed(grams: np.ndarray, weights: np.ndarray, kind) -> np.ndarray:
+    """A row of 64 signed weights for each gram: plus where its hash has a 1."""
+    out = np.unpackbits(mix(grams ^ GRAM_SALTS[-1]).view(np.uint8).reshape(-1, 8), axis=1).astype(kind)
+    out += out
+    out -= 1
+    out *= weights.astype(kind)[:, None]
+    return out
+
+
+def running_sums(grams: np.ndarray, weights: np.ndarray, kind) -> np.ndarray:
+    out = np.zeros((len(grams) + 1, BITS), kind)
+    np.cumsum(signed(grams, weights, kind), axis=0, dtype=kind, out=out[1:])
+    return out
+
+
+def prints(sums: np.ndarray) -> np.ndarray:
+    """64-bit SimHash (Charikar 2002) of rows of sums."""
+    return np.packbits(sums > 0, axis=1).view(U).ravel()
+
+
 def fingerprints(grams: np.ndarray, weights: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-    """64-bit SimHash (Charikar 2002) of each run of weighted grams; no run may be empty."""
-    h = mix(grams ^ GRAM_SALTS[-1])
-    signs = (np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(np.float64) * 2 - 1) * weights[:, None]
-    return np.packbits(np.add.reduceat(signs, ptr[:-1], axis=0) > 0, axis=1).view(U).ravel()
+    """SimHash of each run of weighted grams; no run may be empty."""
+    if len(ptr) < 2:
+        return np.zeros(0, U)
+    return prints(np.add.reduceat(signed(grams, weights, np.int64), ptr[:-1], axis=0))
 
 
-class HammingIndex:
-    """Fingerprints by block: those within radius of each other agree on one of radius + 1 blocks, by pigeonhole."""
+def near_values(radius: int) -> np.ndarray:
+    """What to xor with a block's value to get all values within radius."""
+    return np.array([sum(1 << b for b in some) for n in range(radius + 1) for some in combinations(range(BLOCK_BITS), n)], np.uint16)
 
-    def __init__(self, prints: np.ndarray, radius: int = RADIUS):
-        self.prints, self.radius = prints, radius
-        edges = np.linspace(0, BITS, radius + 2).astype(int)
-        self.blocks = [(U(a), U((1 << int(b - a)) - 1)) for a, b in zip(edges, edges[1:], strict=False)]
-        self.tables = [{int(v): np.flatnonzero(part == v) for v in np.unique(part)} for part in ((prints >> shift) & mask for shift, mask in self.blocks)]
 
-    def within(self, x: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all fingerprints within radius of x, ascending, and their distances."""
-        found = [t[v] for (shift, mask), t in zip(self.blocks, self.tables, strict=True) if (v := int((x >> shift) & mask)) in t]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        near = np.unique(np.concatenate(found))
-        far = np.bitwise_count(self.prints[near] ^ x).astype(np.int64)
-        return near[far <= self.radius], far[far <= self.radius]
+class HammingIndex:
+    """Fingerprints in four blocks of 16 bits. If two differ in radius bits at most, then in some block by no more than
+    that block's share of the radius (shares, each plus one, sum to radius + 1). Each block has a table of all values
+    that are so near to a fingerprint's."""
+
+    def __init__(self, own: np.ndarray, radius: int = RADIUS):
+        self.prints, self.radius = own, radius
+        n = BITS // BLOCK_BITS
+        self.shares = [radius // n if i < radius % n + 1 else radius // n - 1 for i in range(n)]
+        assert sum(s + 1 for s in self.shares) == radius + 1
+        self.tables = []
+        for block, share in zip(own.view(np.uint16).reshape(-1, n).T, self.shares, strict=True):
+            values = (block[:, None] ^ near_values(share)[None, :]).ravel() if share >= 0 else np.zeros(0, np.uint16)
+            order = np.argsort(values, kind="stable")
+            items = np.repeat(np.arange(len(own), dtype=np.int32), len(near_values(share)))[order] if share >= 0 else np.zeros(0, np.int32)
+            counts = np.bincount(values, minlength=1 << BLOCK_BITS)
+            self.tables.append((counts.astype(np.int32), (np.cumsum(counts) - counts).astype(np.int64), items))
+
+    def within(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in some, number) of all pairs within radius, once or more each."""
+        places, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for value, (counts, starts, postings) in zip(some.view(np.uint16).reshape(-1, BITS // BLOCK_BITS).T, self.tables, strict=True):
+            n = counts[value]
+            hit = np.flatnonzero(n)
+            n = n[hit].astype(np.int64)
+            place = np.repeat(hit, n)
+            item = postings[np.repeat(starts[value[hit]] - (np.cumsum(n) - n), n) + np.arange(len(place))]
+            near = np.bitwise_count(some[place] ^ self.prints[item]) <= self.radius
+            places.append(place[near])
+            items.append(item[near])
+        return np.concatenate(places), np.concatenate(items)
 
 
 class Benchmark:
-    """One block of items: postings of their shingles, fingerprints and weights.
+    """One block of items: shingles, weights, and an index of fingerprints for each class of sizes.
 
-    totals is (items with words, shingles, items with each, sizes of items) of the whole benchmark; without it, of this block.
+    totals is (items with words, shingles, items with each) of the whole benchmark; without it, of this block.
     """
 
     def __init__(self, items: list[tuple[int, str | None]], totals: tuple | None = None):
         t = of_strings([x for _, x in items], lower=True)
         n = t.n_words
         some = np.flatnonzero(n > 0)
-        self.ids = np.array([items[i][0] if items[i][0] is not None else -1 for i in some], np.int64)
+        self.ids = [items[i][0] for i in some]
         self.sizes = n[some]
         self.k = np.minimum(self.sizes, SHINGLE)
         grams = {int(k): t.grams(int(k)) for k in np.unique(self.k)}
         self.grams = [grams[int(k)][0][grams[int(k)][1][i] : grams[int(k)][1][i + 1]] for i, k in zip(some, self.k, strict=True)]
         if totals is None:
             every = [np.unique(g) for g in self.grams]
-            totals = (len(some), *np.unique(np.concatenate([np.zeros(0, U), *every]), return_counts=True), np.unique(self.sizes))
-        n_items, self.known, df, self.all_sizes = totals
+            totals = (len(some), *np.unique(np.concatenate([np.zeros(0, U), *every]), return_counts=True))
+        n_items, self.known, df = totals
         self.rarest = 1.0 + np.log(1.0 + n_items)
         self.weight = 1.0 + np.log((1.0 + n_items) / (1.0 + df))
-        self.tables = {}
+        self.total = np.array([self.weights(g).sum() for g in self.grams])
+        #: (words in a shingle, shingles in a window, items, their index, whole numbers that sums need)
+        self.classes = []
         for k in np.unique(self.k):
             own = np.flatnonzero(self.k == k)
-            flat = np.concatenate([self.grams[i] for i in own])
-            item = np.repeat(own, [len(self.grams[i]) for i in own])
-            at = np.concatenate([np.arange(len(self.grams[i])) for i in own])
-            order = np.argsort(flat, kind="stable")
-            values, starts = np.unique(flat[order], return_index=True)
-            self.tables[int(k)] = values, np.append(starts, len(flat)), item[order], at[order]
-        self.total = np.array([self.weights(g).sum() for g in self.grams])
-        ptr = np.concatenate([[0], np.cumsum([len(g) for g in self.grams])]).astype(np.int64)
-        flat = np.concatenate([np.zeros(0, U), *self.grams])
-        self.index = HammingIndex(fingerprints(flat, self.weights(flat), ptr) if len(some) else np.zeros(0, U))
+            own = own[np.argsort(self.sizes[own], kind="stable")]
+            counts = self.sizes[own] - k + 1
+            while len(own):
+                end = int(np.searchsorted(counts, counts[0] * CLASS_RATIO, "right"))
+                mine = [self.grams[i] for i in own[:end]]
+                flat = np.concatenate(mine)
+                ptr = np.concatenate([[0], np.cumsum([len(g) for g in mine])])
+                index = HammingIndex(fingerprints(flat, self.steps(self.weights(flat)), ptr))
+                window = int(round(float(np.sqrt(counts[0] * counts[end - 1]))))
+                kind = np.int16 if window * self.steps(np.array([self.rarest]))[0] < 1 << 15 else np.int64
+                self.classes.append((int(k), window, own[:end], index, kind))
+                own, counts = own[end:], counts[end:]
+
+    @staticmethod
+    def steps(weights: np.ndarray) -> np.ndarray:
+        return np.rint(weights * WEIGHT_STEPS).astype(np.int64)
+
+    def places(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where known shingles are in known, and which are."""
+        if not len(self.known):
+            return np.zeros(len(grams), np.int64), np.zeros(len(grams), bool)
+        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
+        return at, self.known[at] == grams
 
     def weights(self, grams: np.ndarray) -> np.ndarray:
         """Rarity of shingles among the items; a shingle of no item weighs most."""
-        if not len(self.known):
-            return np.full(len(grams), self.rarest)
-        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
-        return np.where(self.known[at] == grams, self.weight[at], self.rarest)
+        at, known = self.places(grams)
+        return np.where(known, self.weight[at] if len(self.weight) else 0.0, self.rarest)
 
     def similarity(self, window: np.ndarray, item: int) -> float:
         """Weighted Jaccard of two bags of shingles: sum of weight * least count over sum of weight * greatest count."""
@@ -95,69 +164,81 @@ class Benchmark:
         w = self.weights(values)
         return float((w * np.minimum(a, b)).sum() / (w * np.maximum(a, b)).sum())
 
-    def windows(self, t: Texts, k: int, threshold: float):
-        """Windows that can reach the threshold with an item: (row, size, first word), distinct, of all items' sizes.
+    def windows(self, grams: np.ndarray, ptr: np.ndarray, k: int, steps: np.ndarray):
+        """(first shingle, shingles, item) of the windows of shingles of k words that the index finds, a chunk at a time.
 
-        Similarity is M / (A + B - M) for weights A and B of item and window and M of what they share. M is at most the
-        weight of the window's shingles that the item has, so a window where that is too little can't pass.
+        A text that is shorter than a class's window, but could be an item of it, is one window.
         """
-        values, starts, item, _ = self.tables[k]
-        grams, ptr = t.grams(k)
-        none = grams, ptr, np.zeros((0, 3), np.int64)
-        place = np.minimum(np.searchsorted(values, grams), len(values) - 1)
-        hits = np.flatnonzero(values[place] == grams)
-        hits = hits[t.n_words[np.searchsorted(ptr, hits, "right") - 1] >= k]
-        if not len(hits):
-            return none
-        times = np.diff(starts)[place[hits]]
-        post = np.repeat(starts[place[hits]] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-        hit = np.repeat(hits, times)
-        row = np.searchsorted(ptr, hit, "right") - 1
-        pairs = np.unique(np.stack([row, item[post], hit], axis=1), axis=0)  # a shingle that an item repeats counts once at a place
-        heads = np.flatnonzero(np.append(True, (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)))
-        ends = np.append(heads[1:], len(pairs))
-        shared = np.add.reduceat(self.weights(grams[pairs[:, 2]]), heads)
-        near = np.flatnonzero(shared >= threshold * self.total[pairs[heads, 1]] - 1e-6)
-        if not len(near):
-            return none
-        weight = self.weights(grams)
-        whole = np.concatenate([[0.0], np.cumsum(weight)])
-        out = []
-        for p in near:
-            row, own = pairs[heads[p], :2]
-            at = pairs[heads[p] : ends[p], 2]
-            low, high = ptr[row], ptr[row + 1]
-            has = np.zeros(high - low + 1)
-            has[at - low + 1] = weight[at]
-            has = np.cumsum(has)
-            for size in self.all_sizes[np.minimum(self.all_sizes, SHINGLE) == k]:
-                n = int(size) - k + 1
-                if threshold * n > self.total[own] + 1e-6:  # every shingle weighs 1 at least
-                    break
-                first = np.arange(max(0, at[0] - low - n + 1), at[-1] - low + 1)
-                last = np.minimum(first + n, high - low)
-                m = has[last] - has[first]
-                first = first[m >= threshold * (self.total[own] + whole[low + last] - whole[low + first] - m) - 1e-6]
-                out.append(np.stack([np.full(len(first), row), np.minimum(size, t.n_words[row] - first), first], axis=1))
-        return grams, ptr, np.unique(np.concatenate([np.zeros((0, 3), np.int64), *out]), axis=0)
+        lengths = np.diff(ptr)
+        left = np.repeat(ptr[1:], lengths) - np.arange(len(grams))
+        classes = [c for c in self.classes if c[0] == k]
+        most = max(c[1] for c in classes)
+        for kind in {c[4] for c in classes}:
+            for at in range(0, len(grams), CHUNK):
+                end = min(len(grams), at + CHUNK + most)
+                sums = running_sums(grams[at:end], steps[at:end], kind)
+                for _, n, items, index, own_kind in classes:
+                    count = min(CHUNK, end - at - n + 1)
+                    if own_kind is kind and count > 0:
+                        place, found = index.within(prints(sums[n : n + count] - sums[:count]))
+                        ok = left[at + place] >= n
+                        yield at + place[ok], np.full(np.count_nonzero(ok), n), items[found[ok]]
+        for _, n, items, index, _ in classes:
+            rows = np.flatnonzero((lengths < n) & (lengths * 2 > n))
+            if len(rows):
+                own = np.concatenate([np.arange(ptr[r], ptr[r + 1]) for r in rows])
+                ends = np.cumsum(lengths[rows])
+                place, found = index.within(fingerprints(grams[own], steps[own], np.append(0, ends)))
+                yield ptr[rows[place]], lengths[rows[place]], items[found]
 
     def matches(self, t: Texts, threshold: float):
-        """(row, item, similarity, hamming, first word, words) of windows that pass, the best for each row and item."""
-        best: dict[tuple[int, int], tuple] = {}
-        for k in self.tables:
-            grams, ptr, windows = self.windows(t, k, threshold)
-            for i in range(0, len(windows), WINDOWS_AT_ONCE):
-                some = windows[i : i + WINDOWS_AT_ONCE]
-                parts = [grams[a : a + n - k + 1] for a, n in zip((ptr[some[:, 0]] + some[:, 2]).tolist(), some[:, 1].tolist(), strict=True)]
-                flat = np.concatenate(parts)
-                prints = fingerprints(flat, self.weights(flat), np.concatenate([[0], np.cumsum([len(x) for x in parts])]))
-                for (row, size, first), part, x in zip(some.tolist(), parts, prints, strict=True):
-                    for item, far in zip(*(v.tolist() for v in self.index.within(x)), strict=True):
-                        if self.k[item] == k and (s := self.similarity(part, item)) >= threshold:
-                            new = (-s, first, far, size)
-                            if (row, item) not in best or new < best[row, item]:
-                                best[row, item] = new
-        return [(row, item, -x[0], x[2], x[1], x[3]) for (row, item), x in sorted(best.items())]
+        """(row, item, similarity, hamming, first word, words) of windows that pass, the best for each row and item.
+
+        What a window and an item share weighs no more than the window's shingles that some item has, and the item's
+        weight times threshold at least if they are to pass: so most windows that the index finds by chance go.
+        """
+        out = []
+        for k in sorted({c[0] for c in self.classes}):
+            grams, ptr = t.grams(k)
+            keep = np.repeat(t.n_words >= k, np.diff(ptr))
+            grams, ptr = grams[keep], np.concatenate([[0], np.cumsum(np.where(t.n_words >= k, np.diff(ptr), 0))])
+            at, known = self.places(grams)
+            weight = np.where(known, self.weight[at], self.rarest)
+            shared = np.concatenate([[0.0], np.cumsum(np.where(known, weight, 0.0))])
+            near: dict[tuple[int, int], list] = {}
+            for first, n, item in self.windows(grams, ptr, k, self.steps(weight)):
+                row = np.searchsorted(ptr, first, "right") - 1
+                low = np.maximum(ptr[row], first - n // 4 - 1)
+                high = np.minimum(ptr[row + 1], first + n + n // 4 + 1)
+                ok = np.flatnonzero(shared[high] - shared[low] >= threshold * self.total[item] - 1e-6)
+                for r, i, a, b in np.unique(np.stack([row[ok], item[ok], low[ok], high[ok]], axis=1), axis=0).tolist():
+                    some = near.setdefault((r, i), [])
+                    if some and a <= some[-1][1]:
+                        some[-1][1] = max(some[-1][1], b)
+                    else:
+                        some.append([a, b])
+            for (r, i), some in sorted(near.items()):
+                found = min((x for a, b in some if (x := self.best(grams, weight, int(ptr[r]), int(ptr[r + 1]), a, b, i, threshold))), default=None)
+                if found:
+                    s, first, n = -found[0], found[1], found[2]
+                    print_of = fingerprints(grams[first : first + n], self.steps(weight[first : first + n]), np.array([0, n]))[0]
+                    own = fingerprints(self.grams[i], self.steps(self.weights(self.grams[i])), np.array([0, len(self.grams[i])]))[0]
+                    out.append((r, i, s, int(np.bitwise_count(print_of ^ own)), first - int(ptr[r]), n + k - 1))
+        return sorted(out)
+
+    def best(self, grams, weight, begin: int, end: int, low: int, high: int, item: int, threshold: float):
+        """(-similarity, first shingle, shingles) of the item-sized windows between low and high, or None."""
+        n = min(len(self.grams[item]), end - begin)
+        low, high = max(begin, min(low, end - n)), max(min(high, end), min(low + n, end))
+        part, w = grams[low:high], weight[low:high]
+        m = np.concatenate([[0.0], np.cumsum(np.where(np.isin(part, self.grams[item]), w, 0.0))])
+        every = np.concatenate([[0.0], np.cumsum(w)])
+        first = np.arange(max(1, len(part) - n + 1))
+        last = np.minimum(first + n, len(part))
+        m, b = m[last] - m[first], every[last] - every[first]
+        some = first[m >= threshold * (self.total[item] + b - m) - 1e-6]
+        found = [(-s, low + f, n) for f in some.tolist() if (s := self.similarity(part[f : f + n], item)) >= threshold]
+        return min(found, default=None)
 
 
 def _searcher(block, totals, threshold):
@@ -165,7 +246,7 @@ def _searcher(block, totals, threshold):
         bench = Benchmark(block.value, totals.value)
         for batch in batches:
             ids, valid = longs(batch, "doc_id")
-            out = [(ids[first + row].item() if valid[first + row] else None, bench.ids[item].item(), s, far, at, n) for first, _, t in slices(batch, lower=True) for row, item, s, far, at, n in bench.matches(t, threshold)]
+            out = [(ids[first + row].item() if valid[first + row] else None, bench.ids[item], s, far, at, n) for first, _, t in slices(batch, lower=True) for row, item, s, far, at, n in bench.matches(t, threshold)]
             columns = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "similarity", "hamming", "start_word", "n_words"])
 
@@ -191,7 +272,7 @@ def benchmark_totals(benchmark: DataFrame) -> tuple:
     item = size > 0
     known = gram[~item].view(U)
     order = np.argsort(known)
-    return int(n[item].sum()), known[order], n[~item][order], np.sort(size[item])
+    return int(n[item].sum()), known[order], n[~item][order]
 
 
 def benchmark_blocks(benchmark: DataFrame):
@@ -213,7 +294,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D, A-Z in lower case; shingles have five words, or all of an item
     with fewer. Documents are read once for each block of items and not shuffled. Null or empty texts match nothing,
-    repeated documents match alike, an empty benchmark finds nothing, other columns are ignored.
+    repeated documents match alike, items that repeat are found each, an item without id has a null item_id, an empty
+    benchmark finds nothing, other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -225,24 +307,30 @@ def find_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     return found
 
 
-def _marker(blocks, totals, threshold):
+def _marker(block, totals, threshold):
     def mark(batches):
-        benches = [Benchmark(b.value, totals.value) for b in blocks]
+        bench = Benchmark(block.value, totals.value)
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             for first, _, t in slices(batch, lower=True):
-                for bench in benches:
-                    for row, *_ in bench.matches(t, threshold):
-                        keep[first + row] = False
+                for row, *_ in bench.matches(t, threshold):
+                    keep[first + row] = False
             yield batch.filter(pa.array(keep))
 
     return mark
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without any item, with the columns of docs, in one pass for each block of items and no shuffle."""
-    send = docs.sparkSession.sparkContext.broadcast
-    totals = send(benchmark_totals(benchmark))
-    for block in benchmark_blocks(benchmark):
-        docs = docs.mapInArrow(_marker([send(block)], totals, threshold), docs.schema)
-    return docs
+    """The documents without any item, with the columns of docs: one pass and no shuffle for each block of items, and a
+    table written between blocks.
+
+    Documents with null or empty texts stay, as all do if the benchmark is empty; repeated rows stay or go alike.
+    """
+    spark = docs.sparkSession
+    scratch, totals = Scratch(spark, "clean"), spark.sparkContext.broadcast(benchmark_totals(benchmark))
+    last = None
+    for i, block in enumerate(benchmark_blocks(benchmark)):
+        if last is not None:
+            docs = scratch.save(last, f"block-{i}")
+        last = docs.mapInArrow(_marker(spark.sparkContext.broadcast(block), totals, threshold), docs.schema)
+    return docs if last is None else last
