@@ -8,11 +8,13 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from foliagrid.llm import _links, _rans, chat_format, decontaminate, mixing, ngram_join, paragraph_dedup, queries, quality_rules, token_counts, token_files, toxicity, url_rules
 from foliagrid.llm._scratch import Scratch
+from foliagrid.llm._text import buffers
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -121,9 +123,23 @@ def test_chat_round_trip():
         assert chat_format.parse("".join(x[0] for x in rendered)) == turns
         for (_, text), (formatted, a, b) in zip(turns, rendered, strict=True):
             assert chat_format.unescape(formatted[a:b]) == text
+            assert formatted.count("<|") == 2 and formatted.startswith("<|im_start|>") and formatted.endswith("<|im_end|>\n")  # the template's own
     assert chat_format.render("user", "plain <b> text")[0] == "<|im_start|>user\nplain <b> text<|im_end|>\n"
-    with pytest.raises(ValueError):
-        chat_format.parse("<|im_start|>user\nno end")
+    for wrong in ("<|im_start|>user\nno end", "<|im_start|>user\na <|im_start|>b<|im_end|>\n", "<|im_start|>a<|im_end|>\nb<|im_end|>\n"):
+        with pytest.raises(ValueError):
+            chat_format.parse(wrong)
+
+
+def test_chat_sql_on_control_strings(spark):
+    r = random.Random(8)
+    bits = ["<|im_start|>", "<|im_end|>", "\n", "assistant", "<", "\\", "|", "<\\|", "<\\\\|im_end|>", "a", "", "é", "user"]
+    rows = [(c, t, "".join(r.choices(bits, k=r.randint(0, 3))) if r.random() < 0.5 else "assistant", "".join(r.choices(bits, k=r.randint(0, 9)))) for c in range(60) for t in range(r.randint(1, 5))]
+    rows += [(99, 0, "assistant", "<|im_end|> word " * 100_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas())
+    want = con.sql(f"SELECT * FROM ({chat_format.chat_sql()}) WHERE conv_id >= 0").fetchall()
+    assert sorted(map(tuple, chat_format.read_back(chat_format.format_conversations(df)).collect())) == sorted(want)
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -159,7 +175,7 @@ def test_rans_round_trip_and_damage():
     assert (_rans.Segment(_rans.pack(one, np.array([1]), np.array([True]), np.array([1000]), 0)).decode() == one).all()
 
 
-def test_tokens(spark):
+def test_tokens(spark, monkeypatch):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_files.default_tokenizer())
@@ -170,8 +186,44 @@ def test_tokens(spark):
         start += len(ids)
     assert sorted(map(tuple, queries.op3_token_files(spark, DATA).collect())) == want
     odd_texts = ["", " ", "  ", " a", "a ", "a \n b", "a\n\nb c", "x \u3000y z", "it's he'll  ok\n", "a <|endoftext|>b c", "\r\n a b", "a\x1c b", "x², y½! ٣. ab_. a__,", "\nfoo\nbar.\n", "foo,' bar.'s 'll.", "ªº. º.", "Ⅷ. ㍿. ·.", "…", None]
-    got = token_files.Encoder(token_files.default_tokenizer()).encode(odd_texts)
-    assert [list(g) for g in got] == [t.encode(x or "", add_special_tokens=False).ids for x in odd_texts]
+    r = random.Random(1)
+    bits = [*"ab1 2\n\t '.,é½٣ \x85\x1c☃×÷Ą ", "'s", "'ll", "  ", "\n\n", "<|endoftext|>", "<|", " the", " '", "don't", "　", "x" * 30]
+    odd_texts += ["".join(r.choices(bits, k=r.randint(0, 30))) for _ in range(3000)] + ["é" * 50_000, "a b. " * 50_000]
+    encoder = token_files.Encoder(token_files.default_tokenizer())
+    for memo in (1 << 20, 50):  # a small memory is emptied all the time
+        monkeypatch.setattr(token_files, "MEMO", memo)
+        for some in (odd_texts, odd_texts[::-1], odd_texts[:0]):
+            ids, n = encoder.encode(*buffers(pa.array(some, pa.large_string())))
+            assert [list(x) for x in np.split(ids, np.cumsum(n))[:-1]] == [[*t.encode(x or "", add_special_tokens=False).ids, 0] for x in some]
+
+
+def test_tokens_after_a_wrong_memory():
+    encoder = token_files.Encoder(token_files.default_tokenizer())
+    texts = buffers(pa.array(["some words to know by heart"], pa.large_string()))
+    want = encoder.encode(*texts)[0]
+    encoder.words = encoder.words + np.uint64(1)  # as if other pieces had these hashes
+    assert (encoder.encode(*texts)[0] == want).all()
+
+
+def test_tokens_of_other_tokenizers(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(token_files.default_tokenizer(), encoding="utf-8") as f:
+        spec = json.load(f)
+    texts = [" it's  odd\n", "12345 a.b", "", "Foo bar"]
+    for name, change in (("prefix", {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}), ("lower", {"normalizer": {"type": "Lowercase"}}), ("none", {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}})):
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(spec | change))
+        encoder, t = token_files.Encoder(str(path)), Tokenizer.from_file(str(path))
+        ids, n = encoder.encode(*buffers(pa.array(texts, pa.large_string())))
+        assert not encoder.cuts and [list(x) for x in np.split(ids, np.cumsum(n))[:-1]] == [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+
+
+def test_too_many_ids_for_a_table():
+    with pytest.raises(ValueError):
+        _rans.frequencies(np.ones((1 << _rans.SCALE_BITS) + 1, np.int64))
 
 
 def test_token_counts(spark):
@@ -181,7 +233,7 @@ def test_token_counts(spark):
     assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df).collect()} == {i: token_counts.brute_force(t, scores) for i, t in some.items()}
 
 
-def test_mix_targets_copies_and_parts(spark, monkeypatch):
+def test_mix_targets_copies_and_parts(spark):
     p = mixing.mix(documents(spark)).toPandas()
     by = p.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("source_size", "first"), most=("size", "max"))
     assert math.isclose(by.target.sum(), 1.5 * p["size"].sum()) and (by.target <= 2 * by["size"] + 1e-6).all()
@@ -202,12 +254,34 @@ def test_mix_targets_copies_and_parts(spark, monkeypatch):
             left.discard(s)
     assert all(math.isclose(target[s], by.target[s], rel_tol=1e-9) for s in by.index)
     same = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"), F.when(F.col("id") % 2 == 0, "a").alias("source"))
-    monkeypatch.setattr(mixing, "GROUP_ROWS", 100)
     q = mixing.mix(same).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
     assert all(abs(r.t - r.g) <= 2 for r in q)
     assert mixing.mixed_documents(same).count() == sum(r.t for r in q) / 2
 
 
+def test_mix_rows_that_share_an_id(spark):
+    rows = [(i % 3 if i % 5 else None, f"word{i % 40} " * (i % 4 + 1), "a" if i % 2 else None, i) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row long").repartition(7)
+    copies = mixing.mix(docs).toPandas()
+    got = mixing.mixed_documents(docs).toPandas()
+    assert len(got) == copies.copies.sum() and got.row.value_counts().max() <= 2
+    for (i, source), some in copies.groupby(["doc_id", "source"], dropna=False):  # what is taken of each id is what its rows were given
+        own = got[(got.doc_id.isna() if i != i else got.doc_id == i) & (got.source.isna() if source is None or source != source else got.source == source)]
+        assert own.text.str.split().str.len().sum() == some.taken.sum()
+    again = mixing.mixed_documents(docs.repartition(3)).toPandas()
+    assert sorted(again.row) == sorted(got.row)
+
+
+def test_mix_ranks_are_in_order(spark):
+    rows = [(i, "a" if i % 3 else None, (i * 7) % 11, i % 2) for i in range(3000)] + [(None, "a", 5, 1)] * 500
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, size long, row_key long")
+    got = mixing.ranked(sizes, Scratch(spark, "t")).toPandas().sort_values(["source", "rank"])
+    for _, some in got.groupby("source", dropna=False):
+        assert list(some["rank"]) == list(range(len(some)))
+        key = list(zip(some["size"], some.doc_id.fillna(10**9), some.row_key, strict=True))
+        assert key == sorted(key)
+
+
 def groups_by_hand(rows):
     sets = {}
     for i, t in rows:
@@ -341,38 +415,73 @@ def test_decontamination(spark):
         rows.append((1000 + i, " ".join(part) + " " + " ".join(r.choices(words, k=100))))
     got = decontaminate.find_items(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(x.doc_id, x.item_id) for x in got.collect()} == want
-    prints = np.random.default_rng(0).integers(0, 1 << 63, 500).astype(np.uint64)
-    prints[1] = prints[0] ^ np.uint64(0b1011)
-    index = decontaminate.HammingIndex(prints)
-    for x in prints[:20]:
-        far = np.bitwise_count(prints ^ x)
-        near, bits = index.within(x)
-        assert list(near) == list(np.flatnonzero(far <= decontaminate.RADIUS)) and list(bits) == list(far[near])
+
+
+def test_hamming_index_finds_all():
+    r = np.random.default_rng(0)
+    prints = r.integers(0, 1 << 63, 500).astype(np.uint64)
+    flips = [np.uint64(sum(1 << int(b) for b in r.choice(64, n, False))) for n in r.integers(0, 22, 400)]
+    probes = np.concatenate([prints[:400] ^ np.array(flips), r.integers(0, 1 << 63, 400).astype(np.uint64)])
+    for radius in (decontaminate.RADIUS, 3, 0, 11):
+        place, item = decontaminate.HammingIndex(prints, radius).within(probes)
+        want = np.argwhere(np.bitwise_count(probes[:, None] ^ prints[None, :]) <= radius)
+        assert set(zip(place.tolist(), item.tolist(), strict=True)) == set(map(tuple, want.tolist()))
+
+
+def items_by_hand(docs, items, threshold=0.8):
+    """(doc, item) -> the best similarity of all item-sized windows, by counting."""
+    grams = lambda w, k: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+    words = {i: x.lower().split() for i, x in items if x}
+    words = {i: w for i, w in words.items() if w}
+    own = {i: Counter(grams(w, min(5, len(w)))) for i, w in words.items()}
+    df = Counter(g for c in own.values() for g in c)
+    weight = lambda g: 1 + math.log((1 + len(own)) / (1 + df[g])) if g in df else 1 + math.log(1 + len(own))
+    out = {}
+    for d, text in docs:
+        w = (text or "").lower().split()
+        for i, c in own.items():
+            k, n = min(5, len(words[i])), len(words[i]) - min(5, len(words[i])) + 1
+            g = grams(w, k)
+            if not any(x in c for x in g):
+                continue
+            for first in range(max(1, len(g) - n + 1)):
+                part = Counter(g[first : first + n])
+                s = sum(weight(x) * min(part[x], c[x]) for x in part) / sum(weight(x) * max(part[x], c[x]) for x in part.keys() | c.keys())
+                if s >= threshold:
+                    out[d, i] = max(s, out.get((d, i), 0))
+    return out
 
 
 def test_decontamination_by_all_windows(spark):
+    """Edited copies, copies with sentences swapped, repeated items and passages: recall against all windows."""
     r = random.Random(21)
     words = [f"w{i}" for i in range(3000)]
-    items = [(i, " ".join(r.choices(words, k=r.choice([30, 50, 60, 100])))) for i in range(12)]
+    items = [(i, " ".join(r.choices(words, k=r.choice([9, 15, 22, 30, 44, 50, 60, 100, 180])))) for i in range(90)] + [(90, "one two three"), (91, "a b"), (None, "w1 w2 w3 w4 w5 w6 w7")]
+    items += [(92, items[5][1]), (93, None), (94, "")]
     docs = []
-    for i, x in items:
+    for i, x in items[:91]:
         w = x.split()
         cut = r.randint(len(w) // 4, 3 * len(w) // 4)
-        docs.append((i, " ".join([*r.choices(words, k=20), *w[cut:], *w[:cut], *r.choices(words, k=20)])))
-    bench = decontaminate.Benchmark(items)
-    want = set()
-    for i, text in docs:
-        t = decontaminate.of_strings([text], lower=True)
-        grams = t.grams(5)[0]
-        for size in set(bench.sizes.tolist()):
-            for first in range(len(grams)):
-                part = grams[first : first + size - 4]
-                x = decontaminate.fingerprints(part, bench.weights(part), np.array([0, len(part)]))[0]
-                want |= {(i, j) for j in bench.index.within(x)[0].tolist() if bench.similarity(part, j) >= 0.8}
-    assert len(want) >= 6
+        for kind in range(6):
+            v = list(w)
+            if kind in (1, 2, 3):
+                for _ in range(kind if len(w) > 40 else 1):
+                    v[r.choice([0, -1, r.randrange(len(v))])] = f"v{r.randrange(10**6)}"
+            if kind == 4:
+                v = v[cut:] + v[:cut]
+            if kind == 5:
+                v = v[: -max(1, len(v) // 8)]
+            docs.append((len(docs), " ".join([*r.choices(words, k=r.choice([0, 30])), *v, *r.choices(words, k=r.choice([0, 25])), *(v if kind == 0 else [])])))
+    docs += [(None, items[3][1].upper()), (None, None), (len(docs), ""), (len(docs) + 1, " ".join([items[7][1]] * 300)), (len(docs) + 2, " ".join(r.choices(words, k=20_000)))]
+    want = items_by_hand(docs, items)
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    assert {(x.doc_id, x.item_id) for x in decontaminate.find_items(*frames).collect()} == want
-    assert {x.doc_id for x in decontaminate.clean_documents(*frames).collect()} == {i for i, _ in docs} - {i for i, _ in want}
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontaminate.find_items(*frames).collect()}
+    assert set(got) <= set(want) and len(set(got)) >= 0.95 * len(want) and len(want) > 250
+    assert sum(math.isclose(got[p], want[p], rel_tol=1e-9) for p in got) >= 0.97 * len(got)
+    sure = {p for p, s in want.items() if s > 0.999}
+    assert sure <= set(got)
+    gone = {d for d, _ in got}
+    assert sorted(x.doc_id or -1 for x in decontaminate.clean_documents(*frames).collect()) == sorted([i for i, _ in docs if i is not None and i not in gone] + [-1])
 
 
 def test_decontamination_in_blocks(spark, monkeypatch):
