@@ -7,6 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from .raster import NODATA, ROCK, SHADOW
 
 #: Fixed class codes: rock, shadow, tall vegetation, no data; clusters follow from FIRST_CLUSTER.
@@ -47,11 +48,13 @@ def nearest_centroid(cells: DataFrame, features: list[str], centroids: list[list
     return cells.withColumn("raw_label", (F.array_position(F.array(*far), F.least(*far)) - 1 if len(far) > 1 else F.lit(0)).cast("long"))
 
 
-def rank_clusters(labelled: DataFrame, height: str, diversity: str, first: int = FIRST_CLUSTER) -> DataFrame:
-    """raw_label, rank, class_id, name: clusters in order of mean height, equal ones by label."""
-    means = labelled.groupBy("raw_label").agg(F.avg(height).alias("h"), F.avg(diversity).alias("d"), F.count(F.lit(1)).alias("n"))
+def rank_clusters(labelled: DataFrame, height: str, diversity: str | None, first: int = FIRST_CLUSTER) -> DataFrame:
+    """raw_label, rank, class_id, name: clusters in order of mean height, equal ones by label. Ranks count from 0, the
+    numbers in names from 1; without a diversity, D is 0."""
+    d = F.avg(diversity) if diversity else F.lit(0.0)
+    means = labelled.groupBy("raw_label").agg(F.avg(height).alias("h"), d.alias("d"), F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.orderBy("h", "raw_label")) - 1
-    named = F.format_string("cluster %d H=%.2fm D=%.2f N=%d", F.col("rank"), F.col("h"), F.col("d"), F.col("n"))
+    named = F.format_string("cluster %d H=%.2fm D=%.2f N=%d", F.col("rank") + 1, F.col("h"), F.col("d"), F.col("n"))
     return means.withColumn("rank", rank.cast("long")).select("raw_label", "rank", (F.col("rank") + first).alias("class_id"), named.alias("name"))
 
 
@@ -61,15 +64,18 @@ def relabel(labelled: DataFrame, ranks: DataFrame) -> DataFrame:
 
 
 def land_cover(raster: DataFrame, height: str, features: list[str], k: int, masked: bool = True, **options) -> tuple[DataFrame, DataFrame]:
-    """All cells with class_id, and the names of the clusters. Cells to be clustered that lack a feature are no data."""
+    """All cells with class_id, and the names of the clusters. Cells to be clustered that lack a feature are no data.
+
+    Cells are written once, and again with their labels, since a fit reads them many times."""
+    scratch = Scratch(raster.sparkSession, "classes")
     ruled = classified(raster, height, masked)
     lacks = F.lit(False)
     for f in features:
         lacks = lacks | F.col(f).isNull() | F.isnan(F.col(f).cast("double"))
     ruled = ruled.withColumn("class_id", F.when(F.col("class_id").isNull() & lacks, F.lit(NODATA_CLASS).cast("long")).otherwise(F.col("class_id")))
-    rest = ruled.filter("class_id is null")
-    labelled = fit_clusters(rest, features, k, **options)
-    ranks = rank_clusters(labelled, height, features[-1])
+    ruled = scratch.save(ruled, "ruled")
+    labelled = scratch.save(fit_clusters(ruled.filter("class_id is null"), features, k, **options), "labelled")
+    ranks = scratch.save(rank_clusters(labelled, height, features[-1] if len(features) > 1 else None), "ranks")
     return ruled.filter("class_id is not null").withColumn("raw_label", F.lit(None).cast("long")).unionByName(relabel(labelled, ranks)), ranks
 
 

@@ -7,11 +7,15 @@ from pyspark.sql import types as T
 
 
 def triangulate(xy: np.ndarray) -> np.ndarray:
-    """Delaunay triangles (m, 3) of distinct points, by insertion (Bowyer 1981, Watson 1981)."""
+    """Delaunay triangles (m, 3) of distinct points, by insertion (Bowyer 1981, Watson 1981) from left to right.
+
+    A triangle whose circle lies left of the sweep is final and isn't looked at again, so each point meets those near the
+    sweep only.
+    """
     n = len(xy)
+    order = np.lexsort((xy[:, 1], xy[:, 0]))
     middle, span = (xy.min(0) + xy.max(0)) / 2, max(float(np.ptp(xy, axis=0).max()), 1.0)
     p = np.vstack([xy, middle + span * np.array([[-30, -10], [30, -10], [0, 30]])])
-    triangles = np.array([[n, n + 1, n + 2]])
 
     def circles(t):
         a, b, c = p[t[:, 0]], p[t[:, 1]], p[t[:, 2]]
@@ -20,8 +24,13 @@ def triangulate(xy: np.ndarray) -> np.ndarray:
         centre = c + np.stack([(aa * (b - c)[:, 1] - bb * (a - c)[:, 1]) / d, (bb * (a - c)[:, 0] - aa * (b - c)[:, 0]) / d], 1)
         return centre, ((a - centre) ** 2).sum(1)
 
+    triangles, final = np.array([[n, n + 1, n + 2]]), []
     centre, radius = circles(triangles)
-    for i in range(n):
+    for i in order:
+        past = centre[:, 0] + np.sqrt(radius) * (1 + 1e-9) < p[i, 0] - 1e-9 * span
+        if past.any():
+            final.append(triangles[past])
+            triangles, centre, radius = triangles[~past], centre[~past], radius[~past]
         bad = ((p[i] - centre) ** 2).sum(1) < radius * (1 + 1e-12)
         edges = np.sort(triangles[bad][:, [[0, 1], [1, 2], [2, 0]]].reshape(-1, 2), axis=1)
         edges, times = np.unique(edges, axis=0, return_counts=True)
@@ -30,7 +39,29 @@ def triangulate(xy: np.ndarray) -> np.ndarray:
         new = np.column_stack([rim[area > 0], np.full(int((area > 0).sum()), i)])
         c, r = circles(new) if len(new) else (np.zeros((0, 2)), np.zeros(0))
         triangles, centre, radius = np.vstack([triangles[~bad], new]), np.vstack([centre[~bad], c]), np.concatenate([radius[~bad], r])
-    return triangles[(triangles < n).all(1)]
+    found = np.vstack([*final, triangles])
+    return found[(found < n).all(1)]
+
+
+def in_triangles(corners: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, triangle) of places whose cell of a common lattice a triangle's box meets: few for each place."""
+    low, high = corners.min(axis=(0, 1)), corners.max(axis=(0, 1))
+    side = max(float((high - low).max()) / max(1.0, np.sqrt(len(corners))), 1e-9)
+    cell = lambda v: np.clip(np.floor((v - low) / side).astype(np.int64), 0, None)
+    first, last = cell(corners.min(axis=1)), cell(corners.max(axis=1))
+    wide = int(last[:, 0].max()) + 1
+    size = last - first + 1
+    number = np.repeat(np.arange(len(corners)), size[:, 0] * size[:, 1])
+    place = np.arange(len(number)) - np.repeat(np.cumsum(size[:, 0] * size[:, 1]) - size[:, 0] * size[:, 1], size[:, 0] * size[:, 1])
+    key = (first[number, 1] + place // size[number, 0]) * wide + first[number, 0] + place % size[number, 0]
+    order = np.argsort(key, kind="stable")
+    key, number = key[order], number[order]
+    some = np.flatnonzero(((at >= low) & (at <= high)).all(1))
+    own = cell(at[some])
+    own = own[:, 1] * wide + own[:, 0]
+    begin, end = np.searchsorted(key, own), np.searchsorted(key, own, "right")
+    n = end - begin
+    return np.repeat(some, n), number[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
 def linear_surface(xy: np.ndarray, z: np.ndarray, at: np.ndarray, extrapolate: bool) -> np.ndarray:
@@ -38,17 +69,17 @@ def linear_surface(xy: np.ndarray, z: np.ndarray, at: np.ndarray, extrapolate: b
     out = np.full(len(at), np.nan)
     xy, first = np.unique(xy, axis=0, return_index=True)
     z = z[first]
-    if len(xy) >= 3 and np.linalg.matrix_rank(xy - xy[0]) == 2:
-        for t in triangulate(xy):
-            a, b, c = xy[t]
-            low, high = xy[t].min(0), xy[t].max(0)
-            some = np.flatnonzero(np.isnan(out) & (at >= low).all(1) & (at <= high).all(1))
-            if len(some):
-                d = (b[1] - c[1]) * (a[0] - c[0]) + (c[0] - b[0]) * (a[1] - c[1])
-                u = ((b[1] - c[1]) * (at[some, 0] - c[0]) + (c[0] - b[0]) * (at[some, 1] - c[1])) / d
-                v = ((c[1] - a[1]) * (at[some, 0] - c[0]) + (a[0] - c[0]) * (at[some, 1] - c[1])) / d
-                inside = (u >= -1e-9) & (v >= -1e-9) & (u + v <= 1 + 1e-9)
-                out[some[inside]] = (u * z[t[0]] + v * z[t[1]] + (1 - u - v) * z[t[2]])[inside]
+    if len(at) and len(xy) >= 3 and np.linalg.matrix_rank(xy - xy[0]) == 2:
+        t = triangulate(xy)
+        place, number = in_triangles(xy[t], at)
+        a, b, c = (xy[t[number, i]] for i in range(3))
+        v = at[place]
+        d = (b[:, 1] - c[:, 1]) * (a[:, 0] - c[:, 0]) + (c[:, 0] - b[:, 0]) * (a[:, 1] - c[:, 1])
+        p = ((b[:, 1] - c[:, 1]) * (v[:, 0] - c[:, 0]) + (c[:, 0] - b[:, 0]) * (v[:, 1] - c[:, 1])) / d
+        q = ((c[:, 1] - a[:, 1]) * (v[:, 0] - c[:, 0]) + (a[:, 0] - c[:, 0]) * (v[:, 1] - c[:, 1])) / d
+        inside = np.flatnonzero((p >= -1e-9) & (q >= -1e-9) & (p + q <= 1 + 1e-9))[::-1]
+        k = t[number[inside]]
+        out[place[inside]] = p[inside] * z[k[:, 0]] + q[inside] * z[k[:, 1]] + (1 - p - q)[inside] * z[k[:, 2]]
     if extrapolate and len(xy):
         for i in np.flatnonzero(np.isnan(out)):
             out[i] = z[((xy - at[i]) ** 2).sum(1).argmin()]

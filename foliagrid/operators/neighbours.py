@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 AXES = ("x", "y", "z")
 
 
@@ -13,33 +15,55 @@ def _steps(axes):
     return F.array(*[F.struct(*[F.lit(d).cast("long").alias(a) for a, d in zip(axes, s, strict=True)]) for s in out])
 
 
-def nearest(probes: DataFrame, points: DataFrame, k: int, side: float, axes: tuple[str, ...] = ("x", "y"), most_rounds: int = 40) -> DataFrame:
+def _far(axes):
+    return F.sqrt(sum((F.pow(F.col(a) - F.col(f"p_{a}"), 2) for a in axes), F.lit(0.0)))
+
+
+def _ranked(met: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each probe; Spark keeps k of each before it shuffles them."""
+    rank = F.row_number().over(Window.partitionBy("group_id", "id").orderBy("distance", "other"))
+    return met.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def nearest(probes: DataFrame, points: DataFrame, k: int, side: float, axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """(group_id, id, other, distance, rank): each probe's k nearest points of its group, itself excluded.
 
     Both sides are bucketed by cells of the given side; a probe meets the cells around its own. A neighbour list is
-    right if its k-th distance is at most the side, so the other probes go round again with twice the side, until all
-    have k, or all that their group has. No theta join and no driver loop over rows; equal distances go by id.
+    right if its k-th distance is at most the side, or if the cells around hold the whole group; the other probes go round
+    again with twice the side, from a written table. The extent of probes and points together bounds the rounds, so every
+    probe gets k neighbours, or all that its group has, wherever it is. Groups of k + 1 points or fewer are compared whole.
+    No theta join and no driver loop over rows; equal distances go by id.
     """
+    scratch = Scratch(probes.sparkSession, "nearest")
     cell = lambda s: [F.floor(F.col(a) / s).alias(f"c_{a}") for a in axes]
-    size = points.groupBy("group_id").agg(F.count(F.lit(1)).alias("there"), F.max(F.greatest(*[F.abs(a) for a in axes])).alias("reach"))
-    left, found, at = probes.select("group_id", "id", *axes), None, side
-    for _ in range(most_rounds):
-        p = left.select("group_id", "id", *axes, *cell(at), F.explode(_steps(axes)).alias("s"))
-        p = p.select("group_id", F.col("id").alias("pid"), *[F.col(a).alias(f"p_{a}") for a in axes], *[(F.col(f"c_{a}") + F.col(f"s.{a}")).alias(f"c_{a}") for a in axes])
-        q = points.select("group_id", F.col("id").alias("other"), *axes, *cell(at))
-        met = p.join(q, ["group_id", *[f"c_{a}" for a in axes]]).filter("pid <> other")
-        far = F.sqrt(sum((F.pow(F.col(a) - F.col(f"p_{a}"), 2) for a in axes), F.lit(0.0)))
-        ranked = met.select("group_id", F.col("pid").alias("id"), "other", far.alias("distance"))
-        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("group_id", "id").orderBy("distance", "other"))).filter(F.col("rank") <= k)
-        ends = ranked.groupBy("group_id", "id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("last"))
-        done = ends.join(size, "group_id").filter(((F.col("n") == k) & (F.col("last") <= at)) | (F.lit(at) > 2 * F.col("reach"))).select("group_id", "id")
-        sure = ranked.join(done, ["group_id", "id"], "left_semi")
-        found = sure if found is None else found.unionByName(sure)
-        left = left.join(done, ["group_id", "id"], "left_anti").join(size.filter(F.lit(at) <= 2 * F.col("reach")).select("group_id"), "group_id", "left_semi")
+    spans = lambda df, name: df.groupBy("group_id").agg(*[f(a).alias(f"{name}_{n}_{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))], F.count(F.lit(1)).alias(f"{name}_n"))
+    both = spans(points, "q").join(spans(probes, "p"), "group_id")
+    span = F.greatest(F.lit(0.0), *[F.greatest(f"q_hi_{a}", f"p_hi_{a}") - F.least(f"q_lo_{a}", f"p_lo_{a}") for a in axes])
+    size = scratch.save(both.select("group_id", F.col("q_n").alias("there"), span.alias("span")), "groups")
+    placed = lambda df: df.select("group_id", F.col("id").alias("pid"), *[F.col(a).alias(f"p_{a}") for a in axes])
+    targets = points.select("group_id", F.col("id").alias("other"), *axes)
+    few = size.filter(F.col("there") <= k + 1).select("group_id")
+    met = placed(probes).join(few, "group_id").join(targets, "group_id").filter("pid <> other")
+    found = scratch.save(_ranked(met.select("group_id", F.col("pid").alias("id"), "other", _far(axes).alias("distance")), k), "found-few")
+    large = size.filter(F.col("there") > k + 1)
+    widest = large.agg(F.max("span")).first()[0]
+    left, at, step = probes.select("group_id", "id", *axes).join(large.select("group_id", "span"), "group_id"), side, 0
+    while widest is not None:
+        p = placed(left).select("*", F.explode(_steps(axes)).alias("s"))
+        p = p.select("group_id", "pid", *[f"p_{a}" for a in axes], *[(F.floor(F.col(f"p_{a}") / at) + F.col(f"s.{a}")).alias(f"c_{a}") for a in axes])
+        met = p.join(targets.select("*", *cell(at)), ["group_id", *[f"c_{a}" for a in axes]]).filter("pid <> other")
+        ranked = scratch.save(_ranked(met.select("group_id", F.col("pid").alias("id"), "other", _far(axes).alias("distance")), k), f"ranked-{step}")
+        whole = size.filter(F.col("span") < at).select("group_id", F.lit(True).alias("whole"))
+        ends = ranked.groupBy("group_id", "id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("last")).join(whole, "group_id", "left")
+        done = ends.filter(((F.col("n") == k) & (F.col("last") <= at)) | F.col("whole")).select("group_id", "id")
+        found = found.unionByName(ranked.join(done, ["group_id", "id"], "left_semi"))
+        if at > widest:
+            break
+        left = scratch.save(left.join(done, ["group_id", "id"], "left_anti"), f"left-{step}")
         if left.isEmpty():
-            return found
-        at *= 2
-    raise ValueError("coordinates are too far apart for the given side")
+            break
+        at, step = at * 2, step + 1
+    return found
 
 
 def statistical_outliers(points: DataFrame, k: int, times: float, side: float, drop: bool = False, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:

@@ -15,15 +15,21 @@ def nodata_where_zero(raster: DataFrame, bands: list[str]) -> DataFrame:
 
 
 def mosaic(raster: DataFrame, grid: DataFrame, resolution: float, bands: list[str]) -> DataFrame:
-    """One raster of all groups on a common lattice: row, col and bands; of several sources the first group_id counts.
+    """One raster of all groups on a common lattice: row, col, group_id and bands; in each band the first group with a
+    valid value counts, and group_id is the first with any.
 
     By aggregation: partial minima before the shuffle, and no sort of the sources.
     """
     origin = grid.agg(F.min("x0").alias("left_x"), F.max("y0").alias("top_y"))
     moved = raster.join(grid.select("group_id", "x0", "y0"), "group_id").join(F.broadcast(origin))
     moved = moved.withColumns({"row": F.col("row") + F.round((F.col("top_y") - F.col("y0")) / resolution).cast("long"), "col": F.col("col") + F.round((F.col("x0") - F.col("left_x")) / resolution).cast("long")})
-    first = moved.filter(F.coalesce(F.col(bands[0]) != NODATA, F.lit(False))).groupBy("row", "col").agg(F.min(F.struct("group_id", *bands)).alias("f"))
-    return first.select("row", "col", F.col("f.group_id").alias("group_id"), *[F.col(f"f.{b}").alias(b) for b in bands])
+    valid = {b: F.coalesce(F.col(b) != NODATA, F.lit(False)) for b in bands}
+    some = valid[bands[0]]
+    for b in bands[1:]:
+        some = some | valid[b]
+    first = [F.min(F.when(valid[b], F.struct("group_id", b))).alias(f"__{i}") for i, b in enumerate(bands)]
+    out = moved.filter(some).groupBy("row", "col").agg(F.min("group_id").alias("group_id"), *first)
+    return out.select("row", "col", "group_id", *[F.col(f"__{i}").getField(b).alias(b) for i, b in enumerate(bands)])
 
 
 def stack(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -65,12 +71,23 @@ def bands_of(value: Column, low: float, step: float, count: int) -> Column:
     return F.when(value >= low, F.least(F.floor((value - low) / step), F.lit(count - 1).cast("long")))
 
 
-def share_by_band(raster: DataFrame, predicted: str, bands: dict[str, tuple[str, float, float, int]]) -> DataFrame:
-    """The sum of predicted in percent of all cells, by one or several banded columns (altitude, aspect, slope)."""
-    keyed = raster.withColumns({name: bands_of(F.col(c), low, step, count) for name, (c, low, step, count) in bands.items()})
-    total = raster.agg(F.count(F.lit(1)).alias("__total"))
-    sums = keyed.dropna(subset=list(bands)).groupBy(*bands).agg(F.sum(predicted).alias("__sum"))
-    return sums.join(F.broadcast(total)).select(*bands, (F.col("__sum") * 100 / F.col("__total")).alias("percent"))
+def bands_from(value: Column, edges: list[float]) -> Column:
+    """The band that a value is in, by the lower edges of all; null below the first, or without a value."""
+    return F.when(~F.isnan(value) & (value >= edges[0]), sum(((value >= e).cast("long") for e in edges[1:]), F.lit(0).cast("long")))
+
+
+def share_by_band(raster: DataFrame, predicted: str, bands: dict[str, tuple], over: str) -> DataFrame:
+    """The sum of predicted in percent of the cells of all bands of `over`, by that band (altitude), or by that and others
+    (aspect, slope), of which each combination has its own total.
+
+    bands says (column, low, step, count) or (column, lower edges) of each name. Cells below a first edge count nowhere;
+    a predicted value that is missing counts as a cell and adds nothing; a band without cells has no row.
+    """
+    made = {name: bands_of(F.col(b[0]), *b[1:]) if len(b) == 4 else bands_from(F.col(b[0]).cast("double"), b[1]) for name, b in bands.items()}
+    value = F.col(predicted).cast("double")
+    cells = raster.withColumns(made).dropna(subset=list(bands)).groupBy(*bands).agg(F.sum(F.when(F.isnan(value), 0.0).otherwise(value)).alias("__sum"), F.count(F.lit(1)).alias("__cells"))
+    total = F.sum("__cells").over(Window.partitionBy(*[name for name in bands if name != over]))
+    return cells.select(*bands, (F.coalesce("__sum", F.lit(0.0)) * 100 / total).alias("percent"))
 
 
 def compatible(files: DataFrame, by: list[str] | None = None) -> DataFrame:

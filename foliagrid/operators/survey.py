@@ -16,8 +16,16 @@ def projected(survey: DataFrame, lon: str = "X", lat: str = "Y") -> DataFrame:
 
 
 def pixels(survey: DataFrame, grid: DataFrame, resolution: float) -> DataFrame:
-    """survey with the group, row and col of the grids that hold each place; a place outside all has no row."""
-    at = survey.join(grid, (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x0") + F.col("width") * resolution) & (F.col("y") <= F.col("y0")) & (F.col("y") > F.col("y0") - F.col("height") * resolution))
+    """survey with the group, row and col of the grids that hold each place; a place outside all has no row.
+
+    Grids are listed by squares as wide as the largest grid, four at most for each, and joined with places by square.
+    """
+    side = F.broadcast(grid.agg(F.greatest(F.max("width"), F.max("height"), F.lit(1)).alias("__cells")))
+    square = lambda v: F.floor(v / (F.col("__cells") * resolution))
+    right, bottom = F.col("x0") + F.col("width") * resolution, F.col("y0") - F.col("height") * resolution
+    listed = grid.join(side).withColumn("__i", F.explode(F.sequence(square(F.col("x0")), square(right)))).withColumn("__j", F.explode(F.sequence(square(bottom), square(F.col("y0"))))).drop("__cells")
+    places = survey.join(side).withColumns({"__i": square(F.col("x")), "__j": square(F.col("y"))}).drop("__cells")
+    at = places.join(listed, ["__i", "__j"]).filter((F.col("x") >= F.col("x0")) & (F.col("x") < right) & (F.col("y") <= F.col("y0")) & (F.col("y") > bottom)).drop("__i", "__j")
     return at.withColumns({"row": F.floor((F.col("y0") - F.col("y")) / resolution), "col": F.floor((F.col("x") - F.col("x0")) / resolution)}).drop("x0", "y0", "width", "height")
 
 

@@ -1,6 +1,5 @@
 """Tiles: coordinates from names, the occupancy grid, neighbours, groups."""
 
-import random
 from collections import deque
 
 from pyspark.sql import DataFrame, Window
@@ -54,30 +53,46 @@ def adjacent_groups(cells: set[tuple[int, int]], n: int) -> list[list[tuple[int,
 def group_tiles(tiles: DataFrame, n: int, strategy: str = "adjacent", seed: int = 0) -> DataFrame:
     """tile_x, tile_y, row, col, group_no, place. n = -1: one group; n = 0: one tile each; strategy adjacent or random.
 
-    The list of tiles of a survey comes to the driver for the adjacent strategy, whose growth is sequential: a tile is a
-    file of a square kilometre, points never come.
+    The list of tiles of a survey comes to the driver for the adjacent strategy alone, whose growth is sequential: a tile
+    is a file of a square kilometre, points never come.
     """
     grid = tile_grid(tiles)
     if strategy not in ("adjacent", "random"):
         raise ValueError(f"no such strategy: {strategy}")
     if n == -1:
         return grid.withColumns({"group_no": F.lit(0).cast("long"), "place": (F.row_number().over(Window.orderBy("row", "col")) - 1).cast("long")})
+    if strategy == "random":
+        return spread_groups(grid, n, seed).join(grid, ["tile_x", "tile_y"]).select("tile_x", "tile_y", "row", "col", "group_no", "place")
     rows = sorted(grid.collect(), key=lambda r: (r["row"], r["col"]))
     cells = {(r["row"], r["col"]): r for r in rows}
-    if strategy == "random":
-        order = list(cells)
-        random.Random(seed).shuffle(order)
-        groups = [order[i : i + max(1, n)] for i in range(0, len(order), max(1, n))]
-    else:
-        groups = adjacent_groups(set(cells), max(1, n))
+    groups = adjacent_groups(set(cells), max(1, n))
     out = [(cells[c]["tile_x"], cells[c]["tile_y"], c[0], c[1], g, p) for g, group in enumerate(groups) for p, c in enumerate(group)]
     return tiles.sparkSession.createDataFrame(out, "tile_x int, tile_y int, row int, col int, group_no long, place long")
 
 
-def spread_groups(tiles: DataFrame, n: int) -> DataFrame:
-    """Groups of n tiles in a pseudo-random order without the driver: by hash, numbered within hash buckets."""
-    order = Window.orderBy(F.sha2(F.concat_ws("_", "tile_x", "tile_y"), 256))
-    return tiles.select("tile_x", "tile_y").distinct().withColumn("group_no", F.floor((F.row_number().over(order) - 1) / max(1, n)))
+def spread_groups(tiles: DataFrame, n: int, seed: int | None = None) -> DataFrame:
+    """tile_x, tile_y, group_no, place: groups of n tiles in a pseudo-random order without the driver.
+
+    The order is that of a hash, numbered within 4096 buckets by its first digits; only the buckets' counts are summed in
+    one place.
+    """
+    names = ["tile_x", "tile_y"] if seed is None else [F.lit(seed), "tile_x", "tile_y"]
+    hashed = tiles.select("tile_x", "tile_y").distinct().withColumn("h", F.sha2(F.concat_ws("_", *names), 256)).withColumn("bucket", F.substring("h", 1, 3))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    order = Window.partitionBy("bucket").orderBy("h")
+    at = F.col("base") + F.row_number().over(order) - 1
+    return hashed.join(F.broadcast(base), "bucket").withColumn("at", at).select("tile_x", "tile_y", F.floor(F.col("at") / max(1, n)).alias("group_no"), (F.col("at") % max(1, n)).alias("place"))
+
+
+def tiles_at(places: DataFrame, grid: DataFrame) -> DataFrame:
+    """places (row, col) with tile_x and tile_y of the grid's cell, null where it has no tile."""
+    return places.join(grid.select("row", "col", "tile_x", "tile_y"), ["row", "col"], "left")
+
+
+def coordinates_of(row, col, least_x: int, least_y: int):
+    """(tile_x, tile_y) of a cell of a grid that begins at the least coordinates, tiles there or not."""
+    return col + least_x, row + least_y
 
 
 def group_paths(grouped: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import lambert_xy
 from ..operators import cells, classify, ground, neighbours, points, raster, survey, tiles
+from ..scratch import Scratch
+from ..sources import readers, writers
 from . import stages, vegetation
 
 RESOLUTION = 200.0
@@ -241,14 +243,15 @@ def group_adjacent(spark, sf_dir):
     return tiles.group_tiles(tile_table(spark, sf_dir), 20)
 
 
-@query()
+@query(f"""WITH {T}, o AS (SELECT *, row_number() OVER (ORDER BY sha256('7_' || tile_x || '_' || tile_y)) - 1 AS nth FROM tl)
+SELECT tile_x::INTEGER AS tile_x, tile_y::INTEGER AS tile_y, (tile_y - min(tile_y) OVER ())::INTEGER AS "row", (tile_x - min(tile_x) OVER ())::INTEGER AS col, (nth // 20)::BIGINT AS group_no, (nth % 20)::BIGINT AS place FROM o""")
 def group_random(spark, sf_dir):
     return tiles.group_tiles(tile_table(spark, sf_dir), 20, "random", seed=7)
 
 
 @query(f"WITH {T} SELECT tile_x::INTEGER AS tile_x, tile_y::INTEGER AS tile_y, ((row_number() OVER (ORDER BY sha256(tile_x || '_' || tile_y)) - 1) // 20)::BIGINT AS group_no FROM tl")
 def group_random_hash(spark, sf_dir):
-    return tiles.spread_groups(tile_table(spark, sf_dir), 20)
+    return tiles.spread_groups(tile_table(spark, sf_dir), 20).drop("place")
 
 
 @query(f"""WITH {T}, o AS (SELECT tile_x AS group_no, tile_y, 'in/uncompress_A_B_' || tile_x || '_' || tile_y || '_C.las' AS path FROM tl)
@@ -268,7 +271,7 @@ def resume_anti(spark, sf_dir):
 M = f"""{P}, grid AS (SELECT group_id, floor(min(x) / {RESOLUTION}) * {RESOLUTION} AS x0, ceil(max(y) / {RESOLUTION}) * {RESOLUTION} AS y0, min(y) AS ly, max(x) AS hx FROM pts GROUP BY group_id),
 cel AS (SELECT pts.*, least(floor((y0 - y) / {RESOLUTION}), greatest(1, ceil((y0 - ly) / {RESOLUTION})) - 1)::BIGINT AS r0, least(floor((x - x0) / {RESOLUTION}), greatest(1, ceil((hx - x0) / {RESOLUTION})) - 1)::BIGINT AS c0, x0, y0 FROM pts JOIN grid USING (group_id)),
 mo AS (SELECT group_id, (r0 + round(((SELECT max(y0) FROM grid) - y0) / {RESOLUTION}))::BIGINT AS "row", (c0 + round((x0 - (SELECT min(x0) FROM grid)) / {RESOLUTION}))::BIGINT AS col, quantile_cont(hag, 0.95) AS q95, quantile_cont(hag, 0.5) AS q50 FROM cel GROUP BY ALL),
-mosaic AS (SELECT "row", col, arg_min(q95, group_id) AS q95, arg_min(q50, group_id) AS q50, min(group_id) AS group_id FROM mo GROUP BY ALL)"""
+mosaic AS (SELECT "row", col, arg_min(q95, group_id) FILTER (q95 IS NOT NULL AND q95 <> -999) AS q95, arg_min(q50, group_id) FILTER (q50 IS NOT NULL AND q50 <> -999) AS q50, min(group_id) AS group_id FROM mo GROUP BY ALL)"""
 
 
 def line_mosaic(spark, sf_dir):
@@ -320,7 +323,7 @@ def class_stats(spark, sf_dir):
 
 @query(f"""WITH {I}, l AS (SELECT (("row" * 3 + col) % 4)::BIGINT AS raw_label, round(q95, 8) AS q95, round(q50, 8) AS q50 FROM ras WHERE q95 <= 2),
 s AS (SELECT raw_label, avg(q95) AS h, avg(q50) AS d, count(*) AS n FROM l GROUP BY 1), k AS (SELECT *, (row_number() OVER (ORDER BY h, raw_label) - 1)::BIGINT AS rank FROM s)
-SELECT raw_label, rank, rank + 3 AS class_id, printf('cluster %d H=%.2fm D=%.2f N=%d', rank, h, d, n) AS name FROM k""")
+SELECT raw_label, rank, rank + 3 AS class_id, printf('cluster %d H=%.2fm D=%.2f N=%d', rank + 1, h, d, n) AS name FROM k""")
 def cluster_rank_names(spark, sf_dir):
     low = line_raster(spark, sf_dir).filter("q95 <= 2").select(((F.col("row") * 3 + F.col("col")) % 4).alias("raw_label"), *r8("q95", "q50"))
     return classify.rank_clusters(low, "q95", "q50")
@@ -414,10 +417,13 @@ def _band_sql(column, low, step, count):
 
 
 def _share_sql(bands):
+    """By definition: of the cells with the same other bands that are in any altitude band, the share that is predicted."""
     cols = ", ".join(f"{_band_sql(*b)} AS {n}" for n, b in bands.items())
     names = ", ".join(bands)
     some = " AND ".join(f"{n} IS NOT NULL" for n in bands)
-    return f"WITH {P}, k AS (SELECT {cols}, CASE WHEN hag > 1 THEN 1 ELSE 0 END AS p FROM pts) SELECT {names}, round(sum(p)::DOUBLE * 100 / (SELECT count(*) FROM k), 8) AS percent FROM k WHERE {some} GROUP BY {names}"
+    same = " AND ".join(["t.altitude IS NOT NULL", *[f"t.{n} = b.{n}" for n in bands if n != "altitude"]])
+    return f"""WITH {P}, k AS (SELECT {cols}, CASE WHEN hag > 1 THEN 1 ELSE 0 END AS p FROM pts), b AS (SELECT {names}, sum(p) AS s FROM k WHERE {some} GROUP BY {names})
+SELECT {names}, round(s::DOUBLE * 100 / (SELECT count(*) FROM k t WHERE {same}), 8) AS percent FROM b"""
 
 
 ALTITUDE = {"altitude": ("z", 200.0, 100.0, 6)}
@@ -427,7 +433,7 @@ SLOPE = {"slope": ("x", 0.0, 500.0, 3)}
 
 def _shares(spark, sf_dir, bands):
     rows = line_points(spark, sf_dir).withColumn("p", F.when(F.col("hag") > 1, 1).otherwise(0))
-    return raster.share_by_band(rows, "p", bands).select(*bands, *r8("percent"))
+    return raster.share_by_band(rows, "p", bands, "altitude").select(*bands, *r8("percent"))
 
 
 @query(_share_sql(ALTITUDE))
@@ -498,7 +504,16 @@ def pixel_lookup(spark, sf_dir):
     return survey.pixels(sv, gridded(spark, sf_dir)[1], RESOLUTION).select("id", "group_id", "row", "col")
 
 
-@query()
+_LAMBERT = """WITH s AS (SELECT c_custkey, radians(c_custkey % 900 / 100.0 - 3) AS lon, radians(c_nationkey / 5.0 + 43) AS lat FROM customer),
+k AS (SELECT 0.0818191910428158 AS e, radians(44) AS a1, radians(49) AS a2, radians(46.5) AS a0),
+h AS (SELECT e, a0, cos(a1) / sqrt(1 - pow(e * sin(a1), 2)) AS m1, cos(a2) / sqrt(1 - pow(e * sin(a2), 2)) AS m2,
+  atanh(sin(a1)) - e * atanh(e * sin(a1)) AS l1, atanh(sin(a2)) - e * atanh(e * sin(a2)) AS l2, atanh(sin(a0)) - e * atanh(e * sin(a0)) AS l0 FROM k),
+n AS (SELECT *, ln(m2 / m1) / (l1 - l2) AS n FROM h), c AS (SELECT *, 6378137.0 * m1 / n * exp(n * l1) AS c FROM n)
+SELECT c_custkey, round(700000 + c * exp(-n * (atanh(sin(lat)) - e * atanh(e * sin(lat)))) * sin(n * (lon - radians(3))), 3) AS x,
+  round(6600000 + c * exp(-n * l0) - c * exp(-n * (atanh(sin(lat)) - e * atanh(e * sin(lat)))) * cos(n * (lon - radians(3))), 3) AS y FROM s, c"""
+
+
+@query(_LAMBERT)
 def projected_survey(spark, sf_dir):
     sv = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 900 / 100.0 - 3).alias("X"), (F.col("c_nationkey") / 5.0 + 43).alias("Y"))
     x, y = lambert_xy(F.col("X"), F.col("Y"))
@@ -618,3 +633,62 @@ def heights_by_hour(spark, sf_dir):
 
     rows = table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("group_id"), (F.col("value") / 100).alias("hag"))
     return heights_by_time(rows, "ts", "1 hour", "1 day").select("group_id", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', window.start)").alias("at"), "n", *r8("mean"), "greatest")
+
+
+def _files(spark, images, end):
+    """A folder with the images as files."""
+    folder = f"{Scratch(spark, 'files').path}/images"
+    writers.write_images(images, folder, end)
+    return folder
+
+
+def _from_path():
+    return F.regexp_extract("path", r"([^/]+)\.\w+$", 1).alias("group_id")
+
+
+@query(f"WITH {P} SELECT group_id, x, y, round(z, 4) AS z, hag, intensity, classification::INTEGER AS classification, 1::INTEGER AS return_number FROM pts")
+def las_round_trip(spark, sf_dir):
+    """Points as LAS files, with a further dimension, and back."""
+    folder = _files(spark, writers.las_files(line_points(spark, sf_dir), scale=0.0001), ".las")
+    back = readers.read_points(spark, folder, {"HeightAboveGround": "hag"})
+    return back.select(_from_path(), F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round("z", 4).alias("z"), "hag", "intensity", "classification", "return_number")
+
+
+@query(f"WITH {P} SELECT group_id, x, y, z, hag, intensity, classification::DOUBLE AS classification FROM pts")
+def array_round_trip(spark, sf_dir):
+    """Points as structured arrays, and back."""
+    names = {name: column for name, column in readers.DIMENSIONS.items()}
+    folder = _files(spark, writers.array_files(line_points(spark, sf_dir), names), ".npy")
+    return readers.read_npy(spark, folder).select(_from_path(), "x", "y", "z", "hag", "intensity", "classification")
+
+
+def _images(spark, sf_dir):
+    found, grid = vegetation.cell_indicators(line_points(spark, sf_dir), RESOLUTION)
+    return _files(spark, writers.tiff_files(found, grid, ["q95", "fhd"], RESOLUTION, nodata=raster.NODATA, names=["height", "diversity"]), ".tif")
+
+
+@query(f'WITH {I} SELECT group_id, "row", col, round(q95::FLOAT::DOUBLE, 4) AS q95 FROM ras')
+def tiff_round_trip(spark, sf_dir):
+    """Indicators as GeoTIFF images, and back."""
+    return readers.read_rasters(spark, _images(spark, sf_dir), ["q95", "fhd"]).select(_from_path(), "row", "col", F.round("q95", 4).alias("q95"))
+
+
+@query(f'WITH {I} SELECT group_id, "row", col, round(q95::FLOAT::DOUBLE, 4) AS q95 FROM ras WHERE "row" BETWEEN 1 AND 3 AND col >= 2')
+def tiff_window(spark, sf_dir):
+    """A window of GeoTIFF images: the blocks that it meets are decoded."""
+    return readers.read_rasters(spark, _images(spark, sf_dir), ["q95"], rows=(1, 4), cols=(2, 1 << 30)).select(_from_path(), "row", "col", F.round("q95", 4).alias("q95"))
+
+
+@query(f"WITH {G} SELECT group_id, x0, y0, width::INTEGER AS width, height::INTEGER AS height, 2154 AS epsg, 'height,diversity' AS names FROM grid")
+def tiff_headers(spark, sf_dir):
+    """What the headers say: place, size, projection, bands' names."""
+    return readers.raster_info(spark, _images(spark, sf_dir)).select(_from_path(), "x0", "y0", "width", "height", "epsg", F.concat_ws(",", "names").alias("names"))
+
+
+@query(f"""WITH {T}, g AS (SELECT DISTINCT tile_y - (SELECT min(tile_y) FROM tl) AS "row", tile_x - (SELECT min(tile_x) FROM tl) AS col, tile_x, tile_y FROM tl),
+p AS (SELECT c_custkey % 12 AS "row", c_nationkey AS col FROM customer)
+SELECT p."row"::INTEGER AS "row", p.col::INTEGER AS col, coalesce(tile_x, -1)::INTEGER AS tile_x, coalesce(tile_y, -1)::INTEGER AS tile_y FROM p LEFT JOIN g USING ("row", col)""")
+def tile_of_index(spark, sf_dir):
+    """Coordinates of grid cells, -1 where there's no tile."""
+    places = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 12).cast("int").alias("row"), F.col("c_nationkey").alias("col"))
+    return tiles.tiles_at(places, tiles.tile_grid(tile_table(spark, sf_dir))).select("row", "col", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("tile_x", "tile_y")])

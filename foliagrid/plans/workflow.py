@@ -51,22 +51,23 @@ class Workflow:
 
 
 class Status:
-    """Which groups are processed or failed: an append-only table, whose latest row for a group counts."""
+    """Which groups are processed or failed: an append-only table, whose latest row for a group counts. Records of one
+    time go by their sequence, in nanoseconds of the driver's clock."""
 
-    SCHEMA = "group_id string, state string, at timestamp"
+    SCHEMA = "group_id string, state string, at timestamp, sequence long"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     def record(self, groups: DataFrame, state: str) -> None:
-        groups.select("group_id", F.lit(state).alias("state"), F.current_timestamp().alias("at")).write.mode("append").parquet(self.path)
+        groups.select("group_id", F.lit(state).alias("state"), F.current_timestamp().alias("at"), F.lit(time.time_ns()).alias("sequence")).write.mode("append").parquet(self.path)
 
     def latest(self) -> DataFrame:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return self.spark.createDataFrame([], self.SCHEMA).select("group_id", "state")
         rows = self.spark.read.schema(self.SCHEMA).parquet(self.path)
-        return rows.groupBy("group_id").agg(F.max_by("state", "at").alias("state"))
+        return rows.groupBy("group_id").agg(F.max_by("state", F.struct("at", F.coalesce("sequence", F.lit(0).cast("long")))).alias("state"))
 
     def remaining(self, groups: DataFrame) -> DataFrame:
         """Groups that aren't processed; failed ones come again."""

@@ -1,6 +1,8 @@
 """Spark sessions for tests and benchmarks, and the package on the workers' path."""
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -29,7 +31,9 @@ def ship_package(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(context, "_foliagrid_shipped", False):
         return
-    path = os.path.join(tempfile.mkdtemp(), "foliagrid.zip")
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, True)  # the driver serves the file to workers as long as it lives
+    path = os.path.join(folder, "foliagrid.zip")
     with zipfile.ZipFile(path, "w") as archive:
         for source in sorted(_PACKAGE.rglob("*.py")):
             archive.write(source, source.relative_to(_PACKAGE.parent))

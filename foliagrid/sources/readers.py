@@ -2,79 +2,50 @@
 
 import io
 import json
-import struct
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import las, tiff
+
 POINT_SCHEMA = "path string, x double, y double, z double, intensity double, classification int, return_number int, number_of_returns int"
 PAGE = 1_000_000
-#: Record formats that this reader knows, and where the classification byte is in them (fixed by the public format).
-CLASSIFICATION_AT = {0: 15, 1: 15, 2: 15, 3: 15, 6: 16, 7: 16, 8: 16}
-
-
 def files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """path, length and content of the files below a folder whose names match; listing alone reads no content."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
 
 
-def list_files(spark: SparkSession, folder: str, pattern: str = "*.laz") -> DataFrame:
+def list_files(spark: SparkSession, folder: str, pattern: str = "*.las") -> DataFrame:
     return files(spark, folder, pattern).select("path", "length", "modificationTime")
 
 
-def las_pages(content: bytes, page: int = PAGE):
-    """An uncompressed LAS file's points as dicts of arrays, a page at a time."""
-    if content[:4] != b"LASF":
-        raise ValueError("not a LAS file")
-    minor = content[25]
-    start, = struct.unpack_from("<I", content, 96)
-    kind, size = struct.unpack_from("<BH", content, 104)
-    if kind not in CLASSIFICATION_AT:
-        raise ValueError(f"point format {kind} isn't read (compressed files need a codec)")
-    n, = struct.unpack_from("<Q", content, 247) if minor >= 4 else struct.unpack_from("<I", content, 107)
-    scale, offset = np.array(struct.unpack_from("<3d", content, 131)), np.array(struct.unpack_from("<3d", content, 155))
-    for at in range(0, n, page):
-        count = min(page, n - at)
-        raw = np.frombuffer(content, np.uint8, count * size, start + at * size).reshape(count, size)
-        xyz = raw[:, :12].copy().view("<i4") * scale + offset
-        returns = raw[:, 14]
-        first, total = (returns & 7, (returns >> 3) & 7) if kind < 6 else (returns & 15, returns >> 4)
-        cls = raw[:, CLASSIFICATION_AT[kind]] & (31 if kind < 6 else 255)
-        yield {"x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2], "intensity": raw[:, 12:14].copy().view("<u2").ravel().astype(float), "classification": cls.astype(np.int32), "return_number": first.astype(np.int32), "number_of_returns": total.astype(np.int32)}
-
-
-def las_bytes(points: dict[str, np.ndarray], scale: float = 0.01) -> bytes:
-    """A LAS 1.2 file of format 0 with the given x, y, z, intensity and classification."""
-    xyz = np.stack([points[c] for c in "xyz"], axis=1)
-    offset = np.floor(xyz.min(0)) if len(xyz) else np.zeros(3)
-    raw = np.zeros((len(xyz), 20), np.uint8)
-    raw[:, :12] = np.round((xyz - offset) / scale).astype("<i4").view(np.uint8).reshape(-1, 12)
-    raw[:, 12:14] = points.get("intensity", np.zeros(len(xyz))).astype("<u2").view(np.uint8).reshape(-1, 2)
-    raw[:, 14] = 1 | 1 << 3
-    raw[:, 15] = points.get("classification", np.zeros(len(xyz)))
-    head = bytearray(227)
-    head[:4], head[24], head[25] = b"LASF", 1, 2
-    struct.pack_into("<HI", head, 94, 227, 227)
-    struct.pack_into("<BHI", head, 104, 0, 20, len(xyz))
-    struct.pack_into("<3d", head, 131, scale, scale, scale)
-    struct.pack_into("<3d", head, 155, *offset)
-    high, low = (xyz.max(0), xyz.min(0)) if len(xyz) else (np.zeros(3), np.zeros(3))
-    struct.pack_into("<6d", head, 179, high[0], low[0], high[1], low[1], high[2], low[2])
-    return bytes(head) + raw.tobytes()
-
-
-def read_las(spark: SparkSession, folder: str, pattern: str = "*.las") -> DataFrame:
-    """Points of all LAS files below a folder, in pages, with their file's path."""
+def read_las(spark: SparkSession, folder: str, pattern: str = "*.las", extra: dict[str, str] | None = None, start: int = 0, count: int | None = None) -> DataFrame:
+    """Points of all LAS files below a folder, in pages, with their file's path.
+
+    extra names further dimensions and their columns (doubles, null where a file lacks one); start and count choose rows of
+    each file. Compressed files are an error that names them. A file is read whole by a task, so 2 GB is its limit.
+    """
+    extra = extra or {}
 
     def read(batches):
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                for page in las_pages(content.as_buffer().to_pybytes()):
-                    yield pa.RecordBatch.from_pydict({"path": [path] * len(page["x"]), **page})
+                for page in las.pages(content.as_buffer().to_pybytes(), PAGE, start, count, tuple(extra), path):
+                    more = {extra[k]: pa.array(page.pop(k), from_pandas=True) for k in extra}
+                    yield pa.RecordBatch.from_pydict({"path": [path] * len(page["x"]), **page, **more})
+
+    schema = ", ".join([POINT_SCHEMA, *[f"{c} double" for c in extra.values()]])
+    return files(spark, folder, pattern).select("path", "content").mapInArrow(read, schema)
+
 
-    return files(spark, folder, pattern).select("path", "content").mapInArrow(read, POINT_SCHEMA)
+def read_points(spark: SparkSession, folder: str, extra: dict[str, str] | None = None) -> DataFrame:
+    """Points of all LAS files below a folder; an error at listing if there are compressed ones, which need a codec."""
+    packed = list_files(spark, folder, "*.[lL][aA][zZ]").select("path").head()
+    if packed:
+        raise ValueError(f"{packed[0]} is compressed, and no codec is here: decompress it first")
+    return read_las(spark, folder, "*.[lL][aA][sS]", extra)
 
 
 #: Names of array dimensions as columns here.
@@ -122,3 +93,48 @@ def read_config(path: str) -> dict:
 def read_raster_window(spark: SparkSession, path: str, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
     """The cells of a raster table in half-open ranges; comparisons reach the row groups."""
     return spark.read.parquet(path).filter(F.col("row").between(rows[0], rows[1] - 1) & F.col("col").between(cols[0], cols[1] - 1))
+
+
+RASTER_INFO = "path string, width int, height int, count int, x0 double, y0 double, resolution double, epsg int, nodata double, dtype string, names array<string>, metadata map<string,string>"
+
+
+def raster_info(spark: SparkSession, folder: str, pattern: str = "*.tif*") -> DataFrame:
+    """What the headers of all GeoTIFF files below a folder say, a row for each: size, place, projection, bands."""
+
+    def read(batches):
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                i = tiff.Image(content.as_buffer().to_pybytes())
+                rows.append((path, i.width, i.height, i.count, i.x0, i.y0, i.resolution, i.epsg, i.nodata, i.dtype.newbyteorder("=").name, i.names, list(i.metadata.items())))
+            types = [pa.string(), *[pa.int32()] * 3, *[pa.float64()] * 3, pa.int32(), pa.float64(), pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[x.split()[0] for x in RASTER_INFO.split(", ")])
+
+    return files(spark, folder, pattern).select("path", "content").mapInArrow(read, RASTER_INFO)
+
+
+def read_rasters(spark: SparkSession, folder: str, bands: list[str], pattern: str = "*.tif*", rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None) -> DataFrame:
+    """Cells of all GeoTIFF files below a folder: path, row, col and the first bands under the given names, as doubles.
+
+    Only the blocks that half-open ranges of rows and columns meet are decoded. Values that are NaN or the file's nodata are
+    null, and cells without any value have no row. A file is a task's memory, its cells a strip of rows at a time.
+    """
+
+    def read(batches):
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                image = tiff.Image(content.as_buffer().to_pybytes())
+                if image.count < len(bands):
+                    raise ValueError(f"{path} has {image.count} bands, not {len(bands)}")
+                top, bottom = (0, image.height) if rows is None else (max(0, rows[0]), min(image.height, rows[1]))
+                left = 0 if cols is None else max(0, cols[0])
+                step = max(1, PAGE // max(1, image.width))
+                for at in range(top, bottom, step):
+                    values = image.window((at, min(bottom, at + step)), cols)[: len(bands)].astype(float)
+                    if image.nodata is not None:
+                        values[values == image.nodata] = np.nan
+                    i, j = np.nonzero(~np.isnan(values).all(axis=0))
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(i), pa.string()), pa.array(i + at), pa.array(j + left), *[pa.array(v[i, j], from_pandas=True) for v in values]], names=["path", "row", "col", *bands])
+
+    schema = ", ".join(["path string, row long, col long", *[f"{b} double" for b in bands]])
+    return files(spark, folder, pattern).select("path", "content").mapInArrow(read, schema)

@@ -2,16 +2,16 @@
 
 import io
 import json
-import struct
-import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.points import keep_columns
-from .readers import las_bytes
+from . import las, tiff
 
 
 def write_points(points: DataFrame, path: str, keep: list[str] | None = None, mode: str = "overwrite") -> None:
@@ -26,11 +26,15 @@ def write_raster(raster: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def array_files(points: DataFrame, names: dict[str, str]) -> DataFrame:
-    """group_id and the image of a structured .npy file with the columns that exist. A group is a task's memory."""
+    """group_id and the image of a structured .npy file with the columns that exist, whole numbers of as many bytes as they
+    have here. A group is a task's memory."""
     have = {column: name for name, column in names.items() if column in points.columns}
+    kinds = {"tinyint": "i1", "smallint": "i2", "int": "i4", "bigint": "i8"}
+    types = {c: kinds.get(kind, "f8") for c, kind in points.dtypes}
 
     def each(key, rows):
-        out = np.zeros(len(rows), [(name, "i4" if rows[c].dtype.kind == "i" else "f8") for c, name in have.items()])
+        kind = {c: "f8" if rows[c].isna().any() else types[c] for c in have}
+        out = np.zeros(len(rows), [(name, kind[c]) for c, name in have.items()])
         for c, name in have.items():
             out[name] = rows[c].to_numpy()
         image = io.BytesIO()
@@ -40,57 +44,38 @@ def array_files(points: DataFrame, names: dict[str, str]) -> DataFrame:
     return points.groupBy("group_id").applyInPandas(each, "group_id string, image binary")
 
 
-def las_files(points: DataFrame) -> DataFrame:
-    """group_id and the image of an uncompressed LAS file. A group is a task's memory."""
+def las_files(points: DataFrame, extra: dict[str, str] | None = None, scale: float = 0.01) -> DataFrame:
+    """group_id and the image of an uncompressed LAS file, with further dimensions (name: column). A group is a task's memory."""
+    extra = {"HeightAboveGround": "hag"} if extra is None else extra
 
     def each(key, rows):
-        return pd.DataFrame({"group_id": [key[0]], "image": [las_bytes({c: rows[c].to_numpy() for c in ("x", "y", "z", "intensity", "classification") if c in rows})]})
+        image = las.encode({c: rows[c].to_numpy() for c in rows.columns if c != "group_id"}, scale, extra)
+        return pd.DataFrame({"group_id": [key[0]], "image": [image]})
 
-    return points.groupBy("group_id").applyInPandas(each, "group_id string, image binary")
+    names = ["group_id", "x", "y", "z", "intensity", "classification", "return_number", "number_of_returns", *extra.values()]
+    return keep_columns(points, names).groupBy("group_id").applyInPandas(each, "group_id string, image binary")
+
+
+def write_images(images: DataFrame, folder: str, end: str) -> None:
+    """Each row's image as a file, named after its group, in a folder that driver and executors share."""
+    where = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
+
+    def put(batches):
+        for batch in batches:
+            store, path = pyarrow.fs.FileSystem.from_uri(where)
+            store.create_dir(path, recursive=True)
+            names = [f"{g}{end}" for g in batch.column("group_id").to_pylist()]
+            for name, image in zip(names, batch.column("image"), strict=True):
+                with store.open_output_stream(f"{path}/{name}") as out:
+                    out.write(image.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
+
+    images.select("group_id", "image").mapInArrow(put, "name string").write.format("noop").mode("overwrite").save()
 
 
-def tiff_bytes(bands: np.ndarray, x0: float, y0: float, resolution: float, epsg: int = 2154, nodata: float | None = None, palette: dict[int, tuple[int, int, int]] | None = None, description: str = "") -> bytes:
-    """A deflated GeoTIFF of (bands, rows, columns): float32, or uint8 with a palette. Tags are those of the public format."""
-    count, height, width = bands.shape
-    data = bands.astype(np.uint8 if palette is not None else "<f4")
-    strips = [zlib.compress(data[b].tobytes()) for b in range(count)]
-    bits = 8 * data.itemsize
-    keys = (1, 1, 0, 3, 1024, 0, 1, 1, 1025, 0, 1, 1, 3072, 0, 1, epsg)
-    tags: list[tuple[int, str, tuple | bytes]] = [
-        (256, "I", (width,)), (257, "I", (height,)), (258, "H", (bits,) * count), (259, "H", (8,)), (262, "H", (3 if palette is not None else 1,)),
-        (270, "s", description.encode() + b"\0"), (277, "H", (count,)), (278, "I", (height,)), (284, "H", (2 if count > 1 else 1,)),
-        (339, "H", (1 if palette is not None else 3,) * count), (33550, "d", (resolution, resolution, 0.0)), (33922, "d", (0.0, 0.0, 0.0, x0, y0, 0.0)), (34735, "H", keys),
-    ]
-    if palette is not None:
-        colours = np.zeros((3, 256), int)
-        for code, rgb in palette.items():
-            colours[:, code] = np.array(rgb) * 257
-        tags.append((320, "H", tuple(colours.ravel().tolist())))
-    if nodata is not None:
-        tags.append((42113, "s", f"{nodata:g}".encode() + b"\0"))
-    at = 8
-    offsets = []
-    for s in strips:
-        offsets.append(at)
-        at += len(s) + len(s) % 2
-    tags += [(273, "I", tuple(offsets)), (279, "I", tuple(len(s) for s in strips))]
-    tags.sort(key=lambda t: t[0])
-    code = {"H": 3, "I": 4, "d": 12, "s": 2}
-    entries, extra, extra_at = b"", b"", at + 2 + 12 * len(tags) + 4
-    for tag, kind, values in tags:
-        raw = values if isinstance(values, bytes) else struct.pack(f"<{len(values)}{kind}", *values)
-        entries += struct.pack("<HHI", tag, code[kind], len(values))
-        if len(raw) <= 4:
-            entries += raw.ljust(4, b"\0")
-        else:
-            entries += struct.pack("<I", extra_at + len(extra))
-            extra += raw + b"\0" * (len(raw) % 2)
-    body = b"".join(s + b"\0" * (len(s) % 2) for s in strips)
-    return b"II*\0" + struct.pack("<I", at) + body + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0) + extra
-
-
-def tiff_files(raster: DataFrame, grid: DataFrame, bands: list[str], resolution: float, nodata: float | None = None, palette: dict | None = None, trim: bool = False) -> DataFrame:
-    """group_id and the image of a GeoTIFF of its bands: a grid of a group of tiles is a task's memory."""
+def tiff_files(raster: DataFrame, grid: DataFrame, bands: list[str], resolution: float, nodata: float | None = None, palette: dict | None = None, trim: bool = False, names: list[str] | None = None, metadata: dict[str, str] | None = None, epsg: int = 2154) -> DataFrame:
+    """group_id and the image of a GeoTIFF of its bands, with their descriptions and further items of metadata: a grid of a
+    group of tiles is a task's memory."""
 
     def each(key, rows):
         first = rows.iloc[0]
@@ -100,12 +85,22 @@ def tiff_files(raster: DataFrame, grid: DataFrame, bands: list[str], resolution:
         out = out[:, : height - trim, : width - trim]
         if nodata is not None:
             out = np.where(np.isnan(out), nodata, out)
-        return pd.DataFrame({"group_id": [key[0]], "image": [tiff_bytes(out, first["x0"], first["y0"], resolution, nodata=nodata, palette=palette, description=",".join(bands))]})
+        return pd.DataFrame({"group_id": [key[0]], "image": [tiff.encode(out, first["x0"], first["y0"], resolution, epsg, nodata, palette, ",".join(bands), names or bands, metadata)]})
 
     rows = raster.select("group_id", "row", "col", *bands).join(grid, "group_id")
     return rows.groupBy("group_id").applyInPandas(each, "group_id string, image binary")
 
 
+def class_metadata(names: dict[int, str]) -> dict[str, str]:
+    """Items of a class image's metadata: what it is, and each class's name."""
+    return {"LAYER_TYPE": "classifications", "STATISTICS_APPROXIMATE": "NO"} | {f"Class_{c}": n for c, n in sorted(names.items())}
+
+
+def class_files(classes: DataFrame, grid: DataFrame, resolution: float, names: dict[int, str], colours: dict[int, tuple[int, int, int]], epsg: int = 2154) -> DataFrame:
+    """group_id and the image of a palette GeoTIFF of class_id, with the classes' names."""
+    return tiff_files(classes, grid, ["class_id"], resolution, palette=colours, metadata=class_metadata(names), epsg=epsg)
+
+
 def category_sidecar(names: dict[int, str], colours: dict[int, tuple[int, int, int]]) -> str:
     """The XML that stands beside a class image: names from code 0 to the highest, and a colour table."""
     from xml.sax.saxutils import escape
