@@ -1,39 +1,5 @@
-"""Written tables that cut lineage, in the folder that driver and executors share."""
+"""Scratch tables of these operators: see foliagrid.scratch."""
 
-import uuid
+from ..scratch import Scratch, shared_dir
 
-from pyspark.sql import DataFrame, SparkSession
-
-UNSET_DIR = "file:/tmp/checkpoints/foliagrid"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset (single-machine tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or UNSET_DIR).rstrip("/")
-
-
-class Scratch:
-    """A folder of written tables that belongs to one call of an operator.
-
-    Tables are plain Parquet, so a lost executor costs a reread and never a recomputation. An operator drops what its
-    result doesn't read; the rest stays as checkpoint files do, until the shared folder is cleared.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        return self.read(name, df.schema)
-
-    def read(self, name: str, schema) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-
-    def drop(self, *names: str) -> None:
-        """Delete the named tables, or all of them."""
-        jvm = self.spark._jvm
-        for name in names or [""]:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Scratch", "shared_dir"]
