@@ -2,7 +2,8 @@
 
 The most probable split of each distinct pre-token is found by dynamic programming along a trie: a node's forward score
 is the best over the pieces that end there, from the scores of its ancestors, so a prefix that many pre-tokens share is
-scored once. The nodes where pre-tokens end keep the number of pieces on the best path.
+scored once. The nodes where pre-tokens end keep the number of pieces on the best path. The trie is gone through by depth,
+of pre-tokens of any length together, with the scores of so many depths in memory as the longest piece has bytes.
 """
 
 import base64
@@ -14,9 +15,10 @@ from pyspark.sql import DataFrame
 
 from ._text import buffers, longs, running, slices, spans
 
-#: Pre-tokens longer than this many bytes are scored one by one, and distinct ones that a task remembers.
-TRIE_BYTES = 64
+#: Distinct pre-tokens that a task remembers.
 MEMO = 1 << 20
+#: Scores of pieces that are looked up together, and the depths that they are of, at most.
+AT_ONCE, DEPTHS = 1 << 18, 4_096
 SCHEMA = "doc_id long, n_tokens long, n_pretokens long"
 
 
@@ -45,60 +47,49 @@ class Unigram:
         h = spans(running(data), ends - sizes, ends)
         order = np.argsort(h)
         self.hashes, self.scores = h[order], np.array(list(scores.values()))[order]
-        self.sizes = sorted({int(x) for x in sizes if x <= TRIE_BYTES}, reverse=True)
-        self.all_sizes = sorted({int(x) for x in sizes}, reverse=True)
+        self.sizes = np.array(sorted({int(x) for x in sizes}, reverse=True), np.int64)
 
     def score(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, self.scores[at], -np.inf)
 
     def counts(self, total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Pieces on the best path of each span; of equal scores, the path with the longer last piece."""
-        size = ends - starts
+        """Pieces on the best path of each span; of equal scores, the path with the longer last piece.
+
+        Spans are sorted by length, so those that reach a depth are the first n. best and pieces have a row for each of the
+        last depths and a column for each span; a node is computed for the first span that has it, and copied to others.
+        """
         out = np.zeros(len(starts), np.int64)
-        short = np.flatnonzero(size <= TRIE_BYTES)
-        node = {0: np.zeros(len(starts), np.int64)}
-        best, pieces = {0: np.zeros(1)}, {0: np.zeros(1, np.int64)}
-        for depth in range(1, int(size[short].max(initial=0)) + 1):
-            some = short[size[short] >= depth]
-            _, first, inverse = np.unique(spans(total, starts[some], starts[some] + depth), return_index=True, return_inverse=True)
-            node[depth] = np.zeros(len(starts), np.int64)
-            node[depth][some] = inverse
-            word = some[first]
-            here = starts[word] + depth
-            top, n = np.full(len(word), -np.inf), np.zeros(len(word), np.int64)
-            for k in self.sizes:
-                if k <= depth:
-                    above = node[depth - k][word]
-                    s = best[depth - k][above] + self.score(spans(total, here - k, here))
-                    better = s > top
-                    top = np.where(better, s, top)
-                    n = np.where(better, pieces[depth - k][above] + 1, n)
-            best[depth], pieces[depth] = top, n
-            last = some[size[some] == depth]
-            out[last] = n[node[depth][last]]
-        for i in np.flatnonzero(size > TRIE_BYTES):
-            out[i] = self.count_one(total, int(starts[i]), int(ends[i]))
+        order = np.argsort(starts - ends, kind="stable")
+        starts, size = starts[order], (ends - starts)[order]
+        most = int(self.sizes[0])
+        best, pieces = np.zeros((1, len(starts))), np.zeros((1, len(starts)), np.int64)
+        depth = 0
+        while (n := int(np.searchsorted(-size, -depth))):
+            steps = 1 if depth < most else min(int(size[n - 1]) - depth, DEPTHS, max(1, AT_ONCE // (len(self.sizes) * n)))
+            keep = min(len(best), most)
+            best, pieces = (np.concatenate([v[len(v) - keep :, :n], np.zeros((steps, n), v.dtype)]) for v in (best, pieces))
+            sizes = self.sizes[self.sizes <= depth + steps]
+            here = starts[:n] + depth + 1 + np.arange(steps)[:, None]
+            prefix = spans(total, np.broadcast_to(starts[:n], here.shape), here)
+            if steps > 1:
+                scores = self.score(spans(total, here[:, None, :] - sizes[:, None], np.broadcast_to(here[:, None, :], (steps, len(sizes), n))))
+            for step in range(steps):
+                _, node, copy = np.unique(prefix[step], return_index=True, return_inverse=True) if n > 1 else (None, np.zeros(1, np.int64), np.zeros(1, np.int64))
+                if steps > 1:
+                    own = scores[step][:, node]
+                else:
+                    last = np.broadcast_to(here[0, node], (len(sizes), len(node)))
+                    own = self.score(spans(total, last - sizes[:, None], last))
+                own = own + best[keep + step - sizes][:, node]
+                top = own.argmax(axis=0)
+                best[keep + step] = own[top, np.arange(len(node))][copy]
+                pieces[keep + step] = (pieces[keep + step - sizes[top], node] + 1)[copy]
+            depth += steps
+            ended = np.flatnonzero(size[:n] == depth)
+            out[order[ended]] = pieces[-1, ended]
         return out
 
-    def count_one(self, total: np.ndarray, start: int, end: int) -> int:
-        """The same for one long span, in windows, with memory of the longest piece."""
-        most = self.all_sizes[0]
-        best, pieces = [0.0], [0]
-        for at in range(start, end, 4096):
-            here = np.arange(at + 1, min(at + 4096, end) + 1)
-            table = np.full((len(self.all_sizes), len(here)), -np.inf)
-            for row, k in enumerate(self.all_sizes):
-                fits = here - k >= start
-                table[row, fits] = self.score(spans(total, here[fits] - k, here[fits]))
-            for column in table.T:
-                top, n = -math.inf, 0
-                for k, s in zip(self.all_sizes, column.tolist(), strict=True):
-                    if s > -math.inf and k <= len(best) and best[-k] + s > top:
-                        top, n = best[-k] + s, pieces[-k] + 1
-                best, pieces = [*best[-most:], top], [*pieces[-most:], n]
-        return pieces[-1]
-
 
 def _counter(path: str):
     def count(batches):
@@ -138,7 +129,8 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_pretokens.
 
     Pre-tokens are words (runs of bytes other than 0x20 and 0x09-0x0D) with the space 0x20 before them, if any; each
-    other white-space byte is one by itself. A null text is empty and has none; other columns are ignored.
+    other white-space byte is one by itself. A pre-token is scored whole, however long. A null text is empty and has none;
+    rows that repeat are counted alike; an empty table gives no rows; other columns are ignored.
     """
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(_counter(vocabulary or default_vocabulary()), SCHEMA)
 
