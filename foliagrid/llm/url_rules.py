@@ -3,10 +3,11 @@
 A host's key is its labels in reverse, each with a full stop: m.example.org is org.example.m. (canonical, so that a host
 and all its subdomains are one interval of keys). Urls are range-partitioned and sorted by key; the sweep goes through
 rules in the same order and keeps a stack of those whose interval holds the current key. Intervals of prefixes nest, so
-the stack is the chain of the rule hosts above a url's host.
+the stack is the chain of the rule hosts above a url's host. A host's paths are intervals as well: the last one in order
+that isn't after a url's path is found by bisection, and the chain of the paths around it leads to the longest that fits.
 """
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -40,14 +41,37 @@ def key_of(host: str) -> str:
     return "".join(f"{x}." for x in reversed(host.split("."))) if host else ""
 
 
+class Paths:
+    """The rules of one host: paths in order, each with the longest other one that is its prefix."""
+
+    def __init__(self, rules: list[tuple[str, str, str]]):
+        best: dict[str, tuple] = {}
+        for host, path, verdict in rules:
+            best[path] = max(best.get(path, ()), (len(host) + len(path), f"{host}{path}", verdict))
+        self.paths = sorted(best)
+        self.rules = [best[p] for p in self.paths]
+        self.around, stack = [], []
+        for i, path in enumerate(self.paths):
+            while stack and not path.startswith(self.paths[stack[-1]]):
+                stack.pop()
+            self.around.append(stack[-1] if stack else -1)
+            stack.append(i)
+
+    def longest(self, path: str):
+        i = bisect_right(self.paths, path) - 1
+        while i >= 0 and not path.startswith(self.paths[i]):
+            i = self.around[i]
+        return self.rules[i] if i >= 0 else None
+
+
 class Sweep:
     """One block of rules, swept in the order of keys."""
 
     def __init__(self, rules):
         by_key: dict[str, list] = {}
-        for host, path, verdict in rules:
-            by_key.setdefault(key_of(host), []).append((len(host) + len(path), f"{host}{path}", path, verdict))
-        self.rules = {k: sorted(v, reverse=True) for k, v in by_key.items()}
+        for rule in rules:
+            by_key.setdefault(key_of(rule[0]), []).append(rule)
+        self.rules = {k: Paths(v) for k, v in by_key.items()}
         self.keys = sorted(self.rules)
         self.at, self.stack, self.began = 0, [], False
 
@@ -64,12 +88,7 @@ class Sweep:
             if key.startswith(self.keys[self.at]):
                 self.stack.append(self.keys[self.at])
             self.at += 1
-        best = None
-        for k in self.stack:
-            for size, name, start, verdict in self.rules[k]:
-                if path.startswith(start) and (best is None or (size, name) > best[:2]):
-                    best = size, name, verdict
-        return best
+        return max((x for k in self.stack if (x := self.rules[k].longest(path))), default=None)
 
 
 def _sweeper(rules, default):
@@ -92,8 +111,9 @@ def judge_urls(pages: DataFrame, rules=RULES, default: str = DEFAULT) -> DataFra
 
     A rule fits its host and all subdomains where the url's path starts with the rule's path; the longest wins, then the
     last in text order. No rule: the default. A null url, or one without ://, has empty host and path, which no rule
-    fits. Rules are a list of the caller and travel with the code; any number works, in blocks. Rows are sorted by key,
-    path and page_id, so the pages of a large host are dealt to many partitions.
+    fits. Rules are a list of the caller, so the driver's memory bounds them; they are swept in blocks. Rows are sorted by
+    key, path and page_id, so the pages of a large host are dealt to many partitions. Rows that repeat are judged alike, a
+    null page_id is kept, an empty table gives no rows, other columns are ignored.
     """
     reverse = F.concat(F.array_join(F.reverse(F.split(F.col("host"), r"\.")), "."), F.lit("."))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
