@@ -19,9 +19,9 @@ from ._text import GRAM_SALTS, Texts, longs, mix, of_strings, slices
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Bits that fingerprints may differ in. Similarity 0.8 differs in 10 of 64 on average, 11 by the class's window, so 16 is
-#: almost two deviations more.
-RADIUS = 16
+#: Bits that fingerprints may differ in. Similarity 0.8 differs in 10 of 64 on average, 11 by the class's window, so 15 is
+#: one and a half deviations more, and windows one or two words away try again.
+RADIUS = 15
 BITS, BLOCK_BITS = 64, 16
 #: Sizes of items in a class differ by this factor at most.
 CLASS_RATIO = 1.15
@@ -36,24 +36,33 @@ SCHEMA = "doc_id long, item_id long, similarity double, hamming int, start_word
 U = np.uint64
 
 
+#: The eight signs of each byte.
+SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int16) * 2 - 1
+
+
 def signed(grams: np.ndarray, weights: np.ndarray, kind) -> np.ndarray:
     """A row of 64 signed weights for each gram: plus where its hash has a 1."""
-    out = np.unpackbits(mix(grams ^ GRAM_SALTS[-1]).view(np.uint8).reshape(-1, 8), axis=1).astype(kind)
-    out += out
-    out -= 1
+    out = SIGNS.astype(kind, copy=False).take(mix(grams ^ GRAM_SALTS[-1]).view(np.uint8), axis=0).reshape(-1, BITS)
     out *= weights.astype(kind)[:, None]
     return out
 
 
-def running_sums(grams: np.ndarray, weights: np.ndarray, kind) -> np.ndarray:
-    out = np.zeros((len(grams) + 1, BITS), kind)
-    np.cumsum(signed(grams, weights, kind), axis=0, dtype=kind, out=out[1:])
-    return out
+def running_sums(rows: np.ndarray) -> np.ndarray:
+    """Sums of all rows before each, and of all, by groups of 16 rows, and groups of those."""
+    n = len(rows)
+    out = np.zeros((1 + -(-n // 16) * 16, rows.shape[1]), rows.dtype)
+    out[1 : n + 1] = rows
+    groups = out[1:].reshape(-1, 16, rows.shape[1])
+    for i in range(1, 16):
+        groups[:, i] += groups[:, i - 1]
+    if len(groups) > 1:
+        groups[1:] += (running_sums(groups[:, 15])[1:-1] if len(groups) > 16 else np.cumsum(groups[:-1, 15], axis=0, dtype=rows.dtype))[:, None]
+    return out[: n + 1]
 
 
 def prints(sums: np.ndarray) -> np.ndarray:
     """64-bit SimHash (Charikar 2002) of rows of sums."""
-    return np.packbits(sums > 0, axis=1).view(U).ravel()
+    return np.packbits((sums > 0).ravel()).view(U)
 
 
 def fingerprints(grams: np.ndarray, weights: np.ndarray, ptr: np.ndarray) -> np.ndarray:
@@ -84,20 +93,24 @@ class HammingIndex:
             order = np.argsort(values, kind="stable")
             items = np.repeat(np.arange(len(own), dtype=np.int32), len(near_values(share)))[order] if share >= 0 else np.zeros(0, np.int32)
             counts = np.bincount(values, minlength=1 << BLOCK_BITS)
-            self.tables.append((counts.astype(np.int32), (np.cumsum(counts) - counts).astype(np.int64), items))
+            small = np.uint8 if counts.max(initial=0) < 256 else np.int32
+            self.tables.append((counts.astype(small), np.cumsum(counts) - counts, items))
 
     def within(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in some, number) of all pairs within radius, once or more each."""
         places, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        for value, (counts, starts, postings) in zip(some.view(np.uint16).reshape(-1, BITS // BLOCK_BITS).T, self.tables, strict=True):
-            n = counts[value]
+        for value, (counts, starts, postings) in zip(np.ascontiguousarray(some.view(np.uint16).reshape(-1, BITS // BLOCK_BITS).T), self.tables, strict=True):
+            value = value.astype(np.intp)
+            n = counts.take(value)
             hit = np.flatnonzero(n)
-            n = n[hit].astype(np.int64)
+            n = n.take(hit).astype(np.intp)
+            ends = np.cumsum(n)
+            first = starts.take(value.take(hit)) - (ends - n)
+            item = postings.take(np.repeat(first, n) + np.arange(ends[-1] if len(ends) else 0))
             place = np.repeat(hit, n)
-            item = postings[np.repeat(starts[value[hit]] - (np.cumsum(n) - n), n) + np.arange(len(place))]
-            near = np.bitwise_count(some[place] ^ self.prints[item]) <= self.radius
-            places.append(place[near])
-            items.append(item[near])
+            near = np.flatnonzero(np.bitwise_count(some.take(place) ^ self.prints.take(item)) <= self.radius)
+            places.append(place.take(near))
+            items.append(item.take(near))
         return np.concatenate(places), np.concatenate(items)
 
 
@@ -176,7 +189,7 @@ class Benchmark:
         for kind in {c[4] for c in classes}:
             for at in range(0, len(grams), CHUNK):
                 end = min(len(grams), at + CHUNK + most)
-                sums = running_sums(grams[at:end], steps[at:end], kind)
+                sums = running_sums(signed(grams[at:end], steps[at:end], kind))
                 for _, n, items, index, own_kind in classes:
                     count = min(CHUNK, end - at - n + 1)
                     if own_kind is kind and count > 0:
