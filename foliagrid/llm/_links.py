@@ -29,7 +29,7 @@ from ._scratch import Scratch
 #: Buckets of so many ids or fewer are compared whole at once; larger ones by their first FIRST ids, then NEXT others.
 SMALL, FIRST, NEXT = 12, 4, 24
 #: Rows of one side of a block in the last comparison.
-BLOCK_ROWS = 2_000
+BLOCK_ROWS = 600
 SALT_SHIFT, SALT_BITS, DEALT = 56, 7, 64
 #: A key is hot that has more than HOT_ROWS rows and 1 / HOT_SHARE of all: fewer than HOT_SHARE keys, whatever the input.
 #: Joins deal its rows to PARTS tasks.
