@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -228,7 +229,7 @@ def test_too_many_ids_for_a_table():
 
 def test_token_counts(spark):
     scores = token_counts.read_vocabulary(token_counts.default_vocabulary())
-    some = dict(list(texts(spark).items())[:25]) | {-1: None, -2: "", -3: " \n x" + "y" * 300 + "z" * 9000, -4: "👍 é  a"}
+    some = dict(list(texts(spark).items())[:25]) | {-1: None, -2: "", -3: " \n x" + "y" * 300 + "z" * 9000, -4: "👍 é  a", -5: "国際化と地域化" * 90 + " " + "国際化と地域" * 80, -6: "ab" * 700 + " " + "ab" * 699}
     df = spark.createDataFrame(list(some.items()), "doc_id long, text string")
     assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df).collect()} == {i: token_counts.brute_force(t, scores) for i, t in some.items()}
 
@@ -521,6 +522,23 @@ def test_toxicity_held_out(spark):
     assert got.severity.between(0, toxicity.GRADES - 1).all()
 
 
+def test_toxicity_scores_by_hand(spark):
+    from foliagrid.llm._text import Texts, mix
+
+    def number(word, salt=0):
+        h = Texts(np.frombuffer(word, np.uint8), np.array([0, len(word)]), False).hashes
+        return int((mix(h ^ toxicity.STEM_SALT) if salt else h)[0] >> np.uint64(64 - toxicity.FEATURE_BITS))
+
+    docs = documents(spark)
+    model = toxicity.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    got = {r.doc_id: r.severity for r in toxicity.score(docs, model).collect()}
+    for i, text in list(texts(spark).items())[:80]:
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").translate(LOWER).encode())
+        found = {number(w) for w in words} | {number(w[:4], 1) for w in words if len(w) > 4}
+        score = sum(float(model.weights[f]) for f in found)
+        assert math.isclose(got[i], sum(1 / (1 + math.exp(t - score)) for t in model.thresholds), rel_tol=1e-6)
+
+
 def test_ordinal_gradient():
     r = np.random.default_rng(1)
     x = [np.flatnonzero(r.random(6) < 0.4) for _ in range(400)]
@@ -531,6 +549,41 @@ def test_ordinal_gradient():
     assert t[0] < t[1] and np.corrcoef(w, truth)[0, 1] > 0.95
 
 
+def test_ordinal_gradient_by_differences():
+    """The fit's likelihood, written down directly, can't be raised by moving any parameter."""
+    r = np.random.default_rng(7)
+    x = [np.flatnonzero(r.random(5) < 0.5) for _ in range(150)]
+    grades = r.integers(0, 4, 150)
+    w, t = toxicity.fit_ordinal(x, grades, 5, 4, penalty=0.5, rounds=6000)
+
+    def likelihood(p):
+        total = -0.25 * (p[:5] ** 2).sum()
+        for f, g in zip(x, grades, strict=True):
+            above = [1.0, *[1 / (1 + math.exp(c - p[f].sum())) for c in p[5:]], 0.0]
+            total += math.log(above[g] - above[g + 1])
+        return total
+
+    p = np.concatenate([w, t])
+    for i in range(8):
+        moved = [likelihood(p + d * np.eye(8)[i]) for d in (-1e-4, 1e-4)]
+        assert abs(moved[1] - moved[0]) / 2e-4 < 0.05
+
+
+def test_toxicity_of_odd_samples(spark):
+    long_text = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(i, f"vile word{i % 7}" if i % 2 else f"kind word{i % 7}") for i in range(200)] + [(500, long_text), (501, long_text + " vile")] + [(2, f"other {i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(500, 0), (501, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r.kept for r in toxicity.score(docs.filter("text like 'vile%' or text like 'kind%' or doc_id = 501"), model).collect()}
+    assert all(got[i] == (i % 2 == 0) for i in range(200) if i != 2)
+    assert len(toxicity.least_hashed(np.arange(9000, dtype=np.int32))) == toxicity.MOST_FEATURES
+    same = toxicity.train(docs, labels.withColumn("toxic", F.lit(1)))
+    assert toxicity.score(docs, same).filter("not kept").count() == 0
+    few = toxicity.train(docs, labels, most=10)
+    assert few.reject_from > 0
+
+
 def url_by_hand(url, rules, default):
     if url is None or "://" not in url:
         return "", "", None, default
@@ -554,28 +607,138 @@ def test_url_rules(spark, monkeypatch):
         assert {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in got} == {i: url_by_hand(u, rules, url_rules.DEFAULT) for i, u in enumerate(urls)}
 
 
+def test_url_rules_many_paths(spark):
+    r = random.Random(5)
+    part = lambda: "".join(r.choices("ab/", k=r.randint(0, 6)))
+    rules = list({(h, p): (h, p, r.choice(["allow", "block"])) for h, p in ((r.choice(["x.org", "org", "a.x.org"]), "/" + part()) for _ in range(300))}.values())
+    urls = [f"http://{r.choice(['x.org', 'a.x.org', 'b.a.x.org', 'org', 'y.org'])}/{part()}" for _ in range(900)] + ["http://x.org/" + "a" * 100_000, "http://" + "a." * 5_000 + "x.org/ab"]
+    rows = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)] + [(None, urls[0], "h", "p"), (0, urls[0], "h", "p")], "page_id long, url string, host string, path string")
+    got = url_rules.judge_urls(rows, rules).collect()
+    assert len(got) == len(urls) + 2
+    for x in got:
+        assert (x.host, x.path, x.rule, x.verdict) == url_by_hand(urls[x.page_id or 0], rules, url_rules.DEFAULT)
+    assert url_rules.judge_urls(rows.limit(0), rules).collect() == []
+
+
 def test_sweep_from_the_middle():
     sweep = url_rules.Sweep(url_rules.RULES)
     assert sweep.judge("org.example.zzz.", "/es/1")[1] == "example.org/es/"
     assert url_rules.Sweep([]).judge("org.", "/") is None
 
 
-def test_pipeline(spark):
+def mixed_by_hand(rows, seed=0):
+    """(doc_id, source, size) -> copies, a document at a time, with exact fractions."""
+    sources = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s))
+    place = {s: i for i, s in enumerate(sources)}
+    size = {s: sum(n for _, x, n in rows if x == s) for s in sources}
+    weight = {s: (5, 2, 1)[place[s] % 3] for s in sources}
+    target, left, rest = {}, set(sources), Fraction(150 * sum(size.values()), 100)
+    while left:
+        share = {s: rest * weight[s] / sum(weight[x] for x in left) for s in left}
+        full = [s for s in left if share[s] > 2 * size[s]]
+        if not full:
+            target |= share
+            break
+        for s in full:
+            target[s] = Fraction(2 * size[s])
+            rest -= target[s]
+        left -= set(full)
+    out = {}
+    for s in sources:
+        expected = target[s] / size[s] if size[s] else Fraction(0)
+        offset = Fraction(((place[s] + 1) * 40_503 + seed * 30_011) % 65_536, 65_536)
+        at = offset
+        for i, _, n in sorted((x for x in rows if x[1] == s), key=lambda x: (x[2], x[0] is None, x[0])):
+            out[i, s, n] = out.get((i, s, n), 0) + math.floor(at + expected) - math.floor(at)
+            at += expected
+    return out
+
+
+def test_pipeline_stages_by_hand(spark):
     import corpus_pipeline as c
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     names, kept = docs.columns, docs
     scratch = Scratch(spark, "test")
-    sizes = [docs.count()]
+    tables = [docs.toPandas()]
     for name, stage in c.STAGES[:-1]:
         kept = scratch.save(stage(spark, kept, DATA), name)
         assert kept.columns == names
-        sizes.append(kept.count())
-    assert sizes[0] > sizes[1] > sizes[2] > sizes[3] > 0
-    by_hand = groups_by_hand([(r.doc_id, r.text) for r in scratch.read("toxicity", docs.schema).collect()])
-    assert {r.doc_id for r in scratch.read("ngram_join", docs.schema).collect()} == {i for i, (_, comp) in by_hand.items() if i == comp}
+        tables.append(kept.toPandas())
+    raw, civil, distinct, unseen, mixed = tables
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    scores = {r.doc_id: r.severity for r in toxicity.score(docs, model).collect()}
+    assert set(civil.doc_id) == {i for i, s in scores.items() if s < model.reject_from} and len(civil) < len(raw)
+    by_hand = groups_by_hand(list(zip(civil.doc_id, civil.text, strict=True)))
+    assert set(distinct.doc_id) == {i for i, (_, comp) in by_hand.items() if i == comp} and len(distinct) < len(civil)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    found = items_by_hand(list(zip(distinct.doc_id, distinct.text, strict=True)), items)
+    assert set(unseen.doc_id) >= set(distinct.doc_id) - {d for d, _ in found}  # no clean document goes
+    sure = {d for (d, _), s in found.items() if s > 0.9}
+    assert sure and not sure & set(unseen.doc_id)
+    assert len(distinct) - len(unseen) >= 0.9 * len({d for d, _ in found})
+    rows = [(i, s, len(WORD.findall(t or ""))) for i, s, t in zip(unseen.doc_id, unseen.source, unseen.text, strict=True)]
+    copies = {k: n for k, n in mixed_by_hand(rows).items() if n}
+    got = Counter((i, s, len(WORD.findall(t or ""))) for i, s, t in zip(mixed.doc_id, mixed.source, mixed.text, strict=True))
+    assert got == copies
     out = c.run(spark, DATA)
-    assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() == sizes[4]
-    assert out.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] == out.agg(F.sum("n_tokens")).first()[0]
+    assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    t, want, start = Tokenizer.from_file(token_files.default_tokenizer()), [], 0
+    for i, text in sorted(zip(mixed.doc_id, mixed.text, strict=True)):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, out.collect())) == want
+
 
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline as c
 
+    spark.createDataFrame([(1, "a b c d e"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 1), (4, 0, 0), (None, 1, 1), (5, None, None)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    more = [(None, "only without id, a text of its own that is long enough", None, None, None, "__gone", "row", "best")] * 2
+    table = odd(spark).unionByName(spark.createDataFrame(more, SCHEMA)).withColumnRenamed("key", "__gone").withColumnRenamed("id", "__row").withColumn("row_key", F.lit(1)).withColumn("comp", F.lit("x")).withColumn("rows", F.lit("y"))
+    for rows in (table, table.limit(0)):
+        kept = rows
+        for _, stage in c.STAGES:
+            before, kept = kept, Scratch(spark, "test").save(stage(spark, kept, str(tmp_path)), "kept")
+            if stage is not c.STAGES[-1][1]:
+                assert kept.columns == before.columns
+        assert kept.count() == 0 or rows is table
+
+
+def test_one_of_each_by_row(spark):
+    a, b, c = ("one two three four five six seven", "quite another text of enough words here", "a third one that nobody has copied yet")
+    rows = [(1, a, "x"), (2, a, "y"), (2, c, "z"), (None, b, "p"), (None, b, "p"), (3, None, "n"), (3, "", "m"), (1, a, "x")]
+    got = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, __gone string")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, a, "x"), (2, c, "z"), (None, b, "p"), (3, None, "n"), (3, "", "m")]))
+
+
+def test_links_through_rows_without_id(spark):
+    """A chain whose middle has no doc_id, against all pairs."""
+    words = [f"w{i}" for i in range(60)]
+    chain = [" ".join(["x"] * 0 + [f"v{j}" if j < k * 2 else w for j, w in enumerate(words)]) for k in range(6)]
+    for none in ({1}, {2, 3}, {0, 5}, set()):
+        rows = [(i, t) for i, t in enumerate(chain)]
+        want = groups_by_hand(rows)
+        table = spark.createDataFrame([(None if i in none else i, t) for i, t in rows], "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in ngram_join.similar_documents(table).collect() if r.doc_id is not None}
+        roots: dict = {}
+        for i, (_, comp) in want.items():
+            if i not in none:
+                roots.setdefault(comp, []).append(i)
+        assert got == {i: min(some) for some in roots.values() for i in some}
+
+
+def test_pairs_by_bands_of_sizes(spark):
+    """The last comparison meets every pair whose sizes allow a link, of different components."""
+    r = random.Random(12)
+    ids = [(i, r.choice([1, 5, 5, 6, 10, 12, 40, 45, 50, 200])) for i in range(300)]
+    comps = {i: r.randrange(4) for i, _ in ids}
+    rows = spark.createDataFrame([(7, i, 0, comps[i], 300, n, bytearray([n] + [0] * 255)) for i, n in ids], "key long, id long, meta long, comp long, rows long, n long, shape binary")
+    got = {(x.a, x.b) for x in _links.last_candidates(rows, lambda a, b: np.ones(len(a), bool), 80, 256, Scratch(spark, "t")).collect()}
+    size = dict(ids)
+    want = {(a, b) for a, _ in ids for b, _ in ids if a < b and comps[a] != comps[b] and 100 * min(size[a], size[b]) >= 80 * max(size[a], size[b])}
+    assert got == want
