@@ -1,10 +1,10 @@
 """Passages and paragraphs that repeat across documents, by MinHash banding.
 
-Two kinds of units are compared. Paragraphs are lines, of any length. Pieces are cut at words that their own neighbourhood
+Two kinds of units are compared. Paragraphs are lines of a shingle or more, of any length. Pieces are cut at words that their own neighbourhood
 chooses, whatever the newlines: a word whose hash is the least among the REACH words on either side begins a new one. So a
 passage that was pasted into another document has the same pieces wherever it stands and however its lines are broken,
 except near its own ends. Units that agree in a band of MinHashes meet, their exact Jaccard similarity of 5-word shingles
-(of all words, in a shorter line) is computed, and links make components. Pieces that occur in several documents are
+is computed, and links make components. Pieces that occur in several documents are
 extended word by word as far as they agree with the first occurrence, and neighbours are joined to runs; all occurrences
 but the first are to be removed.
 """
@@ -50,8 +50,8 @@ class Paragraphs:
         new_line[1:] |= broken[1:] != broken[:-1]
         self.cuts = np.append(np.flatnonzero(anchor | new_row), n)
         lines = np.append(np.flatnonzero(new_line), n)
-        some = np.diff(self.cuts) >= LEAST_WORDS
-        self.starts, self.ends = np.concatenate([self.cuts[:-1][some], lines[:-1]]), np.concatenate([self.cuts[1:][some], lines[1:]])
+        some, long = np.diff(self.cuts) >= LEAST_WORDS, np.diff(lines) >= SHINGLE
+        self.starts, self.ends = np.concatenate([self.cuts[:-1][some], lines[:-1][long]]), np.concatenate([self.cuts[1:][some], lines[1:][long]])
         self.line = np.arange(len(self.starts)) >= np.count_nonzero(some)
         self.row = row[self.starts]
         self.row_starts, self.row_ends = t.ptr[self.row], t.ptr[self.row + 1]
@@ -68,8 +68,6 @@ class Paragraphs:
         self.grams = mix(self.grams)
 
     def shingles(self, i: int) -> np.ndarray:
-        if self.n_words[i] < SHINGLE:
-            return mix(self.ids[i : i + 1].astype(U))
         return np.unique(self.grams[self.starts[i] : self.ends[i] - SHINGLE + 1])
 
     def around(self, some: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -93,19 +91,13 @@ class Paragraphs:
         """Keys (bands, paragraphs): two MinHashes each, of multiplications by odd numbers."""
         if not len(self.starts):
             return np.zeros((BANDS, 0), np.int64)
-        short = np.flatnonzero(self.n_words < SHINGLE)
-        edges = np.stack([self.starts, self.ends - SHINGLE + 1], axis=1)
-        edges[short] = 0
-        edges = edges.ravel()
-        whole = mix(self.ids[short].astype(U))
+        edges = np.stack([self.starts, self.ends - SHINGLE + 1], axis=1).ravel()
         padded = np.append(self.grams, np.zeros(1, U))
         out = []
         for b in range(BANDS):
             key = np.full(len(self.starts), b + 1, U)
             for r in range(ROWS):
-                least = np.minimum.reduceat(padded * GRAM_SALTS[8 + b * ROWS + r], edges)[::2]
-                least[short] = whole * GRAM_SALTS[8 + b * ROWS + r]
-                key = mix(key ^ least)
+                key = mix(key ^ np.minimum.reduceat(padded * GRAM_SALTS[8 + b * ROWS + r], edges)[::2])
             out.append(key.astype(np.int64))
         return np.stack(out)
 
@@ -207,10 +199,10 @@ def repeated_passages(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     run's first unit), first_doc_id (the least with it) and removed (whether an earlier occurrence stays).
 
     Earlier is by doc_id, then text (a hash of it), then place. Pieces have LEAST_WORDS words or more, but for a text's
-    first and last; lines have one or more and are compared whole, however long. Null and empty texts have no units; a
-    null doc_id comes after all others; rows that repeat a doc_id count as one document when repeats are sought, and runs
-    are found in each text apart; rows that repeat both count once; an empty table gives no
-    rows; other columns are ignored.
+    first and last; lines have SHINGLE or more (shorter ones have no shingle), and are compared whole, however long. Null
+    and empty texts have no units; a null doc_id comes after all others; rows that repeat a doc_id count as one document
+    when repeats are sought, and runs are found in each text apart; rows that repeat both count once; an empty table gives
+    no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "paragraphs")
