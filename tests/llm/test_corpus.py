@@ -394,13 +394,15 @@ def test_paragraphs_by_hand(spark):
     docs = [(i, "\n".join(" ".join(x) for x in t)) for i, t in enumerate(texts)]
     shingles = lambda x: {tuple(x[k : k + 5]) for k in range(max(1, len(x) - 4))}
     jaccard = lambda x, y: len(shingles(x) & shingles(y)) / len(shingles(x) | shingles(y))
-    sure, never = set(), set()
+    sure, never, linked = set(), set(), set()
     for i in range(0, len(texts), 2):
-        s = jaccard(texts[i][1], texts[i + 1][1])
-        (sure if s > 0.9 else never if s < 0.8 and len(texts[i][1]) < 14 else set()).update({i, i + 1})
+        s, n = jaccard(texts[i][1], texts[i + 1][1]), len(texts[i][1])
+        (never if n < 5 or s < 0.8 and n < 14 else sure if s > 0.9 else set()).update({i, i + 1})
+        linked |= {i, i + 1} if s >= 0.8 and n >= 5 else set()
     got = paragraph_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     whole = {x.doc_id for x in got if x.start_word <= 30 and x.start_word + x.n_words >= 30 + len(texts[x.doc_id][1])}
     assert sure <= whole and not never & {x.doc_id for x in got}
+    assert len(linked - sure) >= 20 and len(linked & whole) >= 0.95 * len(linked)
     assert {x.doc_id for x in got if x.removed} & sure == {i for i in sure if i % 2}
 
 
