@@ -109,3 +109,23 @@ def group_id(tiles):
 def not_done(groups: DataFrame, done: DataFrame) -> DataFrame:
     """Groups that the status table doesn't have; none left is no error."""
     return groups.join(done.select("group_id"), "group_id", "left_anti")
+
+
+class TileIndex:
+    """The tiles of a list of files, and what is asked of them: one place for grids, neighbours, groups and coordinates."""
+
+    def __init__(self, files: DataFrame, path: str = "path", token: int = 2):
+        self.path, self.tiles = path, parse_tiles(files, path, token)
+
+    def grid(self) -> DataFrame:
+        return tile_grid(self.tiles)
+
+    def neighbours(self) -> DataFrame:
+        return tile_neighbours(self.tiles)
+
+    def groups(self, n: int, strategy: str = "adjacent", seed: int = 0) -> DataFrame:
+        """group_no, tiles and group_id."""
+        return group_paths(group_tiles(self.tiles, n, strategy, seed), self.tiles, self.path)
+
+    def at(self, places: DataFrame) -> DataFrame:
+        return tiles_at(places, self.grid())

@@ -421,6 +421,11 @@ def test_adjacent_groups_on_a_matrix(spark):
     t = spark.createDataFrame([(i, j) for i in range(20) for j in range(10)], "tile_x int, tile_y int")
     some = tiles.group_tiles(t, 7, "random", seed=3).toPandas()
     assert len(some) == 200 and some.groupby("group_no").size().tolist() == [7] * 28 + [4] and set(some.place) == set(range(7))
+    files = spark.createDataFrame([(f"d/A_B_{i}_{j}_C.las",) for i in range(4) for j in range(3)], "path string")
+    index = tiles.TileIndex(files)
+    assert index.grid().count() == 12 and index.neighbours().count() == 2 * (3 * 3 + 4 * 2 + 2 * 3 * 2)
+    assert sorted(len(x.tiles) for x in index.groups(5).collect()) and sum(len(x.tiles) for x in index.groups(5, "random").collect()) == 12
+    assert index.at(spark.createDataFrame([(2, 3)], "row int, col int")).first().tile_x == 3
     at = tiles.tiles_at(spark.createDataFrame([(9, 19), (0, 0), (50, 0)], "row int, col int"), tiles.tile_grid(t)).collect()
     assert {(x.row, x.col): (x.tile_x, x.tile_y) for x in at} == {(9, 19): (19, 9), (0, 0): (0, 0), (50, 0): (None, None)}
 
