@@ -18,7 +18,7 @@ def word_count(text: Column) -> Column:
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share_percent=SHARE_PERCENT, most=MOST_COPIES) -> DataFrame:
     """(source, place, source_size, target): targets share share_percent of all words by weight and stop at most times
-    a source's words; what is above is shared again by weight. One row per source; null is a source, the last.
+    a source's words; what is above is shared again by weight. One row per source; null is a source, the last. Sources alone come to one task.
 
     With sources in order of limit / weight, those below the water level are full and the rest have level * weight. The
     level that holds if all before a source are full comes from prefix sums; it is right for the first source that isn't
