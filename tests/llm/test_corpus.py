@@ -229,7 +229,7 @@ def test_too_many_ids_for_a_table():
 
 def test_token_counts(spark):
     scores = token_counts.read_vocabulary(token_counts.default_vocabulary())
-    some = dict(list(texts(spark).items())[:25]) | {-1: None, -2: "", -3: " \n x" + "y" * 300 + "z" * 9000, -4: "👍 é  a", -5: "国際化と地域化" * 90 + " " + "国際化と地域" * 80, -6: "ab" * 700 + " " + "ab" * 699}
+    some = dict(list(texts(spark).items())[:25]) | {-1: None, -2: "", -3: " \n x" + "y" * 300 + "z" * 3000, -4: "👍 é  a", -5: "国際化と地域化" * 90 + " " + "国際化と地域" * 80, -6: "ab" * 700 + " " + "ab" * 699}
     df = spark.createDataFrame(list(some.items()), "doc_id long, text string")
     assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df).collect()} == {i: token_counts.brute_force(t, scores) for i, t in some.items()}
 
@@ -722,7 +722,7 @@ def test_links_through_rows_without_id(spark):
     """A chain whose middle has no doc_id, against all pairs."""
     words = [f"w{i}" for i in range(60)]
     chain = [" ".join(["x"] * 0 + [f"v{j}" if j < k * 2 else w for j, w in enumerate(words)]) for k in range(6)]
-    for none in ({1}, {2, 3}, {0, 5}, set()):
+    for none in ({1, 4}, {0, 2, 3}):
         rows = [(i, t) for i, t in enumerate(chain)]
         want = groups_by_hand(rows)
         table = spark.createDataFrame([(None if i in none else i, t) for i, t in rows], "doc_id long, text string")
