@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._text import buffers, longs, running, slices, spans
+from ._text import longs, running, slices, spans
 
 #: Distinct pre-tokens that a task remembers.
 MEMO = 1 << 20

@@ -166,10 +166,13 @@ class Encoder:
             _, one, same = np.unique(h[new], return_index=True, return_inverse=True)
             place[new] = len(self.hashes) + same
             self.learn(h[new[one]], data, starts[new[one]], sizes[new[one]])
-        wrong = (place >= 0) & (self.sizes[place] != sizes)
+        known = np.flatnonzero(place >= 0)
+        wrong = np.zeros(len(place), bool)
+        wrong[known] = self.sizes[place[known]] != sizes[known]
         for i, (some, w) in enumerate(words):
             at = place[some]
-            wrong[some[(at >= 0) & (self.words[at, i] != w)]] = True
+            found = np.flatnonzero(at >= 0)
+            wrong[some[found[self.words[at[found], i] != w[found]]]] = True
         place[wrong] = -1
         alone = np.flatnonzero(place < 0)
         raw = data.tobytes()
