@@ -198,6 +198,15 @@ def test_tokens(spark, monkeypatch):
             assert [list(x) for x in np.split(ids, np.cumsum(n))[:-1]] == [[*t.encode(x or "", add_special_tokens=False).ids, 0] for x in some]
 
 
+def test_tokens_without_simple_pieces():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_files.default_tokenizer())
+    for some in (["国際化と地域化", "日本 語"], ["", None], [], ["\n\n"], ["a"], ["\n"], ["語"]):
+        ids, n = token_files.Encoder(token_files.default_tokenizer()).encode(*buffers(pa.array(some, pa.large_string())))
+        assert [list(x) for x in np.split(ids, np.cumsum(n))[:-1]] == [[*t.encode(x or "", add_special_tokens=False).ids, 0] for x in some]
+
+
 def test_tokens_after_a_wrong_memory():
     encoder = token_files.Encoder(token_files.default_tokenizer())
     texts = buffers(pa.array(["some words to know by heart"], pa.large_string()))
