@@ -4,6 +4,9 @@ A word is a maximal run of bytes other than 0x20 and 0x09-0x0D; in UTF-8 those b
 character. Hashes are 64-bit and the same in every process.
 """
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,6 +25,7 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 LENGTH_SALT = U(0xD6E8FEB86659FD93)
 SHORT_SALT = U(0xA0761D6478BD642F)
 SLICE_BYTES = 1 << 20
+RELEASE_BYTES = 16 << 20
 
 _powers = {"up": np.ones(1, U), "down": np.ones(1, U)}
 
@@ -137,3 +141,34 @@ def longs(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """An integer column as int64 (0 for null), and which rows aren't null."""
     column = batch.column(batch.schema.get_field_index(name))
     return pc.fill_null(column.cast(pa.int64()), 0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
+
+
+def release() -> None:
+    """Give back to the system what numpy's and Arrow's allocators hold unused: a worker lives through many stages, and keeps
+    the memory of its largest batch else."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(function):
+    """A function of batches of texts that releases memory at the end, and before that whenever RELEASE_BYTES have come."""
+
+    def each(batches):
+        held = 0
+        for batch in batches:
+            held += batch.nbytes
+            yield batch
+            del batch
+            if held >= RELEASE_BYTES:
+                release()
+                held = 0
+
+    @functools.wraps(function)
+    def run(batches):
+        yield from function(each(batches))
+        release()
+
+    return run

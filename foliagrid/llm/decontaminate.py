@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import Scratch
-from ._text import GRAM_SALTS, Texts, longs, mix, of_strings, slices
+from ._text import GRAM_SALTS, Texts, lean, longs, mix, of_strings, slices
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -315,7 +315,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     found = spark.createDataFrame([], SCHEMA)
     totals = spark.sparkContext.broadcast(benchmark_totals(benchmark))
     for i, block in enumerate(benchmark_blocks(benchmark)):
-        part = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(block), totals, threshold), SCHEMA)
+        part = rows.mapInArrow(lean(_searcher(spark.sparkContext.broadcast(block), totals, threshold)), SCHEMA)
         found = part if i == 0 else found.unionByName(part)
     return found
 
@@ -345,5 +345,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     for i, block in enumerate(benchmark_blocks(benchmark)):
         if last is not None:
             docs = scratch.save(last, f"block-{i}")
-        last = docs.mapInArrow(_marker(spark.sparkContext.broadcast(block), totals, threshold), docs.schema)
+        last = docs.mapInArrow(lean(_marker(spark.sparkContext.broadcast(block), totals, threshold)), docs.schema)
     return docs if last is None else last

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ._links import DEALT, SALT_SHIFT, bit_filter, dealt_join, distinct_pairs, first_candidates, has_bit, hot_keys, linked_components, shape
 from ._scratch import Scratch
-from ._text import longs, mix, slices
+from ._text import lean, longs, mix, slices
 
 GRAM = 5
 PERCENT = 80
@@ -225,11 +225,11 @@ def members(docs: DataFrame, scratch: Scratch) -> DataFrame:
     spark = docs.sparkSession
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    stats = scratch.save(rows.withColumn("row_key", F.xxhash64("text")).mapInArrow(_stats, STATS_SCHEMA), "stats")
+    stats = scratch.save(rows.withColumn("row_key", F.xxhash64("text")).mapInArrow(lean(_stats), STATS_SCHEMA), "stats")
     own = stats.filter("block = -1").select("doc_id", "row_key", F.col("n").alias("n_shingles"), "id")
     found = frequency_classes(stats)
     classes = spark.sparkContext.broadcast(found)
-    prefixes = rows.select("doc_id", "text").mapInArrow(_prefixes(classes), "key long, id long, meta long")
+    prefixes = rows.select("doc_id", "text").mapInArrow(lean(_prefixes(classes)), "key long, id long, meta long")
     pairs, large, _ = first_candidates(prefixes, feasible, scratch)
     pairs = scratch.save(distinct_pairs(pairs), "pairs")
     first = own.filter("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"))  # null if all its rows' are
@@ -239,7 +239,7 @@ def members(docs: DataFrame, scratch: Scratch) -> DataFrame:
         """What read makes of the texts of the sets with these ids, one text for each set."""
         wanted = scratch.save(ids.join(first, "id").select("id", "doc_id"), name)
         filled = spark.sparkContext.broadcast(bit_filter(wanted.select(probe.alias("h")), DOC_FILTER_BITS))
-        found = rows.select("doc_id", "text", probe.alias("probe")).mapInArrow(read(filled), schema)
+        found = rows.select("doc_id", "text", probe.alias("probe")).mapInArrow(lean(read(filled)), schema)
         named = wanted.select(F.col("id").alias("wanted_id"), F.col("doc_id").alias("wanted_doc"))
         same = (F.col("id") == F.col("wanted_id")) & F.col("doc_id").eqNullSafe(F.col("wanted_doc"))
         return found.join(named, same, "left_semi").dropDuplicates(key).drop("doc_id")

@@ -14,13 +14,13 @@ from pyspark.taskcontext import TaskContext
 
 from . import _rans
 from ._scratch import Scratch
-from ._text import GRAM_SALTS, U, buffers, longs, mix
+from ._text import GRAM_SALTS, U, buffers, lean, longs, mix
 
 END_ID = 0
 #: Ids after which a segment is closed, at the end of a slice of documents.
 SEGMENT_IDS = 1 << 20
 #: Bytes of text that are cut and looked up together, if no text is longer.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Pieces that a worker remembers (some 60 bytes each) and 8-byte words of the longest; longer ones are encoded where they
 #: occur.
 MEMO, MEMO_WORDS = 1 << 20, 3
@@ -294,7 +294,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    ordered.mapInArrow(_writer(tokenizer or default_tokenizer()), FILE_SCHEMA).write.mode("overwrite").parquet(path)
+    ordered.mapInArrow(lean(_writer(tokenizer or default_tokenizer())), FILE_SCHEMA).write.mode("overwrite").parquet(path)
 
 
 def _read(batches):
@@ -319,7 +319,7 @@ def read_tokens(spark, path: str) -> DataFrame:
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rows = files.select("shard", "image").mapInArrow(_read, READ_SCHEMA).join(base, "shard")
+    rows = files.select("shard", "image").mapInArrow(lean(_read), READ_SCHEMA).join(base, "shard")
     return rows.select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 

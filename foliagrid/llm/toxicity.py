@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import GRAM_SALTS, NOT_LETTER, longs, mix, running, slices, spans
+from ._text import GRAM_SALTS, NOT_LETTER, lean, longs, mix, running, slices, spans
 
 FEATURE_BITS = 20
 GRADES = 4
@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
     sample = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(sample), "doc_id").select("toxic", "text").mapInArrow(_featurize, "toxic int, digest binary, features binary")
+    rows = texts.join(F.broadcast(sample), "doc_id").select("toxic", "text").mapInArrow(lean(_featurize), "toxic int, digest binary, features binary")
     rows = rows.groupBy("digest", "toxic").agg(F.first("features").alias("features")).orderBy("digest", "toxic").limit(most).toArrow()
     features = [np.frombuffer(x.as_buffer(), np.int32) for x in rows.column("features")]
     toxic = (rows.column("toxic").to_numpy() > 0).astype(np.int64)
@@ -216,7 +216,7 @@ def score(docs: DataFrame, model: Model, reject_from: float | None = None) -> Da
     ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, severity double")
+    scored = rows.mapInArrow(lean(_scorer(docs.sparkSession.sparkContext.broadcast(model))), "doc_id long, severity double")
     return scored.select("doc_id", "severity", F.round("severity").cast("int").alias("grade"), (F.col("severity") < (model.reject_from if reject_from is None else reject_from)).alias("kept"))
 
 
@@ -236,4 +236,4 @@ def civil_documents(docs: DataFrame, model: Model, reject_from: float | None = N
     A null or empty text has no features and stays unless the limit is below that severity; rows that repeat stay or go
     alike; an empty table gives no rows.
     """
-    return docs.mapInArrow(_dropper(docs.sparkSession.sparkContext.broadcast(model), model.reject_from if reject_from is None else reject_from), docs.schema)
+    return docs.mapInArrow(lean(_dropper(docs.sparkSession.sparkContext.broadcast(model), model.reject_from if reject_from is None else reject_from)), docs.schema)

@@ -753,3 +753,33 @@ def test_pairs_by_bands_of_sizes(spark):
     size = dict(ids)
     want = {(a, b) for a, _ in ids for b, _ in ids if a < b and comps[a] != comps[b] and 100 * min(size[a], size[b]) >= 80 * max(size[a], size[b])}
     assert got == want
+
+
+def test_workers_give_memory_back():
+    """What a worker holds after a large batch is what it held before, though small objects lie between."""
+    import subprocess
+    import sys
+
+    code = """
+import re, sys
+import numpy as np, pyarrow as pa
+from foliagrid.llm import _text
+
+def held():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) // 1024
+
+kept = []
+
+def work(batches):
+    for batch in batches:
+        some = [np.ones(12_000) for _ in range(1_500)]
+        kept.append([np.ones(10) for _ in range(10)])
+        yield batch.slice(0, len(some) // 1_500)
+
+batch = pa.RecordBatch.from_arrays([pa.array(["x" * 20_000_000])], names=["text"])
+before = held()
+assert sum(x.num_rows for x in _text.lean(work)(iter([batch] * 3))) == 3
+print(held() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env={"PYTHONPATH": ":".join(sys.path), "PATH": "/usr/bin:/bin"})
+    assert int(out.stdout.split()[-1]) < 60, out
