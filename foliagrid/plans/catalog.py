@@ -646,12 +646,16 @@ def _from_path():
     return F.regexp_extract("path", r"([^/]+)\.\w+$", 1).alias("group_id")
 
 
+def _from_folder():
+    return F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("group_id")
+
+
 @query(f"WITH {P} SELECT group_id, x, y, round(z, 4) AS z, hag, intensity, classification::INTEGER AS classification, 1::INTEGER AS return_number FROM pts")
 def las_round_trip(spark, sf_dir):
     """Points as LAS files, with a further dimension, and back."""
     folder = _files(spark, writers.las_files(line_points(spark, sf_dir), scale=0.0001), ".las")
     back = readers.read_points(spark, folder, {"HeightAboveGround": "hag"})
-    return back.select(_from_path(), F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round("z", 4).alias("z"), "hag", "intensity", "classification", "return_number")
+    return back.select(_from_folder(), F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round("z", 4).alias("z"), "hag", "intensity", "classification", "return_number")
 
 
 @query(f"WITH {P} SELECT group_id, x, y, z, hag, intensity, classification::DOUBLE AS classification FROM pts")

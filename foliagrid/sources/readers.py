@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from . import las, tiff
 
 POINT_SCHEMA = "path string, x double, y double, z double, intensity double, classification int, return_number int, number_of_returns int"
-PAGE = 1_000_000
+#: Points of a page, and cells of a strip of rows.
+PAGE = 100_000
+
+
 def files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """path, length and content of the files below a folder whose names match; listing alone reads no content."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)

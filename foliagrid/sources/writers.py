@@ -6,6 +6,7 @@ import json
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,33 +45,85 @@ def array_files(points: DataFrame, names: dict[str, str]) -> DataFrame:
     return points.groupBy("group_id").applyInPandas(each, "group_id string, image binary")
 
 
-def las_files(points: DataFrame, extra: dict[str, str] | None = None, scale: float = 0.01) -> DataFrame:
-    """group_id and the image of an uncompressed LAS file, with further dimensions (name: column). A group is a task's memory."""
-    extra = {"HeightAboveGround": "hag"} if extra is None else extra
+#: Points of a LAS file at most, and steps of its scale that its points may be apart.
+FILE_POINTS, FILE_STEPS = 250_000, 1 << 30
 
-    def each(key, rows):
-        image = las.encode({c: rows[c].to_numpy() for c in rows.columns if c != "group_id"}, scale, extra)
-        return pd.DataFrame({"group_id": [key[0]], "image": [image]})
 
+def las_files(points: DataFrame, extra: dict[str, str] | None = None, scale: float = 0.01, most: int = FILE_POINTS) -> DataFrame:
+    """group_id, part and the image of an uncompressed LAS file, with further dimensions (name: column).
+
+    A group is one file if it has `most` points at most and the format's 32-bit steps span it, else a file for each so many
+    points of each cube that they span: a file, not a group, is a task's memory. Points are read twice, to be counted first.
+    """
+    extra = {"HeightAboveGround": "hag"} if extra is None else extra
     names = ["group_id", "x", "y", "z", "intensity", "classification", "return_number", "number_of_returns", *extra.values()]
-    return keep_columns(points, names).groupBy("group_id").applyInPandas(each, "group_id string, image binary")
+    rows = keep_columns(points, list(dict.fromkeys(names)))
+    cube = F.struct(*[F.floor(F.col(c) / (FILE_STEPS * scale) + 0.5).alias(c) for c in "xyz"])
+    rows = rows.withColumn("__key", F.xxhash64("group_id", cube))
+    parts = rows.groupBy("__key").agg(F.ceil(F.count(F.lit(1)) * 1.1 / most).alias("__parts"))
+    nth = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "__key"]), F.col("__parts"))
+    dealt = rows.join(parts, "__key").withColumn("__part", nth).drop("__parts").repartition("__key", "__part").sortWithinPartitions("__key", "__part", "group_id")
+    keys = ["group_id", "__key", "__part"]
+
+    def write(batches):
+        own, held, n, part = None, [], 0, 0
+
+        def closed():
+            nonlocal held, n, part
+            whole = pa.Table.from_batches(held)
+            image = las.encode({c: whole.column(c).to_numpy() for c in whole.column_names if c not in keys}, scale, extra)
+            row = pa.RecordBatch.from_arrays([held[0].column("group_id").slice(0, 1), pa.array([f"{own[1] % (1 << 64):x}-{own[2]}-{part}"]), pa.array([image], pa.binary())], names=["group_id", "part", "image"])
+            held, n, part = [], 0, part + 1
+            return row
+
+        for batch in batches:
+            same = np.ones(max(0, batch.num_rows - 1), bool)
+            for k in keys:
+                c = batch.column(k)
+                same &= pc.fill_null(pc.equal(c.slice(1), c.slice(0, len(same))), False).to_numpy(zero_copy_only=False) | (pc.is_null(c.slice(1)).to_numpy(zero_copy_only=False) & pc.is_null(c.slice(0, len(same))).to_numpy(zero_copy_only=False))
+            ends = [*(1 + np.flatnonzero(~same)).tolist(), batch.num_rows]
+            at = 0
+            for end in ends:
+                if at == end:
+                    continue
+                now = tuple(batch.column(k)[at].as_py() for k in keys)
+                if now != own:
+                    if held:
+                        yield closed()
+                    own, part = now, 0
+                while at < end:
+                    some = min(end - at, most - n)
+                    held.append(batch.slice(at, some))
+                    at, n = at + some, n + some
+                    if n == most:
+                        yield closed()
+        if held:
+            yield closed()
+
+    return dealt.mapInArrow(write, f"group_id {dict(points.dtypes)['group_id']}, part string, image binary")
 
 
 def write_images(images: DataFrame, folder: str, end: str) -> None:
-    """Each row's image as a file, named after its group, in a folder that driver and executors share."""
+    """Each row's image as a file in a folder that driver and executors share: named after its group, or after its part in
+    a folder named after its group, if there are parts."""
     where = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
+    parts = "part" in images.columns
 
     def put(batches):
         for batch in batches:
             store, path = pyarrow.fs.FileSystem.from_uri(where)
             store.create_dir(path, recursive=True)
             names = [f"{g}{end}" for g in batch.column("group_id").to_pylist()]
+            if parts:
+                for g in set(batch.column("group_id").to_pylist()):
+                    store.create_dir(f"{path}/{g}", recursive=True)
+                names = [f"{g}/{p}{end}" for g, p in zip(batch.column("group_id").to_pylist(), batch.column("part").to_pylist(), strict=True)]
             for name, image in zip(names, batch.column("image"), strict=True):
                 with store.open_output_stream(f"{path}/{name}") as out:
                     out.write(image.as_buffer())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
 
-    images.select("group_id", "image").mapInArrow(put, "name string").write.format("noop").mode("overwrite").save()
+    images.select("group_id", *["part"] * parts, "image").mapInArrow(put, "name string").write.format("noop").mode("overwrite").save()
 
 
 def tiff_files(raster: DataFrame, grid: DataFrame, bands: list[str], resolution: float, nodata: float | None = None, palette: dict | None = None, trim: bool = False, names: list[str] | None = None, metadata: dict[str, str] | None = None, epsg: int = 2154) -> DataFrame:

@@ -11,7 +11,7 @@ from foliagrid.functions.expressions import boolean_expression, clip_to_box, ins
 from foliagrid.operators import cells, classify, ground, neighbours, points, raster, survey, tiles
 from foliagrid.plans import stages
 from foliagrid.plans.workflow import Status, Step, Workflow
-from foliagrid.sources import readers, writers
+from foliagrid.sources import las, readers, writers
 from foliagrid.streaming import tiles as streaming
 
 
@@ -166,6 +166,20 @@ def test_projection(spark):
     assert math.isclose(r.x, 700000, abs_tol=1e-6) and math.isclose(r.y, 6600000, abs_tol=1e-3)
 
 
+def test_files_of_large_groups(spark, tmp_path):
+    """A group of more points than a file's, and further apart than a file's steps span, has several files."""
+    rows = [(g, float(i), i * 6000.0 - 3e6, i / 8.0 - 40, i / 16.0) for g in ("a", "b") for i in range(1000)] + [("c", 1.0, 2.0, 3.0, 4.0), (None, 5.0, 6.0, 7.0, 8.0)]
+    df = spark.createDataFrame(rows, "group_id string, x double, y double, z double, hag double")
+    images = writers.las_files(df, scale=0.001, most=150).cache()
+    found = images.toPandas()
+    n = [next(las.pages(x))["x"].size for x in found.image]
+    assert max(n) <= 150 and sum(n) == len(rows) and len(found[["group_id", "part"]].drop_duplicates()) == len(found) and (found.group_id == "c").sum() == 1
+    writers.write_images(images, str(tmp_path / "las"), ".las")
+    back = readers.read_points(spark, str(tmp_path / "las"), {"HeightAboveGround": "hag"})
+    got = sorted((r.path.split("/")[-2], round(r.x, 3), round(r.y, 3), round(r.z, 3), r.hag) for r in back.collect())
+    assert got == sorted((str(g), *v) for g, *v in rows)
+
+
 def test_files_round_trip(spark, tmp_path):
     rows, df = cloud(spark, 500)
     image = writers.las_files(df).first().image
