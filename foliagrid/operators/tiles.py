@@ -1,14 +1,20 @@
 """Tiles: coordinates from names, the occupancy grid, neighbours, groups."""
 
 from collections import deque
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import tile_number
+from ..scratch import Scratch
 
 #: Neighbours in the order in which a group grows: N, S, W, E, NW, NE, SE, SW as (row, column) steps.
 NEIGHBOURS = ((-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (-1, 1), (1, 1), (1, -1))
+#: Tiles of a batch of results.
+ROWS_AT_ONCE = 10_000
 
 
 def parse_tiles(files: DataFrame, path: str = "path", token: int = 2) -> DataFrame:
@@ -31,30 +37,72 @@ def tile_neighbours(tiles: DataFrame) -> DataFrame:
     return out.join(there, ["to_x", "to_y"], "left_semi").select("tile_x", "tile_y", "to_x", "to_y")
 
 
-def adjacent_groups(cells: set[tuple[int, int]], n: int) -> list[list[tuple[int, int]]]:
-    """Breadth-first groups of (row, col) in row-major order; a group stops growing, between expansions, at n cells."""
-    left, groups = set(cells), []
-    for start in sorted(cells):
-        if start not in left:
+def growing_groups(cells: Iterable[tuple[int, int]], n: int) -> Iterator[list[tuple[int, int]]]:
+    """Breadth-first groups of distinct (row, col) that come in row-major order; a group stops growing, between expansions,
+    at n cells. It reaches n rows below its first cell at most, and only so many rows of cells are held."""
+    stream, left, coming = iter(cells), {}, deque()
+    ahead = next(stream, None)
+    while coming or ahead is not None:
+        top = (coming[0] if coming else ahead)[0]
+        while ahead is not None and ahead[0] <= top + n:
+            left.setdefault(ahead[0], set()).add(ahead[1])
+            coming.append(ahead)
+            ahead = next(stream, None)
+        start = coming.popleft()
+        for passed in [i for i in left if i < start[0]]:
+            del left[passed]
+        if start[1] not in left[start[0]]:
             continue
-        left.discard(start)
+        left[start[0]].discard(start[1])
         group, queue = [start], deque([start])
         while queue and len(group) < n:
             i, j = queue.popleft()
             for di, dj in NEIGHBOURS:
-                if (i + di, j + dj) in left:
-                    left.discard((i + di, j + dj))
+                if j + dj in left.get(i + di, ()):
+                    left[i + di].discard(j + dj)
                     group.append((i + di, j + dj))
                     queue.append((i + di, j + dj))
-        groups.append(group)
-    return groups
+        yield group
+
+
+def adjacent_groups(cells: set[tuple[int, int]], n: int) -> list[list[tuple[int, int]]]:
+    """growing_groups of a set of cells."""
+    return list(growing_groups(sorted(cells), n))
+
+
+def _grown(n: int):
+    def grow(batches):
+        least = None
+
+        def cells():
+            nonlocal least
+            for batch in batches:
+                rows, cols, x, y = (batch.column(c).to_pylist() for c in ("row", "col", "tile_x", "tile_y"))
+                if rows and least is None:
+                    least = x[0] - cols[0], y[0] - rows[0]
+                yield from zip(rows, cols, strict=True)
+
+        def result(held):
+            i, j, g, p = (np.array(c, np.int64) for c in zip(*held, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(a) for a in ((j + least[0]).astype(np.int32), (i + least[1]).astype(np.int32), i.astype(np.int32), j.astype(np.int32), g, p)], names=["tile_x", "tile_y", "row", "col", "group_no", "place"])
+
+        held = []
+        for g, group in enumerate(growing_groups(cells(), n)):
+            held += [(i, j, g, p) for p, (i, j) in enumerate(group)]
+            if len(held) >= ROWS_AT_ONCE:
+                yield result(held)
+                held = []
+        if held:
+            yield result(held)
+
+    return grow
 
 
 def group_tiles(tiles: DataFrame, n: int, strategy: str = "adjacent", seed: int = 0) -> DataFrame:
     """tile_x, tile_y, row, col, group_no, place. n = -1: one group; n = 0: one tile each; strategy adjacent or random.
 
-    The list of tiles of a survey comes to the driver for the adjacent strategy alone, whose growth is sequential: a tile
-    is a file of a square kilometre, points never come.
+    The adjacent strategy's growth is sequential: one task reads the tiles (not points) in row-major order, and holds n + 1
+    rows of them. The distinct tiles are written before, so that names are parsed once.
     """
     grid = tile_grid(tiles)
     if strategy not in ("adjacent", "random"):
@@ -63,11 +111,8 @@ def group_tiles(tiles: DataFrame, n: int, strategy: str = "adjacent", seed: int
         return grid.withColumns({"group_no": F.lit(0).cast("long"), "place": (F.row_number().over(Window.orderBy("row", "col")) - 1).cast("long")})
     if strategy == "random":
         return spread_groups(grid, n, seed).join(grid, ["tile_x", "tile_y"]).select("tile_x", "tile_y", "row", "col", "group_no", "place")
-    rows = sorted(grid.collect(), key=lambda r: (r["row"], r["col"]))
-    cells = {(r["row"], r["col"]): r for r in rows}
-    groups = adjacent_groups(set(cells), max(1, n))
-    out = [(cells[c]["tile_x"], cells[c]["tile_y"], c[0], c[1], g, p) for g, group in enumerate(groups) for p, c in enumerate(group)]
-    return tiles.sparkSession.createDataFrame(out, "tile_x int, tile_y int, row int, col int, group_no long, place long")
+    grid = tile_grid(Scratch(tiles.sparkSession, "tiles").save(tiles.select("tile_x", "tile_y").distinct(), "tiles"))
+    return grid.repartition(1).sortWithinPartitions("row", "col").mapInArrow(_grown(max(1, n)), "tile_x int, tile_y int, row int, col int, group_no long, place long")
 
 
 def spread_groups(tiles: DataFrame, n: int, seed: int | None = None) -> DataFrame:

@@ -427,6 +427,24 @@ def groups_by_matrix(cells, n):
     return out
 
 
+def test_adjacent_groups_without_the_driver(spark, monkeypatch):
+    """Tiles aren't collected, and groups that grow along a stream are those that grow on a matrix."""
+    rng = np.random.default_rng(3)
+    found = {(int(i), int(j)) for i, j in rng.integers(0, 40, (900, 2))} | {(200, 3), (201, 4)}
+    for n in (1, 2, 5, 9, 40):
+        held = iter(sorted(found))
+        assert list(tiles.growing_groups(held, n)) == groups_by_matrix(found, n)
+    t = spark.createDataFrame([(j + 7, i - 3) for i, j in found], "tile_x int, tile_y int")
+    monkeypatch.setattr(type(t), "collect", lambda self: pytest.fail("collected"))
+    grouped = tiles.group_tiles(t, 9)
+    monkeypatch.undo()
+    least = min(i for i, _ in found), min(j for _, j in found)
+    got = grouped.toPandas().sort_values(["group_no", "place"])
+    assert (got.tile_x - got["col"] == 7 + least[1]).all() and (got.tile_y - got.row == least[0] - 3).all()
+    want = groups_by_matrix({(i - least[0], j - least[1]) for i, j in found}, 9)
+    assert [list(zip(g.row, g["col"], strict=True)) for _, g in got.groupby("group_no")] == want
+
+
 def test_adjacent_groups_on_a_matrix(spark):
     r = np.random.default_rng(8)
     for n in (1, 4, 20):
