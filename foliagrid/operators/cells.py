@@ -4,10 +4,12 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import run_ends
+
 BY = ["group_id", "row", "col"]
 
 
@@ -75,16 +77,43 @@ REGISTRY: dict[str, Callable[..., Column]] = {
 def cell_indicator(cells: DataFrame, name: str, how: str | Callable, value: str = "hag", **options) -> DataFrame:
     """One value for each cell by a registered aggregate, or by any function of a cell's values (numpy array -> float).
 
-    The second way gathers a cell's values in Python, and a cell must fit a task.
+    The second way gathers a cell's values in Python, and a cell must fit a task: rows come sorted by cell, and the function
+    is called on parts of the batches' arrays.
     """
     if not callable(how):
         return cells.groupBy(*BY).agg(REGISTRY[how](value=value, **options).alias(name))
 
-    def each(key, rows):
-        return pd.DataFrame([(*key, float(how(rows[value].to_numpy(), **options)))], columns=[*BY, name])
-
-    kinds = dict(cells.dtypes)
-    return cells.groupBy(*BY).applyInPandas(each, f"group_id {kinds['group_id']}, row long, col long, {name} double")
+    def each(batches):
+        own, held = None, []  # the last cell so far: its key as a batch of one row, and its values
+        for batch in batches:
+            values, keys = np.array(batch.column(value).to_numpy(zero_copy_only=False)), batch.select(BY)
+            starts, results, at = [], [], 0
+            for end in run_ends(batch, BY):
+                if not at and own is not None and own != keys.slice(0, 1):
+                    yield result(own, [how(np.concatenate(held), **options)])
+                    own, held = None, []
+                elif at and own is not None:
+                    yield result(own, [how(np.concatenate(held), **options)])
+                    own, held = None, []
+                if end == batch.num_rows:
+                    own, held = own or keys.slice(at, 1), [*held, values[at:]]
+                elif own is not None:
+                    held.append(values[at:end])
+                else:
+                    starts.append(at)
+                    results.append(how(values[at:end], **options))
+                at = end
+            if starts:
+                yield result(keys.take(pa.array(starts)), results)
+        if own is not None:
+            yield result(own, [how(np.concatenate(held), **options)])
+
+    def result(keys, found):
+        return pa.RecordBatch.from_arrays([*keys.columns, pa.array([float(x) for x in found], pa.float64())], names=[*BY, name])
+
+    rows = cells.select(*BY, value).repartition(*BY).sortWithinPartitions(*BY)
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(each, ", ".join([*[f"{c} {kinds[c]}" for c in BY], f"{name} double"]))
 
 
 def dense(raster: DataFrame, grid: DataFrame) -> DataFrame:

@@ -6,11 +6,11 @@ import json
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import run_ends
 from ..operators.points import keep_columns
 from . import las, tiff
 
@@ -77,15 +77,8 @@ def las_files(points: DataFrame, extra: dict[str, str] | None = None, scale: flo
             return row
 
         for batch in batches:
-            same = np.ones(max(0, batch.num_rows - 1), bool)
-            for k in keys:
-                c = batch.column(k)
-                same &= pc.fill_null(pc.equal(c.slice(1), c.slice(0, len(same))), False).to_numpy(zero_copy_only=False) | (pc.is_null(c.slice(1)).to_numpy(zero_copy_only=False) & pc.is_null(c.slice(0, len(same))).to_numpy(zero_copy_only=False))
-            ends = [*(1 + np.flatnonzero(~same)).tolist(), batch.num_rows]
             at = 0
-            for end in ends:
-                if at == end:
-                    continue
+            for end in run_ends(batch, keys):
                 now = tuple(batch.column(k)[at].as_py() for k in keys)
                 if now != own:
                     if held:

@@ -445,6 +445,25 @@ def test_adjacent_groups_without_the_driver(spark, monkeypatch):
     assert [list(zip(g.row, g["col"], strict=True)) for _, g in got.groupby("group_no")] == want
 
 
+def test_cell_functions_across_batches(spark):
+    """A function of a cell's values sees all of them, once, wherever batches end, and isn't called by way of a frame."""
+    rows = [(g, i % 7, i % 3, float(i) if i % 11 else None) for g in ("a", None) for i in range(500)]
+    df = spark.createDataFrame(rows, "group_id string, row long, col long, hag double")
+    want = {}
+    for g, i, j, v in rows:
+        want.setdefault((g, i, j), []).append(math.nan if v is None else v)
+    how = lambda v, more: float(len(v)) + more + float(np.nansum(v)) / 1e6
+    for size in ("1", "7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            made = cells.cell_indicator(df, "spread", how, more=2)
+            got = {(r.group_id, r.row, r.col): r.spread for r in made.collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got.keys() == want.keys() and all(math.isclose(got[k], how(np.array(v), 2)) for k, v in want.items())
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().toString()
+
+
 def test_adjacent_groups_on_a_matrix(spark):
     r = np.random.default_rng(8)
     for n in (1, 4, 20):
