@@ -345,18 +345,24 @@ def class_colours(spark, sf_dir):
     return classify.with_colours(classify.classified(masked(spark, sf_dir), "q95").select("row", "col", "class_id"), classify.colours([0, 1, 2, 128], chosen))
 
 
+def _clustered(spark, sf_dir, method, **options):
+    """Low cells with the classes of their clusters. Cells are written once, and again with their labels: a fit and the
+    ranks read them many times."""
+    scratch = Scratch(spark, "clusters")
+    low = scratch.save(line_raster(spark, sf_dir).filter("q95 <= 2").dropna(), "low")
+    labelled = scratch.save(classify.fit_clusters(low, ["q95", "fhd"], 4, method, **options), "labelled")
+    scratch.drop("low")
+    return classify.relabel(labelled, classify.rank_clusters(labelled, "q95", "fhd")).select("group_id", "row", "col", "raw_label", "class_id")
+
+
 @query()
 def kmeans_fit(spark, sf_dir):
-    low = line_raster(spark, sf_dir).filter("q95 <= 2").dropna()
-    labelled = classify.fit_clusters(low, ["q95", "fhd"], 4, "kmeans")
-    return classify.relabel(labelled, classify.rank_clusters(labelled, "q95", "fhd")).select("group_id", "row", "col", "raw_label", "class_id")
+    return _clustered(spark, sf_dir, "kmeans")
 
 
 @query()
 def gmm_fit(spark, sf_dir):
-    low = line_raster(spark, sf_dir).filter("q95 <= 2").dropna()
-    labelled = classify.fit_clusters(low, ["q95", "fhd"], 4, "gmm", max_iter=60)
-    return classify.relabel(labelled, classify.rank_clusters(labelled, "q95", "fhd")).select("group_id", "row", "col", "raw_label", "class_id")
+    return _clustered(spark, sf_dir, "gmm", max_iter=60)
 
 
 @query()

@@ -98,3 +98,9 @@ def test_ground_by_cloth(spark):
     for _, group in points.groupby("group_id"):
         own = ground.cloth_ground(*(group[c].to_numpy(float) for c in "xyz"), 0.05, 2, 200, 0.05)
         assert (got[group.id].to_numpy() == np.where(own, 2, 1)).all()
+
+
+@pytest.mark.parametrize("name", ["kmeans_fit", "gmm_fit"])
+def test_clusters_read_written_cells(spark, name):
+    """The fitted cells and their labels are tables: the points aren't read again for labels and ranks."""
+    assert not any("lineitem" in f for f in catalog.queries()[name](spark, DATA).inputFiles())
