@@ -32,11 +32,12 @@ def pixels(survey: DataFrame, grid: DataFrame, resolution: float) -> DataFrame:
 def windows(places: DataFrame, raster: DataFrame, size: int, value: str) -> DataFrame:
     """id, i, j and value of the size x size cells around each place (id, row, col).
 
-    An even window has its centre right and below of the middle; both sides are equi-joined on cells.
+    An even window has its centre right and below of the middle; both sides are equi-joined on cells. Offsets are a joined
+    table, since Spark takes exploded rows for no larger than their source, and would broadcast them by the driver.
     """
     low = -(size // 2)
-    offsets = F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))
-    cells = places.select("id", "row", "col", F.explode(offsets).alias("i")).select("*", F.explode(offsets).alias("j"))
+    offsets = places.sparkSession.range(size * size).select(F.floor(F.col("id") / size).alias("i"), (F.col("id") % size).alias("j"))
+    cells = places.select("id", "row", "col").crossJoin(F.broadcast(offsets))
     cells = cells.select("id", "i", "j", (F.col("row") + F.col("i") + low).alias("row"), (F.col("col") + F.col("j") + low).alias("col"))
     return cells.join(raster.select("row", "col", value), ["row", "col"]).select("id", "i", "j", value)
 
@@ -47,8 +48,12 @@ def on_diagonal(size: int) -> Column:
 
 def window_statistics(places: DataFrame, raster: DataFrame, size: int, value: str, suffix: str = "") -> DataFrame:
     """mean, median and sample deviation of low values, and of low values above 0 (_VG), over each place's diagonals, and
-    over the whole window (_all). A place whose window isn't whole has nulls, and the others are untouched."""
-    cells = windows(places, raster, size, value)
+    over the whole window (_all). A place whose window isn't whole has nulls, and the others are untouched; an id of several
+    rows has nulls. Windows are read once for each cell that has places, however many it has."""
+    once = places.groupBy("id").agg(F.count(F.lit(1)).alias("__places"), F.first("row").alias("row"), F.first("col").alias("col"))
+    once = once.withColumn("__one", (F.col("__places") == 1) & F.col("id").isNotNull())
+    centres = once.filter("__one").select(F.struct("row", "col").alias("id"), "row", "col").distinct()
+    cells = windows(centres, raster, size, value)
     aggregates = [F.count(F.lit(1)).alias("__n")]
     for end, inside in (("", on_diagonal(size)), ("_all", F.lit(True))):
         for kind, low in (("", F.col(value) < LOW_BELOW), ("_VG", (F.col(value) < LOW_BELOW) & (F.col(value) > 0))):
@@ -56,8 +61,8 @@ def window_statistics(places: DataFrame, raster: DataFrame, size: int, value: st
             aggregates += [F.avg(v).alias(f"mean{kind}{end}"), F.percentile(v, 0.5).alias(f"median{kind}{end}"), F.stddev_samp(v).alias(f"std{kind}{end}")]
     out = cells.groupBy("id").agg(*aggregates)
     names = [c for c in out.columns if c not in ("id", "__n")]
-    whole = out.select("id", *[F.when(F.col("__n") == size * size, F.col(c)).alias(c) for c in names])
-    return places.select("id").distinct().join(whole, "id", "left").select("id", *[F.col(c).alias(c + suffix) for c in names])
+    whole = out.filter(F.col("__n") == size * size).select("id.row", "id.col", *names)
+    return once.join(whole, ["row", "col"], "left").select("id", *[F.when(F.col("__one"), F.col(c)).alias(c + suffix) for c in names])
 
 
 def pairs_by_scenario(survey: DataFrame, scenarios: dict[str, dict[str, tuple[str, str]]]) -> DataFrame:

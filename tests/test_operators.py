@@ -142,6 +142,24 @@ def test_ground_surfaces():
     assert (ground.cloth_ground(x, y, z, 2.0, 2, 500, 0.5) == ~tree).mean() > 0.95
 
 
+def test_windows_of_many_places_are_not_broadcast(spark, tmp_path):
+    grid = spark.createDataFrame([(i, j, float(i + j) / 4) for i in range(6) for j in range(6)], "row long, col long, v double")
+    spark.range(150_000).select("id", (F.col("id") % 4).alias("row"), F.lit(2).cast("long").alias("col")).write.parquet(f"{tmp_path}/places")
+    places = spark.read.parquet(f"{tmp_path}/places")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "80m")
+    try:
+        few = {r.id: r for r in survey.window_statistics(places.filter("id < 8"), grid, 4, "v").collect()}
+        got = survey.window_statistics(places, grid, 4, "v")
+        assert got.count() == 150_000
+        assert {(r.row, r.mean) for r in got.join(places, "id").select("row", "mean").distinct().collect()} == {(i, few[i].mean) for i in range(4)}
+        assert survey.windows(places, grid, 4, "v").count() == 37_500 * (8 + 12 + 16 + 16)
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert few[2].mean is not None and few[0].mean is None
+    twice = survey.window_statistics(places.filter("id < 8").unionByName(places.filter("id = 2")), grid, 4, "v").collect()
+    assert {r.id: r.mean_all for r in twice} == {i: None if i == 2 else few[i].mean_all for i in range(8)}
+
+
 def test_windows_and_fits(spark):
     grid = spark.createDataFrame([(i, j, float(i + j) / 4) for i in range(6) for j in range(6)], "row long, col long, v double")
     places = spark.createDataFrame([(1, 2, 2), (2, 0, 0)], "id int, row long, col long")
