@@ -7,6 +7,7 @@ fingerprints are within RADIUS of the window's, all of them by pigeonhole. Aroun
 windows are compared by exact weighted similarity.
 """
 
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -23,6 +24,8 @@ THRESHOLD = 0.8
 #: one and a half deviations more, and windows one or two words away try again.
 RADIUS = 15
 BITS, BLOCK_BITS = 64, 16
+#: Groups of a class's items, 4 or 8, by which fingerprints that are near none are told.
+GROUPS = 4
 #: Sizes of items in a class differ by this factor at most.
 CLASS_RATIO = 1.15
 #: Whole numbers that a weight of 1 has in a fingerprint.
@@ -30,8 +33,9 @@ WEIGHT_STEPS = 4
 #: Items (and bytes of their texts) that are broadcast and indexed at once, some 20 kB each in a worker; a larger benchmark
 #: is searched in so many blocks. Weights are of all.
 ITEMS_AT_ONCE, BYTES_AT_ONCE = 4_096, 8 << 20
-#: Windows of a class that are fingerprinted together.
-CHUNK = 8_192
+#: Windows of a class that are fingerprinted together, and such chunks whose fingerprints are held, so that one class's index
+#: after the other stays in a processor's cache.
+CHUNK, CHUNKS = 8_192, 16
 SCHEMA = "doc_id long, item_id long, similarity double, hamming int, start_word long, n_words long"
 U = np.uint64
 
@@ -72,21 +76,38 @@ def fingerprints(grams: np.ndarray, weights: np.ndarray, ptr: np.ndarray) -> np.
     return prints(np.add.reduceat(signed(grams, weights, np.int64), ptr[:-1], axis=0))
 
 
+@cache
 def near_values(radius: int) -> np.ndarray:
     """What to xor with a block's value to get all values within radius."""
     return np.array([sum(1 << b for b in some) for n in range(radius + 1) for some in combinations(range(BLOCK_BITS), n)], np.uint16)
 
 
+def least_distances(blocks: np.ndarray) -> list[np.ndarray]:
+    """For each column of blocks: how many bits each value differs in from the nearest value of that column."""
+    found = []
+    for values in blocks.T:
+        out = np.full(1 << BLOCK_BITS, BLOCK_BITS, np.uint8)
+        out[values] = 0
+        for bit in range(BLOCK_BITS):
+            a, b = out.reshape(-1, 2, 1 << bit).transpose(1, 0, 2)
+            a[:], b[:] = np.minimum(a, b + np.uint8(1)), np.minimum(b, a + np.uint8(1))
+        found.append(out)
+    return found
+
+
 class HammingIndex:
     """Fingerprints in four blocks of 16 bits. If two differ in radius bits at most, then in some block by no more than
     that block's share of the radius (shares, each plus one, sum to radius + 1). Each block has a table of all values
-    that are so near to a fingerprint's."""
+    that are so near to a fingerprint's. Bounds come first: the fingerprints are dealt to GROUPS, and blocks' least distances
+    from those of a group, a byte of a word for each group, sum to more than the radius in every byte if none is near."""
 
     def __init__(self, own: np.ndarray, radius: int = RADIUS):
         self.prints, self.radius = own, radius
         n = BITS // BLOCK_BITS
         self.shares = [radius // n if i < radius % n + 1 else radius // n - 1 for i in range(n)]
         assert sum(s + 1 for s in self.shares) == radius + 1
+        groups = [least_distances(some.view(np.uint16).reshape(-1, n)) for some in np.array_split(own, GROUPS)]
+        self.least = [np.ascontiguousarray(np.stack(block, axis=1)).view(f"u{GROUPS}").ravel() for block in zip(*groups, strict=True)]
         self.tables = []
         for block, share in zip(own.view(np.uint16).reshape(-1, n).T, self.shares, strict=True):
             values = (block[:, None] ^ near_values(share)[None, :]).ravel() if share >= 0 else np.zeros(0, np.uint16)
@@ -96,11 +117,23 @@ class HammingIndex:
             small = np.uint8 if counts.max(initial=0) < 256 else np.int32
             self.tables.append((counts.astype(small), np.cumsum(counts) - counts, items))
 
+    def possible(self, values: np.ndarray) -> np.ndarray:
+        """Columns of blocks' values (blocks, fingerprints) that the bounds let be near some fingerprint."""
+        bound = self.least[0].take(values[0])
+        for value, least in zip(values[1:], self.least[1:], strict=True):
+            bound += least.take(value)
+        word = bound.dtype.type
+        every = word(0x0101010101010101 >> 64 - 8 * GROUPS)
+        bound += every * word(127 - self.radius)  # sets a byte's highest bit if its sum is beyond the radius
+        return np.flatnonzero(bound & (every << word(7)) != every << word(7))
+
     def within(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in some, number) of all pairs within radius, once or more each."""
         places, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        for value, (counts, starts, postings) in zip(np.ascontiguousarray(some.view(np.uint16).reshape(-1, BITS // BLOCK_BITS).T), self.tables, strict=True):
-            value = value.astype(np.intp)
+        values = np.ascontiguousarray(some.view(np.uint16).reshape(-1, BITS // BLOCK_BITS).T).astype(np.intp)
+        kept = self.possible(values)
+        some = some.take(kept)
+        for value, (counts, starts, postings) in zip(values.take(kept, axis=1), self.tables, strict=True):
             n = counts.take(value)
             hit = np.flatnonzero(n)
             n = n.take(hit).astype(np.intp)
@@ -109,7 +142,7 @@ class HammingIndex:
             item = postings.take(np.repeat(first, n) + np.arange(ends[-1] if len(ends) else 0))
             place = np.repeat(hit, n)
             near = np.flatnonzero(np.bitwise_count(some.take(place) ^ self.prints.take(item)) <= self.radius)
-            places.append(place.take(near))
+            places.append(kept.take(place.take(near)))
             items.append(item.take(near))
         return np.concatenate(places), np.concatenate(items)
 
@@ -133,6 +166,8 @@ class Benchmark:
             every = [np.unique(g) for g in self.grams]
             totals = (len(some), *np.unique(np.concatenate([np.zeros(0, U), *every]), return_counts=True))
         n_items, self.known, df = totals
+        self.known_bits = np.zeros(1 << 18, bool)
+        self.known_bits[self.known & U(len(self.known_bits) - 1)] = True
         self.rarest = 1.0 + np.log(1.0 + n_items)
         self.weight = 1.0 + np.log((1.0 + n_items) / (1.0 + df))
         self.total = np.array([self.weights(g).sum() for g in self.grams])
@@ -159,10 +194,12 @@ class Benchmark:
 
     def places(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where known shingles are in known, and which are."""
-        if not len(self.known):
-            return np.zeros(len(grams), np.int64), np.zeros(len(grams), bool)
-        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
-        return at, self.known[at] == grams
+        at, known = np.zeros(len(grams), np.int64), np.zeros(len(grams), bool)
+        some = np.flatnonzero(self.known_bits.take((grams & U(len(self.known_bits) - 1)).astype(np.intp)))
+        if len(some):
+            at[some] = np.minimum(np.searchsorted(self.known, grams[some]), len(self.known) - 1)
+            known[some] = self.known[at[some]] == grams[some]
+        return at, known
 
     def weights(self, grams: np.ndarray) -> np.ndarray:
         """Rarity of shingles among the items; a shingle of no item weighs most."""
@@ -187,13 +224,19 @@ class Benchmark:
         classes = [c for c in self.classes if c[0] == k]
         most = max(c[1] for c in classes)
         for kind in {c[4] for c in classes}:
-            for at in range(0, len(grams), CHUNK):
-                end = min(len(grams), at + CHUNK + most)
-                sums = running_sums(signed(grams[at:end], steps[at:end], kind))
-                for _, n, items, index, own_kind in classes:
-                    count = min(CHUNK, end - at - n + 1)
-                    if own_kind is kind and count > 0:
-                        place, found = index.within(prints(sums[n : n + count] - sums[:count]))
+            own_kind = [c for c in classes if c[4] is kind]
+            for begin in range(0, len(grams), CHUNK * CHUNKS):
+                held = [[] for _ in own_kind]
+                for at in range(begin, min(len(grams), begin + CHUNK * CHUNKS), CHUNK):
+                    end = min(len(grams), at + CHUNK + most)
+                    sums = running_sums(signed(grams[at:end], steps[at:end], kind))
+                    for (_, n, *_), some in zip(own_kind, held, strict=True):
+                        count = min(CHUNK, end - at - n + 1)
+                        if count > 0:
+                            some.append((at, prints(sums[n : n + count] - sums[:count])))
+                for (_, n, items, index, _), some in zip(own_kind, held, strict=True):
+                    for at, own in some:
+                        place, found = index.within(own)
                         ok = left[at + place] >= n
                         yield at + place[ok], np.full(np.count_nonzero(ok), n), items[found[ok]]
         for _, n, items, index, _ in classes:

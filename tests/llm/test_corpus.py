@@ -440,6 +440,16 @@ def test_hamming_index_finds_all():
         assert set(zip(place.tolist(), item.tolist(), strict=True)) == set(map(tuple, want.tolist()))
 
 
+def test_hamming_index_probes_few_windows_that_are_near_none():
+    r = np.random.default_rng(1)
+    for n in (1, 3, 20):
+        prints, probes = (r.integers(0, 1 << 63, k).astype(np.uint64) for k in (n, 20_000))
+        probes[:500] = prints[r.integers(0, n, 500)] ^ np.uint64(0x11111111_11111110)
+        kept = decontaminate.HammingIndex(prints).possible(probes.view(np.uint16).reshape(-1, 4).T.astype(np.intp))
+        near = np.flatnonzero((np.bitwise_count(probes[:, None] ^ prints[None, :]) <= decontaminate.RADIUS).any(axis=1))
+        assert set(range(500)) <= set(near.tolist()) <= set(kept.tolist()) and len(kept) < len(near) + 1_600
+
+
 def items_by_hand(docs, items, threshold=0.8):
     """(doc, item) -> the best similarity of all item-sized windows, by counting."""
     grams = lambda w, k: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
