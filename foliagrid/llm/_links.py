@@ -18,6 +18,7 @@ first ids are in every part.
 """
 
 import math
+import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,10 @@ SALT_SHIFT, SALT_BITS, DEALT = 56, 7, 64
 HOT_ROWS, HOT_SHARE, PARTS = 1_000, 4_096, 64
 #: Bits of a filter that are sent in one row.
 FILTER_BLOCK = 1 << 16
+#: Sets of more grams are compared pair by pair.
+LARGE_SET = 1_024
+#: Packed rows in a row of a table, rows that are sorted at once, and that are looked at together.
+PACK_ROWS, HELD_ROWS, SENT_ROWS = 340, 2_000_000, 1 << 15
 PAIR_SCHEMA = "a long, b long, ma long, mb long"
 U = np.uint64
 
@@ -224,7 +229,28 @@ def shape(grams: np.ndarray, bins: int) -> bytes:
     return n.astype(np.uint8 if n.max(initial=0) < 256 else np.uint32).tobytes()
 
 
+def set_shapes(own: np.ndarray, grams: np.ndarray, n: int, bins: int) -> pa.Array:
+    """shape() of n sets, of which gram i is in set own[i], ascending."""
+    found = np.bincount(own * bins + (grams >> U(64 - bins.bit_length() + 1)).astype(np.int64), minlength=n * bins).reshape(n, bins)
+    small = found.max(axis=1, initial=0) < 256
+    if small.all():
+        return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * bins, bins, dtype=np.int32)), pa.py_buffer(found.astype(np.uint8).tobytes())])
+    return pa.array([row.astype(np.uint8 if less else np.uint32).tobytes() for row, less in zip(found, small, strict=True)], pa.binary())
+
+
+def flat(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all values of a binary column without nulls, and where each value's begin."""
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    data = column.buffers()[2]
+    numbers = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind) if data is not None and offsets[-1] > offsets[0] else np.zeros(0, kind)
+    return numbers, (offsets - offsets[0]) // np.dtype(kind).itemsize
+
+
 def shapes_of(column, bins: int) -> np.ndarray:
+    data, ptr = flat(column, np.uint8)
+    if len(data) == len(column) * bins and (np.diff(ptr) == bins).all():
+        return data.reshape(-1, bins).astype(np.int32)
     rows = [np.frombuffer(x.as_buffer(), np.uint8 if len(x.as_buffer()) == bins else np.uint32) for x in column]
     return np.stack(rows).astype(np.int32) if rows else np.zeros((0, bins), np.int32)
 
@@ -241,25 +267,158 @@ def first_candidates(rows: DataFrame, feasible, scratch: Scratch) -> tuple[DataF
     """Pairs (a, b, ma, mb) of step 1, rows (key, id, meta) of large buckets, and (id, ma, mb) of ids met again with
     another meta. Buckets are sorted by Spark, which spills, and streamed."""
     dealt = rows.select("key", "id", "meta").repartition(F.col("key"), meta_salt()).sortWithinPartitions(F.col("key"), meta_salt(), F.col("id"), F.col("meta"))
-    found = scratch.save(dealt.mapInArrow(Buckets(feasible), BUCKET_SCHEMA), "buckets")
+    return _kinds(scratch.save(dealt.mapInArrow(Buckets(feasible), BUCKET_SCHEMA), "buckets"))
+
+
+def _kinds(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     pairs = found.filter("kind = 0").select("a", "b", "ma", "mb")
     return pairs, found.filter("kind = 1").select("key", F.col("a").alias("id"), F.col("ma").alias("meta")), found.filter("kind = 2").select(F.col("a").alias("id"), "ma", "mb")
 
 
+def parts_of(spark) -> int:
+    """How many parts of the keys' range rows are packed by: several for each task, a power of two."""
+    return 1 << min(14, max(6, (16 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+
+
+def packed(key: np.ndarray, id: np.ndarray, meta: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows (key, id, meta) as (part, rows): the part of the keys' range, and PACK_ROWS rows at most, sorted by key."""
+    order = np.argsort(key.view(U))
+    rows = np.stack([key, id, meta], axis=1)[order]
+    part = (rows[:, 0].view(U) >> U(65 - parts.bit_length())).astype(np.int64)
+    bounds = np.searchsorted(part, np.arange(parts + 1))
+    n = -(-np.diff(bounds) // PACK_ROWS)
+    starts = np.repeat(bounds[:-1], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * PACK_ROWS
+    offsets = np.append(starts, len(rows)).astype(np.int32) * np.int32(24)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(parts), n).astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])], names=["part", "rows"])
+
+
+def in_order(rows: np.ndarray) -> np.ndarray:
+    """Rows (key, id, meta) sorted by all three."""
+    rows = rows[np.argsort(rows[:, 0])]
+    some = np.flatnonzero(repeated(rows))
+    tied = rows[some]
+    rows[some] = tied[np.lexsort((tied[:, 2], tied[:, 1], tied[:, 0]))]
+    return rows
+
+
+def repeated(rows: np.ndarray) -> np.ndarray:
+    """Which of rows in order of key have a key of several rows."""
+    same = np.concatenate([[False], rows[1:, 0] == rows[:-1, 0], [False]])
+    return same[1:] | same[:-1]
+
+
+class Part:
+    """The rows of one part: held, and from HELD_ROWS on written to a file and read again a range of (key, id) at a time."""
+
+    def __init__(self):
+        self.held, self.count, self.file = [], 0, None
+
+    def add(self, rows: np.ndarray) -> None:
+        self.held.append(rows)
+        self.count += len(rows)
+        if self.count > HELD_ROWS:
+            self.file = self.file or tempfile.TemporaryFile()
+            self.write()
+
+    def write(self) -> None:
+        for rows in self.held:
+            self.file.write(rows.tobytes())
+        self.held, self.count = [], 0
+
+    def ordered(self):
+        """All rows in order, in blocks; those alone in their bucket go where the whole part is held."""
+        if self.file is None:
+            rows = in_order(np.concatenate(self.held))
+            yield rows[repeated(rows)]
+            return
+        self.write()
+        n = self.file.tell() // 24
+        blocks = [(at, min(HELD_ROWS, n - at)) for at in range(0, n, HELD_ROWS)]
+        every = max(1, n // HELD_ROWS)
+        sample = in_order(np.concatenate([self.block(*b)[::every] for b in blocks]))
+        cuts = [tuple(sample[i, :2].tolist()) for i in range(0, len(sample), max(1, HELD_ROWS // (2 * every)))][1:]
+        for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+            found = []
+            for b in blocks:
+                rows = self.block(*b)
+                inside = np.ones(len(rows), bool)
+                if low:
+                    inside &= (rows[:, 0] > low[0]) | ((rows[:, 0] == low[0]) & (rows[:, 1] >= low[1]))
+                if high:
+                    inside &= (rows[:, 0] < high[0]) | ((rows[:, 0] == high[0]) & (rows[:, 1] < high[1]))
+                found.append(rows[inside])
+            yield in_order(np.concatenate(found))
+        self.file.close()
+
+    def block(self, at: int, n: int) -> np.ndarray:
+        self.file.seek(at * 24)
+        return np.frombuffer(self.file.read(n * 24), np.int64).reshape(-1, 3)
+
+
+def _unpacked(batches):
+    """Batches of rows (key, id, meta) in order, from packed ones in order of part."""
+
+    def sent(part):
+        for rows in part.ordered():
+            for at in range(0, len(rows), SENT_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows[at : at + SENT_ROWS].T], names=["key", "id", "meta"])
+
+    part, last = None, None
+    for batch in batches:
+        parts = batch.column("part").to_numpy(zero_copy_only=False)
+        numbers, ptr = flat(batch.column("rows"), np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])) if len(parts) else np.zeros(0, np.int64)
+        for s, e in zip(starts, np.append(starts[1:], len(parts)), strict=True):
+            if part is not None and parts[s] != last:
+                yield from sent(part)
+                part = None
+            part, last = part or Part(), parts[s]
+            part.add(numbers[ptr[s] : ptr[e]].reshape(-1, 3).copy())
+    if part is not None:
+        yield from sent(part)
+
+
+def packed_candidates(rows: DataFrame, feasible, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """first_candidates() of packed rows without dealt keys, and (id, meta) of all ids in pairs and large buckets: rows cross to
+    the workers that sort them a block at a time, and not one by one. A part that is too large to be held is sorted by way of a
+    local file."""
+    dealt = rows.select("part", "rows").repartition("part").sortWithinPartitions("part")
+    found = scratch.save(dealt.mapInArrow(lambda batches: Buckets(feasible)(_unpacked(batches)), BUCKET_SCHEMA), "buckets")
+    ends = [F.struct(F.col(x).alias("id"), F.col(m).alias("meta")) for x, m in (("a", "ma"), ("b", "mb"))]
+    return *_kinds(found), found.filter("kind < 2").select(F.explode(F.when(F.col("kind") == 0, F.array(*ends)).otherwise(F.array(ends[0]))).alias("e")).select("e.*")
+
+
 def distinct_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.first("ma").alias("ma"), F.first("mb").alias("mb"))
 
 
+def overlaps(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """How many grams sets x and y share, row by row; each set is sorted. Grams of x are searched for in y together."""
+    (x, px), (y, py) = flat(x, U), flat(y, U)
+    own = np.repeat(np.arange(len(px) - 1), np.diff(px))
+    low, high = py[own], py[own + 1]
+    end = high
+    for _ in range(int(np.diff(py).max(initial=0)).bit_length()):
+        middle = (low + high) >> 1
+        less = (low < high) & (y[np.minimum(middle, len(y) - 1)] < x)
+        low, high = np.where(less, middle + 1, low), np.where(less, high, np.maximum(middle, low))
+    found = (low < end) & (y[np.minimum(low, len(y) - 1)] == x) if len(y) else np.zeros(len(x), bool)
+    return np.bincount(own[found], minlength=len(px) - 1)
+
+
 def _overlaps(batches):
     for batch in batches:
         out = np.zeros(batch.num_rows, np.int64)
-        for i, (x, y) in enumerate(zip(batch.column("ga"), batch.column("gb"), strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-            if len(x) > len(y):
-                x, y = y, x
-            if len(x):
-                at = np.searchsorted(y, x)
-                out[i] = np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)
+        x, y = batch.column("ga"), batch.column("gb")
+        many = np.maximum(np.diff(flat(x, U)[1]), np.diff(flat(y, U)[1])) > LARGE_SET
+        some = np.flatnonzero(~many)
+        for at in range(0, len(some), BLOCK_ROWS):
+            own = some[at : at + BLOCK_ROWS]
+            out[own] = overlaps(x.take(pa.array(own)), y.take(pa.array(own)))
+        for i in np.flatnonzero(many):
+            a, b = sorted((np.frombuffer(c[int(i)].as_buffer(), U) for c in (x, y)), key=len)
+            if len(a):
+                out[i] = np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("na"), batch.column("nb"), pa.array(out)], names=["a", "b", "na", "nb", "overlap"])
 
 

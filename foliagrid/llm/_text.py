@@ -16,8 +16,6 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: All ASCII but letters and digits: for features that shouldn't depend on punctuation.
 NOT_LETTER = np.zeros(256, bool)
 NOT_LETTER[:128] = [not chr(i).isalnum() for i in range(128)]
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -69,10 +67,10 @@ class Texts:
     """The words of some rows: word w of row i has an index in ptr[i]:ptr[i + 1]."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, breaks: np.ndarray = SPACE):
-        self.data = LOWER[data] if lower else data
+        self.data = data + ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5)) if lower else data
         self.offsets = offsets
         n = len(data)
-        inside = ~breaks[data]
+        inside = ~((data == 32) | (data - np.uint8(9) < 5)) if breaks is SPACE else ~breaks[data]
         before = np.zeros(n, bool)
         before[1:] = inside[:-1]
         before[offsets[:-1][offsets[:-1] < n]] = False

@@ -9,12 +9,15 @@ extended word by word as far as they agree with the first occurrence, and neighb
 but the first are to be removed.
 """
 
+import functools
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._links import bit_filter, dealt_join, distinct_pairs, first_candidates, has_bit, hot_keys, linked_components, shape
+from ._links import bit_filter, dealt_join, distinct_pairs, flat, has_bit, hot_keys, linked_components, packed, packed_candidates, parts_of, set_shapes
 from ._scratch import Scratch
 from ._text import GRAM_SALTS, Texts, longs, mix, powers, slices
 
@@ -38,7 +41,6 @@ class Paragraphs:
         h, n = t.hashes, len(t.starts)
         row = np.repeat(np.arange(len(t.n_words)), t.n_words)
         weight = mix(h ^ GRAM_SALTS[-3])
-        broken = np.cumsum(t.data == 10)[t.starts] if n else np.zeros(0, np.int64)
         anchor = np.ones(n, bool)
         for step in range(1, REACH + 1):
             same = row[step:] == row[:-step]
@@ -47,7 +49,8 @@ class Paragraphs:
         new_row = np.ones(n, bool)
         new_row[1:] = row[1:] != row[:-1]
         new_line = new_row.copy()
-        new_line[1:] |= broken[1:] != broken[:-1]
+        after = np.searchsorted(t.starts, np.flatnonzero(t.data == 10))
+        new_line[after[after < n]] = True
         self.cuts = np.append(np.flatnonzero(anchor | new_row), n)
         lines = np.append(np.flatnonzero(new_line), n)
         some, long = np.diff(self.cuts) >= LEAST_WORDS, np.diff(lines) >= SHINGLE
@@ -57,18 +60,33 @@ class Paragraphs:
         self.row_starts, self.row_ends = t.ptr[self.row], t.ptr[self.row + 1]
         self.first_word = self.starts - self.row_starts
         self.n_words = self.ends - self.starts
-        self.words = (h >> U(32)).astype(np.uint32)
+        self.hashes = h
         up, down = powers(n + 1)
         total = np.zeros(n + 1, U)
         np.cumsum(h * up[:-1], out=total[1:])
         self.ids = mix((total[self.ends] - total[self.starts]) * down[self.starts] + self.n_words.astype(U) * GRAM_SALTS[-4]).astype(np.int64)
-        self.grams = h[: max(0, n - SHINGLE + 1)] * GRAM_SALTS[0]
+    @functools.cached_property
+    def words(self) -> np.ndarray:
+        return (self.hashes >> U(32)).astype(np.uint32)
+
+    @functools.cached_property
+    def grams(self) -> np.ndarray:
+        h = self.hashes
+        out = h[: max(0, len(h) - SHINGLE + 1)] * GRAM_SALTS[0]
         for j in range(1, SHINGLE):
-            self.grams = self.grams + h[j : len(self.grams) + j] * GRAM_SALTS[j]
-        self.grams = mix(self.grams)
-
-    def shingles(self, i: int) -> np.ndarray:
-        return np.unique(self.grams[self.starts[i] : self.ends[i] - SHINGLE + 1])
+            out += h[j : len(out) + j] * GRAM_SALTS[j]
+        return mix(out)
+
+    def shingles(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sets of these units' shingles, each sorted, one after another; and the place in some of each shingle's unit."""
+        n = self.n_words[some] - SHINGLE + 1
+        own = np.repeat(np.arange(len(some)), n)
+        grams = self.grams[np.repeat(self.starts[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        order = np.lexsort((grams, own))
+        own, grams = own[order], grams[order]
+        new = np.ones(len(own), bool)
+        new[1:] = (own[1:] != own[:-1]) | (grams[1:] != grams[:-1])
+        return grams[new], own[new]
 
     def around(self, some: np.ndarray) -> tuple[pa.Array, pa.Array]:
         """The words before these pieces, backwards to the last cut, and after them, to the next one; none for lines.
@@ -107,36 +125,36 @@ def doc_hash(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(U) ^ GRAM_SALTS[-5]) >> U(8)).astype(np.int64)
 
 
-def _band_rows(batches):
-    """(band key, paragraph, document): of a paragraph's documents in a task, two of them at most, the second in one band."""
-    names = ["key", "id", "meta"]
+def _band_rows(parts):
+    """Packed (band key, paragraph, document): of a paragraph's documents in a task, two of them at most, the second in one band."""
 
     def flush(ids, docs, keys):
         ids, docs, keys = np.concatenate(ids), np.concatenate(docs), np.concatenate(keys, axis=1)
         order = np.lexsort((docs, ids))
         ids, docs, keys = ids[order], docs[order], keys[:, order]
-        new = np.concatenate([[True], ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, bool)
-        last = np.concatenate([new[1:], [True]]) if len(ids) else new
-        first_doc = docs[np.flatnonzero(new)][np.cumsum(new) - 1] if len(ids) else docs
-        second = last & (docs != first_doc)
-        for b in range(BANDS):
-            some = new | second if b == 0 else new
-            yield pa.RecordBatch.from_arrays([pa.array(keys[b][some]), pa.array(ids[some]), pa.array(docs[some])], names=names)
+        new = np.concatenate([[True], ids[1:] != ids[:-1]])
+        last = np.concatenate([new[1:], [True]])
+        first_doc = docs[np.flatnonzero(new)][np.cumsum(new) - 1]
+        some = [new | (last & (docs != first_doc)), *[new] * (BANDS - 1)]
+        return packed(*(np.concatenate([x[own] for x, own in zip(column, some, strict=True)]) for column in (keys, [ids] * BANDS, [docs] * BANDS)), parts)
+
+    def band_rows(batches):
+        ids, docs, keys, held = [], [], [], 0
+        for batch in batches:
+            doc = doc_hash(longs(batch, "doc_id")[0])
+            for first, _, t in slices(batch, lower=True):
+                p = Paragraphs(t)
+                ids.append(p.ids)
+                docs.append(doc[first + p.row])
+                keys.append(p.bands())
+                held += len(p.ids)
+                if held >= FLUSH:
+                    yield flush(ids, docs, keys)
+                    ids, docs, keys, held = [], [], [], 0
+        if held:
+            yield flush(ids, docs, keys)
 
-    ids, docs, keys, held = [], [], [], 0
-    for batch in batches:
-        doc = doc_hash(longs(batch, "doc_id")[0])
-        for first, _, t in slices(batch, lower=True):
-            p = Paragraphs(t)
-            ids.append(p.ids)
-            docs.append(doc[first + p.row])
-            keys.append(p.bands())
-            held += len(p.ids)
-        if held >= FLUSH:
-            yield from flush(ids, docs, keys)
-            ids, docs, keys, held = [], [], [], 0
-    if held:
-        yield from flush(ids, docs, keys)
+    return band_rows
 
 
 def _set_rows(docs_in, ids_in, shapes_only):
@@ -148,11 +166,14 @@ def _set_rows(docs_in, ids_in, shapes_only):
                 p = Paragraphs(t)
                 some = np.flatnonzero(has_bit(id_filter, p.ids))
                 some = some[np.sort(np.unique(p.ids[some], return_index=True)[1])]
-                sets = [p.shingles(i) for i in some]
+                grams, own = p.shingles(some)
+                sizes = np.bincount(own, minlength=len(some))
                 if shapes_only:
-                    yield pa.RecordBatch.from_arrays([pa.array(p.ids[some]), pa.array([len(x) for x in sets], pa.int64()), pa.array([shape(x, BINS) for x in sets], pa.binary())], names=["id", "n", "shape"])
+                    yield pa.RecordBatch.from_arrays([pa.array(p.ids[some]), pa.array(sizes), set_shapes(own, grams, len(some), BINS)], names=["id", "n", "shape"])
                 else:
-                    yield pa.RecordBatch.from_arrays([pa.array(p.ids[some]), pa.array(np.zeros(len(some), np.int32)), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "frag", "n", "grams"])
+                    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * np.int32(8)
+                    sets = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(grams.tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(p.ids[some]), pa.array(np.zeros(len(some), np.int32)), pa.array(sizes), sets], names=["id", "frag", "n", "grams"])
 
     return set_rows
 
@@ -173,14 +194,12 @@ def _occurrences(ids_in):
 
 def agreeing(x: pa.Array, y: pa.Array) -> np.ndarray:
     """How many words two columns of words have in common from their beginnings, row by row; a null has none."""
-    x, y = ([np.frombuffer(v.as_buffer(), np.uint32) if v.is_valid else np.zeros(0, np.uint32) for v in c] for c in (x, y))
-    out = np.zeros(len(x), np.int64)
-    for i, (a, b) in enumerate(zip(x, y, strict=True)):
-        n = min(len(a), len(b))
-        if n and a[0] == b[0]:
-            differ = np.flatnonzero(a[:n] != b[:n])
-            out[i] = differ[0] if len(differ) else n
-    return out
+    (x, px), (y, py) = (flat(c.fill_null(b""), np.uint32) for c in (x, y))
+    n = np.minimum(np.diff(px), np.diff(py))
+    begin = np.cumsum(n) - n
+    at = np.arange(n.sum())
+    differ = np.append(np.flatnonzero(x[np.repeat(px[:-1] - begin, n) + at] != y[np.repeat(py[:-1] - begin, n) + at]), n.sum())
+    return np.minimum(differ[np.searchsorted(differ, begin)] - begin, n)
 
 
 def _extended(batches):
@@ -207,20 +226,22 @@ def repeated_passages(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "paragraphs")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pairs, large, again = first_candidates(rows.mapInArrow(_band_rows, "key long, id long, meta long"), any_pair, scratch)
-    met = pairs.select(F.col("a").alias("id"), F.col("ma").alias("meta")).union(pairs.select("b", "mb")).union(large.select("id", "meta"))
+    pairs, large, again, met = packed_candidates(rows.mapInArrow(_band_rows(parts_of(spark)), "part int, rows binary"), any_pair, scratch)
     wanted = scratch.save(met.groupBy("id").agg(F.first("meta").alias("meta")), "wanted")
     send = spark.sparkContext.broadcast
 
-    def read_again(ids: DataFrame, shapes_only: bool, schema: str) -> DataFrame:
-        """Shapes or sets of the paragraphs with these ids, from the texts of one document for each."""
-        own = ids.join(wanted, "id").select("id", "meta")
+    def read_again(own: DataFrame, shapes_only: bool, schema: str) -> DataFrame:
+        """Shapes or sets of these paragraphs (id, meta), from the texts of one document for each."""
         filters = send(bit_filter(own.select("meta"), DOC_BITS)), send(bit_filter(own.select("id"), ID_BITS))
         return rows.mapInArrow(_set_rows(*filters, shapes_only), schema).join(own, "id", "left_semi").dropDuplicates(["id"])
 
+    def fetch(ids: DataFrame) -> DataFrame:
+        own = scratch.save(ids.join(wanted, "id").select("id", "meta"), f"own-{uuid.uuid4().hex}")
+        return read_again(own, False, "id long, frag int, n long, grams binary")
+
     pairs = distinct_pairs(pairs)
-    shapes = scratch.save(read_again(wanted.select("id"), True, "id long, n long, shape binary"), "shapes")
-    comps = linked_components(pairs, large, shapes, lambda ids: read_again(ids, False, "id long, frag int, n long, grams binary"), any_pair, PERCENT, BINS, scratch)
+    shapes = scratch.save(read_again(wanted, True, "id long, n long, shape binary"), "shapes")
+    comps = linked_components(pairs, large, shapes, fetch, any_pair, PERCENT, BINS, scratch)
     twice = again.filter("ma <> mb").select("id").distinct()
     nodes = scratch.save(twice.join(comps, "id", "full").select("id", F.coalesce("comp", "id").alias("comp")), "nodes")
     scratch.drop("buckets", "wanted", "shapes")

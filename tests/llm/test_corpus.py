@@ -440,6 +440,46 @@ def test_hamming_index_finds_all():
         assert set(zip(place.tolist(), item.tolist(), strict=True)) == set(map(tuple, want.tolist()))
 
 
+def test_packed_rows_come_in_order_and_apart(monkeypatch):
+    r = np.random.default_rng(2)
+    key = r.choice(r.integers(-(1 << 63), 1 << 63, 3_000), 20_000)
+    key[:9_000] = key[0]
+    id, meta = r.integers(0, 5_000, 20_000), r.integers(0, 3, 20_000)
+    batches = [_links.packed(key[i::4], id[i::4], meta[i::4], 64) for i in range(4)]
+    assert sum(b.num_rows for b in batches) < 4 * (64 + 20_000 / _links.PACK_ROWS) and max(len(x.as_py()) for b in batches for x in b.column("rows")) <= 24 * _links.PACK_ROWS
+    table = pa.Table.from_batches(batches).sort_by("part").combine_chunks()
+    several = {k for k, n in zip(*np.unique(key, return_counts=True), strict=True) if n > 1}
+    for held in (1 << 20, 700):
+        monkeypatch.setattr(_links, "HELD_ROWS", held)
+        got = [x for b in _links._unpacked(table.to_batches(max_chunksize=50)) for x in zip(*(b.column(c).to_pylist() for c in ("key", "id", "meta")), strict=True)]
+        shift = 1 << 64
+        assert got == sorted(got, key=lambda x: (x[0] % shift >> 58, x))
+        assert sorted(x for x in got if x[0] in several) == sorted(x for x in zip(key.tolist(), id.tolist(), meta.tolist(), strict=True) if x[0] in several)
+
+
+def test_overlaps_shapes_and_agreement_of_many_rows_are_those_of_each():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64) & np.uint64(0xF00000000000003F)) for n in [0, 1, 2, 7, 300, 3_000, *r.integers(0, 40, 60)]]
+    ga, gb = sets, sets[::-1]
+    column = lambda some, kind=pa.binary(): pa.array([None if x is None else x.tobytes() for x in some], kind)
+    want = [len(np.intersect1d(a, b)) for a, b in zip(ga, gb, strict=True)]
+    for kind in (pa.binary(), pa.large_binary()):
+        assert _links.overlaps(column(ga, kind), column(gb, kind)).tolist() == want
+        assert _links.overlaps(column(ga, kind)[3:], column(gb, kind)[3:]).tolist() == want[3:]
+    big = [np.sort(r.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (5, 2_000, 2_000)]
+    rows = pa.RecordBatch.from_arrays([*[pa.array([1, 2, 3])] * 4, column([big[0], big[1], big[1]]), column([big[0][1:], big[1][::2], big[2]])], names=["a", "b", "na", "nb", "ga", "gb"])
+    assert next(_links._overlaps([rows])).column("overlap").to_pylist() == [4, 1_000, 0]
+    for some in (sets, [*sets, np.zeros(300, np.uint64)]):
+        flat, own = np.concatenate(some), np.repeat(np.arange(len(some)), [len(x) for x in some])
+        shapes = _links.set_shapes(own, flat, len(some), 64)
+        assert shapes.to_pylist() == [_links.shape(x, 64) for x in some]
+        assert (_links.shapes_of(shapes, 64).sum(axis=1) == [len(x) for x in some]).all()
+    x = [None, *(r.integers(0, 2, n).astype(np.uint32) for n in [0, 1, 5, *r.integers(0, 9, 80)])]
+    y = [*x[40:], *x[:40]]
+    same = lambda a, b: next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
+    assert paragraph_dedup.agreeing(column(x), column(y)).tolist() == [0 if a is None or b is None else same(a, b) for a, b in zip(x, y, strict=True)]
+
+
 def test_hamming_index_probes_few_windows_that_are_near_none():
     r = np.random.default_rng(1)
     for n in (1, 3, 20):
