@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ._links import bit_filter, dealt_join, distinct_pairs, flat, has_bit, hot_keys, linked_components, packed, packed_candidates, parts_of, set_shapes
 from ._scratch import Scratch
-from ._text import GRAM_SALTS, Texts, longs, mix, powers, slices
+from ._text import GRAM_SALTS, Texts, lean, longs, mix, powers, slices
 
 SHINGLE = 5
 PERCENT = 80
@@ -135,8 +135,9 @@ def _band_rows(parts):
         new = np.concatenate([[True], ids[1:] != ids[:-1]])
         last = np.concatenate([new[1:], [True]])
         first_doc = docs[np.flatnonzero(new)][np.cumsum(new) - 1]
-        some = [new | (last & (docs != first_doc)), *[new] * (BANDS - 1)]
-        return packed(*(np.concatenate([x[own] for x, own in zip(column, some, strict=True)]) for column in (keys, [ids] * BANDS, [docs] * BANDS)), parts)
+        for b in range(BANDS):
+            some = new | (last & (docs != first_doc)) if b == 0 else new
+            yield packed(keys[b][some], ids[some], docs[some], parts)
 
     def band_rows(batches):
         ids, docs, keys, held = [], [], [], 0
@@ -149,10 +150,10 @@ def _band_rows(parts):
                 keys.append(p.bands())
                 held += len(p.ids)
                 if held >= FLUSH:
-                    yield flush(ids, docs, keys)
+                    yield from flush(ids, docs, keys)
                     ids, docs, keys, held = [], [], [], 0
         if held:
-            yield flush(ids, docs, keys)
+            yield from flush(ids, docs, keys)
 
     return band_rows
 
@@ -226,14 +227,14 @@ def repeated_passages(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "paragraphs")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pairs, large, again, met = packed_candidates(rows.mapInArrow(_band_rows(parts_of(spark)), "part int, rows binary"), any_pair, scratch)
+    pairs, large, again, met = packed_candidates(rows.mapInArrow(lean(_band_rows(parts_of(spark))), "part int, rows binary"), any_pair, scratch)
     wanted = scratch.save(met.groupBy("id").agg(F.first("meta").alias("meta")), "wanted")
     send = spark.sparkContext.broadcast
 
     def read_again(own: DataFrame, shapes_only: bool, schema: str) -> DataFrame:
         """Shapes or sets of these paragraphs (id, meta), from the texts of one document for each."""
         filters = send(bit_filter(own.select("meta"), DOC_BITS)), send(bit_filter(own.select("id"), ID_BITS))
-        return rows.mapInArrow(_set_rows(*filters, shapes_only), schema).join(own, "id", "left_semi").dropDuplicates(["id"])
+        return rows.mapInArrow(lean(_set_rows(*filters, shapes_only)), schema).join(own, "id", "left_semi").dropDuplicates(["id"])
 
     def fetch(ids: DataFrame) -> DataFrame:
         own = scratch.save(ids.join(wanted, "id").select("id", "meta"), f"own-{uuid.uuid4().hex}")
@@ -246,7 +247,7 @@ def repeated_passages(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     nodes = scratch.save(twice.join(comps, "id", "full").select("id", F.coalesce("comp", "id").alias("comp")), "nodes")
     scratch.drop("buckets", "wanted", "shapes")
     keyed = rows.withColumn("row_key", F.xxhash64("text"))
-    seen = scratch.save(keyed.mapInArrow(_occurrences(send(bit_filter(nodes.select("id"), ID_BITS))), "doc_id long, row_key long, start_word long, n_words long, line boolean, before binary, after binary, id long"), "seen")
+    seen = scratch.save(keyed.mapInArrow(lean(_occurrences(send(bit_filter(nodes.select("id"), ID_BITS)))), "doc_id long, row_key long, start_word long, n_words long, line boolean, before binary, after binary, id long"), "seen")
     times = scratch.save(seen.groupBy("id").agg(F.count(F.lit(1)).alias("rows")), "times")
     found = scratch.save(dealt_join(seen, nodes, ["id"], "row_key", hot_keys(times, ["id"])).drop("id"), "found")
     scratch.drop("seen", "times")
