@@ -126,7 +126,10 @@ def doc_hash(ids: np.ndarray) -> np.ndarray:
 
 
 def _band_rows(parts):
-    """Packed (band key, paragraph, document): of a paragraph's documents in a task, two of them at most, the second in one band."""
+    """Packed (band key, paragraph, document): of a paragraph's documents in a task, two of them at most, the second in one band.
+
+    As many bands are packed together as make FLUSH rows: a task of few paragraphs makes a row for a part, not one for each band.
+    """
 
     def flush(ids, docs, keys):
         ids, docs, keys = np.concatenate(ids), np.concatenate(docs), np.concatenate(keys, axis=1)
@@ -135,9 +138,12 @@ def _band_rows(parts):
         new = np.concatenate([[True], ids[1:] != ids[:-1]])
         last = np.concatenate([new[1:], [True]])
         first_doc = docs[np.flatnonzero(new)][np.cumsum(new) - 1]
-        for b in range(BANDS):
-            some = new | (last & (docs != first_doc)) if b == 0 else new
-            yield packed(keys[b][some], ids[some], docs[some], parts)
+        some = [new | (last & (docs != first_doc)), *[new] * (BANDS - 1)]
+        together = max(1, FLUSH // np.count_nonzero(new))
+        for b in range(0, BANDS, together):
+            mask = np.concatenate(some[b : b + together])
+            n = len(mask) // len(ids)
+            yield packed(keys[b : b + n].ravel()[mask], np.tile(ids, n)[mask], np.tile(docs, n)[mask], parts)
 
     def band_rows(batches):
         ids, docs, keys, held = [], [], [], 0

@@ -457,6 +457,24 @@ def test_packed_rows_come_in_order_and_apart(monkeypatch):
         assert sorted(x for x in got if x[0] in several) == sorted(x for x in zip(key.tolist(), id.tolist(), meta.tolist(), strict=True) if x[0] in several)
 
 
+def test_bands_of_a_small_task_are_packed_together(monkeypatch):
+    r = random.Random(17)
+    texts = [" ".join(r.choices([f"w{i}" for i in range(2_000)], k=200)) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(texts + texts[:30] * 2, pa.large_string())], names=["doc_id", "text"])
+    p = paragraph_dedup.Paragraphs(next(paragraph_dedup.slices(batch, lower=True))[2])
+    docs, seen = paragraph_dedup.doc_hash(np.arange(100))[p.row].tolist(), {}
+    for i, doc, keys in zip(p.ids.tolist(), docs, p.bands().T.tolist(), strict=True):
+        seen.setdefault(i, (keys, set()))[1].add(doc)
+    want = sorted([(k, i, min(d)) for i, (keys, d) in seen.items() for k in keys] + [(keys[0], i, max(d)) for i, (keys, d) in seen.items() if len(d) > 1])
+    made = []
+    for flush in (paragraph_dedup.FLUSH, 2 * len(seen), 1):
+        monkeypatch.setattr(paragraph_dedup, "FLUSH", flush)
+        rows = [x.as_py() for b in paragraph_dedup._band_rows(64)([batch]) for x in b.column("rows")]
+        assert sorted(map(tuple, np.frombuffer(b"".join(rows), np.int64).reshape(-1, 3).tolist())) == want
+        made.append(len(rows))
+    assert made[0] <= 64 < made[1] <= 2 * 64 < made[2] <= paragraph_dedup.BANDS * 64
+
+
 def test_overlaps_shapes_and_agreement_of_many_rows_are_those_of_each():
     r = np.random.default_rng(3)
     sets = [np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64) & np.uint64(0xF00000000000003F)) for n in [0, 1, 2, 7, 300, 3_000, *r.integers(0, 40, 60)]]
